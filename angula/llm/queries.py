@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix, secrets, tokens
+from . import jaccard, mix, secrets, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed_sizes(table(spark, sf_dir, "documents")).drop("source")
 
@@ -29,6 +33,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
 }
 
