@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from urllib.parse import urlparse
 
 import numpy as np
@@ -20,7 +21,25 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, where their path doesn't have it: as a zip among the session's files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sc = spark.sparkContext
+    known = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if root in known or getattr(sc, "_angula_shipped", False):
+        return
+    own = os.path.join(tempfile.mkdtemp(prefix="angula-"), "angula.zip")
+    with zipfile.ZipFile(own, "w") as z:
+        for d, _, names in os.walk(os.path.join(root, "angula")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), root))
+    sc.addPyFile(own)
+    sc._angula_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

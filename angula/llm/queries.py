@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mix, secrets, tokens
+from . import decontaminate, jaccard, licences, lines, mix, neighbours, ngram_lm, secrets, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,6 +30,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -30,11 +42,29 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed_sizes(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.links(table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_licence_scan": op1_licence_scan,
+    "op2_lm_scores": op2_lm_scores,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
+    "op8_near_vectors": op8_near_vectors,
+    "op9_toxicity": op9_toxicity,
+    "op10_benchmark_leaks": op10_benchmark_leaks,
 }
 
 ORACLE: dict[str, str] = {
