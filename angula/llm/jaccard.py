@@ -27,7 +27,8 @@ N = 5
 #: Documents that a shingle is in before it goes to the end of the order; a matter of speed alone.
 COMMON = 64
 BITS = 1024
-ROUNDS = 6
+#: Rounds against hubs at most, and hubs for each node after the first.
+ROUNDS, HUBS = 3, 8
 U24 = np.uint64(24)
 _DOC = "part int, doc_id long, n_shingles long, node long, blob binary"
 
@@ -212,11 +213,17 @@ def _put_sets(folder: str):
             put_array(folder, "bits", p, bits.ravel())
             put_array(folder, "end", p, np.cumsum([len(s) for s in sets]).astype(np.int64))
             put_array(folder, "set", p, np.concatenate(sets))
-            yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64())})
+            yield pa.RecordBatch.from_arrays([_i64(keys), *[_i64(bits[:, k]) for k in range(BITS // 64)]], ["node", *[f"b{k}" for k in range(BITS // 64)]])
 
     return run
 
 
+def may_link(a: str, b: str) -> str:
+    """SQL for overlap_bound on joined rows: whether the bitmaps leave room for a Jaccard of 0.8."""
+    alone = lambda x, y: " + ".join(f"bit_count({x}.b{k} & ~{y}.b{k})" for k in range(BITS // 64))
+    return f"9 * least({a}.n - ({alone(a, b)}), {b}.n - ({alone(b, a)})) >= 4 * ({a}.n + {b}.n)"
+
+
 def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Each bit that only one bitmap has stands for a shingle that only that set has."""
     return np.minimum(na - np.bitwise_count(a & ~b).sum(1), nb - np.bitwise_count(b & ~a).sum(1))
@@ -271,7 +278,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tiles = written(tiles.dropDuplicates(["tile", "node"]), "tiles")
     nodes = tiles.select("node").distinct()
     nodes.mapInArrow(_with_part(parts), "part int, node long").repartition(parts, "part").mapInArrow(_put_nodes(folder), "n long").agg(F.sum("n")).collect()
-    text.mapInArrow(_sets(folder, parts), "part int, node long, set binary").repartition(parts, "part").mapInArrow(_put_sets(folder), "n long").agg(F.sum("n")).collect()
+    bits = ", ".join(f"b{k} long" for k in range(BITS // 64))
+    signs = text.mapInArrow(_sets(folder, parts), "part int, node long, set binary").repartition(parts, "part").mapInArrow(_put_sets(folder), f"node long, {bits}")
+    signs = written(signs, "signs")
     labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
     for turn in range(ROUNDS + 1):
         t = tiles.join(labels, "node")
@@ -281,14 +290,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if not open_pairs:
             break
         t = t.join(left.select("tile"), "tile", "left_semi")
-        last = turn == ROUNDS or open_pairs <= 4 * size
+        last = turn == ROUNDS or open_pairs <= 16 * size
         if last:
-            a, b = (t.select("tile", F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-            pairs = a.join(b, "tile").filter("la < lb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "la", "lb").distinct()
+            signed = t.join(signs, "node")
+            on = F.expr(f"a.tile = b.tile AND a.label < b.label AND {may_link('a', 'b')}")
+            pairs = signed.alias("a").join(signed.alias("b"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb")).distinct()
         else:
             by = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
             hubs = t.groupBy("tile").agg(F.min(F.struct(by.alias("by"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))).alias("hub")).select("tile", "hub.*")
-            pairs = t.join(hubs, "tile").filter("label <> lb AND 5 * least(n, nb) >= 4 * greatest(n, nb)").groupBy(F.col("node").alias("a"), F.col("label").alias("la")).agg(F.min(F.struct("by", "b", "lb")).alias("x")).select("a", "x.b", "la", "x.lb")
+            pairs = t.join(hubs, "tile").filter("label <> lb AND 5 * least(n, nb) >= 4 * greatest(n, nb)")
+            pairs = pairs.groupBy(F.col("node").alias("a"), F.col("label").alias("la")).agg(F.array_sort(F.collect_set(F.struct("by", "b", "lb"))).alias("hubs"))
+            pairs = pairs.select("a", "la", F.explode(F.slice("hubs", 1, HUBS if turn else 1)).alias("hub")).select("a", "hub.b", "la", "hub.lb")
         good = pairs.repartition(parts, "b").mapInArrow(_verify(folder, parts), "a long, b long, la long, lb long")
         found = components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("label").alias("to"))
         labels = written(labels.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
