@@ -37,11 +37,18 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, for what is made of one at a time is several times its text."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _read(parts: int):
     """Documents with their nodes, and all their shingles by range of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sizes, keys, got = [], [], []
             for _, n, ends, g in shingle_sets(b.column(1), N):
                 sizes.append(n)
@@ -61,7 +68,7 @@ def _read(parts: int):
 
 
 def _count(folder: str, common: int):
-    """Passes documents on and writes the common shingles of each range."""
+    """Passes documents on and writes the common shingles of each range, and those of two documents or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
@@ -74,6 +81,7 @@ def _count(folder: str, common: int):
         for p, xs in blobs.items():
             keys, n = np.unique(np.concatenate([keys_of(x) for x in xs]), return_counts=True)
             put_array(folder, "common", p, keys[n >= common] << U24)
+            put_array(folder, "twice", p, keys[n >= 2] << U24)
 
     return run
 
@@ -86,7 +94,8 @@ def _prefixes(folder: str, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = get_arrays(folder, "common")
         common = np.concatenate([np.zeros(0, np.uint64), *[held[p] for p in sorted(held)]])
-        for b in batches:
+        twice = get_arrays(folder, "twice")
+        for b in small(batches):
             hs, nodes, ns = [], [], []
             for _, sizes, ends, g in shingle_sets(b.column(0), N):
                 of = np.repeat(np.arange(len(sizes)), sizes)
@@ -107,6 +116,7 @@ def _prefixes(folder: str, parts: int):
             h, node, n = h[order], node[order], n[order]
             keep = np.ones(len(h), bool)
             keep[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+            keep[keep] = find(twice, parts, h[keep] >> U24 << U24)[0] >= 0
             h, node, n = h[keep], node[keep], n[keep]
             cut = np.searchsorted(range_part(h, parts), np.arange(parts + 1))
             own = [p for p in range(parts) if cut[p] < cut[p + 1]]
