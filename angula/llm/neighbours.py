@@ -4,7 +4,8 @@
    sample); a centre with more vectors than a shard holds is split by hash, and its vectors overlap with its next split.
 2. Each shard builds a graph: nearest members, robust-pruned. Adjacency lists of all shards are united, both ways, and lie
    with the vectors in the shared folder, mapped by the tasks that search.
-3. Every vector searches: greedily from the medoids nearest to it, then by range, through all that it links with.
+3. Every vector searches: greedily from the medoids nearest to it and from its own place, then by range, through all that
+   it links with.
 4. A sample of vectors is held against all rows; where recall is short, the search widens. Links are exact cosines.
 """
 
@@ -208,13 +209,13 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
 
     edges = member.groupBy("shard").applyInPandas(build, "a long, b long").distinct()
 
-    def put_edges(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def put_edges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p, pdf = int(key[0]), pdf.sort_values(["place", "b"])
         put_array(folder, "end", p, np.cumsum(np.bincount(pdf["place"].to_numpy(), minlength=sizes_of[p])).astype(np.int64))
         put_array(folder, "to", p, pdf["b"].to_numpy().astype(np.int64))
         return pd.DataFrame({"n": [len(pdf)]})
 
-    def put_vectors(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def put_vectors(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         x = np.array(pdf["x"].tolist())
         put_array(folder, "vector", int(key[0]), x.ravel())
@@ -235,7 +236,7 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
                 for i in range(0, len(every), 256):
                     node, x = every_node[i : i + 256], every[i : i + 256]
                     near = np.argsort(-(x @ medoid.T), axis=1)[:, :STARTS]
-                    of, to = graph.search(x, nodes[near], beam, limit)
+                    of, to = graph.search(x, np.concatenate([nodes[near], node[:, None]], axis=1), beam, limit)
                     other = to != node[of]
                     of, to = of[other], to[other]
                     count = np.bincount(of, minlength=len(node))
