@@ -42,13 +42,14 @@ def _found(text: Column, kind: str) -> Column:
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every part of every document: rid (one for each row of docs), doc_id, kind, start, end; one row with nulls if it has none."""
+    """Every part of every document: rid (one for each row of docs), doc_id, kind, start, end; a match that fails is a row with nulls."""
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     empty = F.array().cast("array<struct<kind:int,nth:int,gap:bigint,len:bigint,ok:boolean>>")
     d = d.select("rid", "doc_id", F.explode_outer(F.concat(*[F.coalesce(_found(F.col("text"), k), empty) for k in KINDS])).alias("p")).select("rid", "doc_id", "p.*")
     run = W.partitionBy("rid", "kind").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
     d = d.repartition("rid").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(run))
-    return d.withColumn("start", F.col("end") - F.col("len")).filter("ok or kind is null").select("rid", "doc_id", "kind", "start", "end")
+    d = d.withColumn("start", F.col("end") - F.col("len"))
+    return d.select("rid", "doc_id", *[F.when(F.col("ok"), F.col(c)).alias(c) for c in ("kind", "start", "end")])
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
