@@ -61,7 +61,7 @@ def targets(sized: DataFrame) -> DataFrame:
     """One row a source: rank by code point (null last), weight 1, 2, 3 in turn, size and target.
 
     A target is the least of 3 x size and weight x level; the level is the one at which targets share all sizes, which is
-    what resharing the excess by weight until none is above comes to. Windows here run over sources, not documents.
+    what resharing the excess by weight until none is above comes to: the first, by ratio, that its source doesn't cap. Windows here run over sources, not documents.
     """
     s = sized.groupBy("skey", "chunk").agg(F.sum("size").alias("size")).groupBy("skey").agg(F.sum("size").alias("source_size"))
     order = W.orderBy((F.col("skey") == "").cast("int"), "skey")
@@ -71,7 +71,7 @@ def targets(sized: DataFrame) -> DataFrame:
     every = W.partitionBy()
     s = s.withColumn("capped", F.coalesce(F.sum("source_size").over(up), F.lit(0)) * 3).withColumn("used", F.coalesce(F.sum("weight").over(up), F.lit(0)))
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.col("capped")) / (F.sum("weight").over(every) - F.col("used")))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(every)["level"])
     return s.select("skey", "rank", "weight", "source_size", F.least(F.col("source_size") * 3.0, F.col("weight") * F.coalesce("level", F.lit(0.0))).alias("target"))
 
 
@@ -154,7 +154,7 @@ s2 AS (SELECT *, (rank - 1) % 3 + 1 AS weight FROM s1),
 s3 AS (SELECT *, source_size * 3.0::DOUBLE / weight AS ratio FROM s2),
 s4 AS (SELECT *, (sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS lev FROM s3
   WINDOW o AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s5 AS (SELECT *, least(source_size * 3.0::DOUBLE, weight * coalesce(min(CASE WHEN lev <= ratio THEN lev END) OVER (), 0)) AS target, (source_size + {block_words - 1}) // {block_words} AS blocks FROM s4),
+s5 AS (SELECT *, least(source_size * 3.0::DOUBLE, weight * coalesce((SELECT lev FROM s4 AS f WHERE f.lev <= f.ratio ORDER BY f.ratio, f.rank LIMIT 1), 0)) AS target, (source_size + {block_words - 1}) // {block_words} AS blocks FROM s4),
 src AS (SELECT *, CASE WHEN blocks > 0 THEN least(CAST(floor(target * blocks / source_size + 0.5) AS BIGINT), 3 * blocks) ELSE 0 END AS n_slots FROM s5),
 slots AS (SELECT skey, rank, blocks, unnest(range(n_slots)) AS nth FROM src),
 times AS (SELECT skey, x{ROUNDS - 1} AS block, count(*) AS times FROM ({inner}) AS p GROUP BY ALL),

@@ -311,7 +311,18 @@ def test_mix_keeps_its_bounds(spark):
     by = collections.defaultdict(int)
     for r in rows:
         by[r.source] += r.taken
+    size = {r.source: r.source_size for r in rows}
+    want, left, weight = {}, sum(size.values()), {s: k % 3 + 1 for k, s in enumerate(sorted(size))}
+    while True:  # as it is told: share by weight, stop at three times the size, share the excess again
+        over = [s for s in size if s not in want and left * weight[s] / sum(w for x, w in weight.items() if x not in want) > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            want[s] = 3 * size[s]
+        left = sum(size.values()) - sum(want.values())
+    rest = sum(w for x, w in weight.items() if x not in want)
     for r in rows:
+        assert abs(r.target - want.get(r.source, left * weight[r.source] / max(1, rest))) < 1e-6
         assert abs(by[r.source] - r.target) <= 16 + 0.01 * r.target
     slots = mix.mix(d, block_words=16, shard_slots=64).groupBy("shard", "slot").agg(F.count_distinct("source", "block").alias("n")).collect()
     assert all(r.n == 1 for r in slots) and len({(r.shard, r.slot) for r in slots}) == len(slots)
