@@ -63,7 +63,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def remove(spark: SparkSession, *things: DataFrame | str) -> None:
+    """Delete written tables and folders that nothing reads any more: what was made of them is written itself."""
+    for x in things:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

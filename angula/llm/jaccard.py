@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find, get_arrays, keys_of, new_folder, partitions, put_array, range_part, small_blob, text_of, written
+from .common import components, find, get_arrays, keys_of, new_folder, partitions, put_array, range_part, remove, small_blob, text_of, written
 from .grams import set_keys, shingle_sets
 
 N = 5
@@ -316,6 +316,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         labels = written(labels.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         if last:
             break
+    remove(spark, folder, tiles, signs)
     return rows, labels
 
 
