@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find, get_arrays, keys_of, new_folder, partitions, put_array, range_part, remove, small_blob, text_of, written
+from .common import components, find, get_arrays, keys_of, new_folder, partitions, put_array, range_part, remove, small, small_blob, text_of, written
 from .grams import set_keys, shingle_sets
 
 N = 5
@@ -37,13 +37,6 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, for what is made of one at a time is several times its text."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def _read(parts: int):
     """Documents with their nodes, and all their shingles by range of hash."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find, get_arrays, keys_of, new_folder, partitions, put_array, range_part, small_blob, text_of
+from .common import find, get_arrays, keys_of, new_folder, partitions, put_array, range_part, small, small_blob, text_of
 from .grams import mix, sliced, words
 
 END = int(mix(np.array([7], np.uint64))[0])
@@ -72,7 +72,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
 
 def _count_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             got = [np.unique(t, return_counts=True) for _, _, t, _ in _token_slices(b.column(0))]
             if got:
                 keys, n = map(np.concatenate, zip(*got))
@@ -123,7 +123,7 @@ def bigrams(ids: np.ndarray, stop: np.ndarray) -> np.ndarray:
 def _count_bigrams(folder: str, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = None
-        for b in batches:
+        for b in small(batches):
             v = v or Vocabulary(folder, parts)
             got = [np.unique(bigrams(v.look(t)[0], stop), return_counts=True) for _, _, t, stop in _token_slices(b.column(0))]
             if got:
