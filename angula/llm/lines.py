@@ -3,9 +3,10 @@
 Main path: DataFrame operations only. Words with a digit are variable fields. A leaf holds the lines of one token count and
 the same leading words. In a leaf with enough different lines, words in places where no word prevails become fields, too.
 
-A template is recurring if it stands in enough different surroundings: the fewest of the different lines before it and after
-it, counted over all documents. A line that only recurs because its document was copied has the copies' surroundings and so
-counts once; whole copies are for document dedup to find. Lines of recurring templates are dropped wherever they stand.
+A template is recurring if it stands in enough documents, where copies and near copies of a document count once, or in enough
+different surroundings: the fewest of the different lines before it and after it, counted over all documents. A line that only
+recurs because its document was copied so counts once; whole copies are for document dedup to find. Near copies share most of
+a sketch: the smallest hashes of three words in a row. Lines of recurring templates are dropped wherever they stand.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, text_of, written
+from .common import components, remove, text_of, written
 
 #: Shorter lines recur in ordinary prose.
 MIN_TOKENS = 4
-#: Surroundings in which a template must recur.
+#: Documents, near copies counted once, or surroundings in which a template must recur.
 MIN_PLACES = 5
 #: Leading words on the tree's path.
 DEPTH = 3
 #: Share of a leaf's lines in which a word must stand at a place to be part of the template, and share of such places.
 PREVAIL, CONSTANT = 0.5, 0.7
-#: Leaves (16 bytes each) that are broadcast at most, so that lines of other leaves are not shuffled.
+#: Hashes in a document's sketch, those of them that near copies are looked for by, and the share that near copies have in common.
+SKETCH, PROBES, NEAR = 32, 8, 0.6
+#: Leaves and near copies (16 bytes each) that are broadcast at most, so that lines of other leaves and texts are not shuffled.
 BROADCAST_LEAVES = 1_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 FIELD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*[0-9])[^\x20\x09-\x0D]+"
@@ -53,6 +56,31 @@ def places(by: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).select(key, F.least("n_before", "n_after").alias("places"))
 
 
+def documents(by: DataFrame, key: str) -> DataFrame:
+    """key and its documents: the different classes of texts that it stands in."""
+    return by.groupBy(key).agg(F.count_distinct("class").alias("documents"))
+
+
+def near_copies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, class): texts that have near copies, by key, and one number for all that links of near copies reach.
+
+    Texts with one of the smallest hashes in common are held against the first of them, so that links grow with the texts.
+    """
+    text = text_of(text_col)
+    words = docs.select(_key(text).alias("key"), F.split(F.trim(text), SPACES, -1).alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    sketch = F.slice(F.array_distinct(F.sort_array(runs)), 1, SKETCH)
+    sketches = written(words.select("key", sketch.alias("sketch")).dropDuplicates(["key"]), "sketches")
+    probes = sketches.select("key", F.explode(F.slice("sketch", 1, PROBES)).alias("hash"))
+    first = probes.groupBy("hash").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "head")
+    pairs = probes.join(first, "hash").filter("key <> head").select("key", "head").distinct()
+    pairs = pairs.join(sketches, "key").join(sketches.select(F.col("key").alias("head"), F.col("sketch").alias("other")), "head")
+    alike = F.size(F.array_intersect("sketch", "other")) >= NEAR * F.greatest(F.size("sketch"), F.size("other"))
+    out = components(pairs.filter(alike).select(F.col("key").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("key"), F.col("label").alias("class"))
+    remove(docs.sparkSession, sketches)
+    return out
+
+
 def generalised(lines: DataFrame, min_places: int, prevail: float, constant: float) -> DataFrame:
     """(t, general): lines of the larger leaves by their template after words that do not prevail in the leaf became fields."""
     large = lines.select("leaf", "t").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= min_places)
@@ -67,14 +95,20 @@ def generalised(lines: DataFrame, min_places: int, prevail: float, constant: flo
     return out.filter(F.size("words") >= F.col("tokens") * constant).select("t", F.xxhash64("leaf", F.col("words").cast("string")).alias("general"))
 
 
-def recurring(lines: DataFrame, min_tokens: int = MIN_TOKENS, min_places: int = MIN_PLACES, prevail: float = PREVAIL, constant: float = CONSTANT) -> DataFrame:
-    """Templates t of recurring lines."""
+def recurring(lines: DataFrame, copies: DataFrame, min_tokens: int = MIN_TOKENS, min_places: int = MIN_PLACES, prevail: float = PREVAIL, constant: float = CONSTANT) -> DataFrame:
+    """Templates t of recurring lines; copies are near_copies()."""
     long = lines.filter(F.col("tokens") >= min_tokens)
+    if copies.count() <= BROADCAST_LEAVES:  # else a join by shuffle
+        copies = F.broadcast(copies)
     around = long.select("t", "before", "after").distinct()
-    plain = places(around, "t").filter(F.col("places") >= min_places).select("t")
+    within = written(long.join(copies, "key", "left").select("t", F.coalesce("class", "key").alias("class")).distinct(), "within")
+    enough = lambda by, key: places(by[0], key).filter(F.col("places") >= min_places).select(key).union(documents(by[1], key).filter(F.col("documents") >= min_places).select(key))
+    plain = enough((around, within), "t")
     general = written(generalised(long, min_places, prevail, constant), "general")
-    often = places(around.join(general, "t"), "general").filter(F.col("places") >= min_places)
-    return written(plain.union(general.join(often, "general", "left_semi").select("t")).distinct(), "recurring")
+    often = enough((around.join(general, "t"), within.join(general, "t")), "general")
+    out = written(plain.union(general.join(often, "general", "left_semi").select("t")).distinct(), "recurring")
+    remove(lines.sparkSession, within)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, min_places: int = MIN_PLACES) -> DataFrame:
@@ -85,7 +119,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_t
     """
     found = lines_of(docs, id_col, text_col, DEPTH)
     slim = written(found.filter(F.col("tokens") >= min_tokens).select("doc_id", "key", "nth", "t", "before", "after", "leaf", "tokens", "line"), "lines")
-    out = recurring(slim, min_tokens, min_places)
+    out = recurring(slim, near_copies(docs, text_col), min_tokens, min_places)
     drop = written(slim.select("key", "nth", "t").join(out, "t", "left_semi").groupBy("key").agg(F.collect_set("nth").alias("drop_")), "drop")
     remove(docs.sparkSession, slim, out)
     rows = F.split(text_of(text_col), "\n", -1)

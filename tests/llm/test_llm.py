@@ -237,6 +237,28 @@ def test_lines(spark):
         assert got[i].n_dropped == text.count("\n") + 1 - len(keep)
 
 
+def test_lines_at_edges_beside_blanks_and_in_passages(spark):
+    random.seed(12)
+    prose = lambda k: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(k))
+    first, last, alone, one, two, rows = prose(6), prose(7), prose(8), prose(9), prose(10), []
+    for i in range(24):
+        own = [prose(12) for _ in range(6)]
+        rows.append((i, "\n".join([[first, *own], [*own, last], [*own[:3], "", alone, "", *own[3:]], [*own[:2], one, two, *own[2:]]][i % 4]), "s"))
+    base = [prose(12).split() for _ in range(8)]
+    for i in range(12):  # near copies, some of one line
+        edited = [[*x] for x in base]
+        edited[i % 8][i % 12] = prose(1)
+        rows.append((100 + i, "\n".join(map(" ".join, edited)), "s"))
+        rows.append((200 + i, " ".join(w for x in edited for w in reversed(x)), "s"))
+    got = {r.doc_id: r for r in lines.dedup(docs_of(spark, rows)).collect()}
+    for i, text, _ in rows[:24]:
+        assert got[i].text == "\n".join(x for x in text.split("\n") if x not in (first, last, alone, one, two))
+    copies = spark.createDataFrame([(t,) for _, t, _ in rows], "text string")
+    classes = collections.Counter(r["class"] for r in lines.near_copies(copies, "text").collect())
+    assert sorted(classes.values()) == [12, 12]
+    assert all(got[i].text == t for i, t, _ in rows if i >= 200)
+
+
 def brute_components(docs):
     sets = {}
     for i, t in docs:
