@@ -1,8 +1,9 @@
 """Licence scan: known sentences by identifier, and ordered rules over sequences of identifiers.
 
-A text is cut into sentences at line ends and after . ! ? ; followed by white space. A sentence is lower-cased, its
-copyright holder and numbers of years become fields, punctuation goes and spaces are one. Known sentences give identifiers;
-a rule is an ordered list of identifiers, of which up to GAP foreign sentences may part two neighbours.
+A text is cut into pieces at line ends and after . ! ? ; followed by white space, and signs that open a comment go. A piece is
+lower-cased, its copyright holder and numbers of years become fields, punctuation goes and spaces are one. Pieces in a row,
+without a blank line between, that make up a known sentence give its identifier; a rule is an ordered list of identifiers, of
+which up to GAP foreign sentences may part two neighbours.
 """
 
 from __future__ import annotations
@@ -39,6 +40,12 @@ SENTENCES = {
     "cc0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "all-rights-reserved": "All rights reserved.",
 }
+# Whole sentences of which SENTENCES has a part, by the same identifiers.
+WHOLE = {
+    "apache-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+}
 # Rules, strongest first. licence, identifiers in order.
 RULES = [
     ("Apache-2.0", ["apache-2.0-header", "apache-compliance", "apache-copy"]),
@@ -60,8 +67,14 @@ RULES = [
     ("LicenseRef-proprietary", ["all-rights-reserved"]),
 ]
 GAP = 3
-#: A sentence ends at a line end or after one of these and a space.
-ENDS = r"[\n\r]+|(?<=[.!?;])[ \t]+"
+#: A piece ends at a line end or after one of these and a space, but not after "v.".
+ENDS = r"\r\n|[\n\r]|(?<=[.!?;])(?<!\b[vV]\.)[ \t]+"
+#: What opens a line of a comment, and what closes it.
+LEADER = r"^[ \t]*(?:(?://+|/?\*+/?|#+|--+|;+|%+|>+|<!--+|[\"']{3}|dnl\b|rem\b)[ \t]*)*|[ \t]*(?:\*+/|--+>)?[ \t]*$"
+#: A sentence ends with a piece that ends so; a shorter piece is a sentence, a longer one may be part of a wrapped sentence.
+STOP, WRAPPED = r"[.!?;:][\"')\]]*$", 30
+#: Pieces that a known sentence is wrapped in at most.
+WIDTH = 24
 #: Lower-case words of which every known sentence has one; a document without any has no known sentence.
 CUES = r"(?i)licen[cs]e|permi|copyright|redistribut|warrant|rights reserved"
 
@@ -69,23 +82,41 @@ CUES = r"(?i)licen[cs]e|permi|copyright|redistribut|warrant|rights reserved"
 def normalised(sentence: Column) -> Column:
     s = F.lower(sentence)
     s = F.regexp_replace(s, r"^.*copyright *(\(c\)|©)? *[0-9][0-9, -]*.*$", "copyright notice of holder")
-    return F.trim(F.regexp_replace(s, r"[^a-z0-9.+/-]+|\.(?= |$)|(?<=[a-z])\.", " "))
+    return F.trim(F.regexp_replace(s, r"(?:[^a-z0-9.+/-]|\.(?= |$)|(?<=[a-z])\.)+", " "))
 
 
-def sentence_table(spark: SparkSession, sentences: dict[str, str] = SENTENCES) -> DataFrame:
-    t = spark.createDataFrame(sorted(sentences.items()), "sentence_id string, sentence string")
+def sentence_table(spark: SparkSession, sentences: dict[str, str] = SENTENCES, whole: dict[str, str] = WHOLE) -> DataFrame:
+    t = spark.createDataFrame(sorted(sentences.items()) + sorted(whole.items()), "sentence_id string, sentence string")
     return t.select("sentence_id", normalised(F.col("sentence")).alias("sentence"))
 
 
 def sentences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id and the known sentences of each row of docs in order: ids array<struct<nth, sentence_id>>, null if none."""
+    """rid, doc_id and the known sentences of each row of docs in order: ids array<struct<nth, sentence_id>>, null if none.
+
+    nth counts sentences; a known sentence is one, in however many pieces. Where known sentences overlap, the first and
+    longest counts.
+    """
+    table = [r.sentence for r in known.collect()]
+    heads, longest = sorted({x.split(" ")[0] for x in table}), max(map(len, table))
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    cut = F.when(F.col("text").rlike(CUES), F.split(F.col("text"), ENDS, -1))
-    rows = d.select("rid", "doc_id", F.posexplode_outer(cut).alias("nth", "raw"))
-    rows = rows.select("rid", "doc_id", "nth", F.when(F.col("raw").rlike(CUES), normalised(F.col("raw"))).alias("sentence"))
-    hit = rows.join(F.broadcast(known), "sentence", "left").filter("sentence_id is not null or nth is null or nth = 0")
-    hit = hit.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(F.col("sentence_id").isNotNull(), F.struct("nth", "sentence_id")))).alias("ids"))
-    return hit
+    cut = F.when(F.col("text").rlike(CUES), F.transform(F.split(F.col("text"), ENDS, -1), lambda x: F.regexp_replace(x, LEADER, "")))
+    d = d.select("rid", "doc_id", cut.alias("pieces"))
+    ends = F.transform("pieces", lambda x, i: (x != "") & (x.rlike(STOP) | (F.length(x) < WRAPPED) | (F.coalesce(F.get("pieces", i + 1), F.lit("")) == "")))
+    starts = F.filter(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: F.get("pieces", i).rlike(rf"(?i)^[^a-z0-9]*({'|'.join(heads)})(?![a-z0-9])") & F.array_join(F.slice("pieces", i + 1, WIDTH), " ").rlike(CUES))
+    d = d.select("rid", "doc_id", "pieces", ends.alias("ends"), F.when(F.col("pieces").isNotNull(), starts).alias("starts"))
+    count = lambda at, n: F.size(F.filter(F.slice("ends", at, n), lambda x: x))
+    begun = F.transform("starts", lambda i: F.struct(i.alias("at"), count(F.lit(1), i).alias("nth"), F.transform(F.slice("pieces", i + 1, WIDTH), normalised).alias("pieces")))
+    d = d.select("rid", "doc_id", "ends", begun.alias("begun"))
+    each = lambda b: F.transform(F.sequence(F.lit(1), F.size(b["pieces"])), lambda n: F.struct(b["at"].alias("at"), n.alias("n"), b["nth"].alias("nth"), count(b["at"] + 1, n - 1).alias("inner"), F.array_join(F.slice(b["pieces"], 1, n), " ").alias("sentence")))
+    made = F.filter(F.flatten(F.transform("begun", each)), lambda x: F.length(x["sentence"]) <= longest)
+    rows = d.select("rid", "doc_id", F.posexplode_outer(made).alias("pos", "c")).select("rid", "doc_id", "pos", "c.*")
+    hit = rows.join(F.broadcast(known), "sentence", "left").filter("sentence_id is not null or pos is null or pos = 0")
+    hit = hit.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(F.col("sentence_id").isNotNull(), F.struct("at", "n", "nth", "inner", "sentence_id")))).alias("ids"))
+    hit = hit.withColumn("long", F.filter("ids", lambda y: y["n"] > 1))
+    over = lambda x: F.exists("long", lambda y: ((y["at"] < x["at"]) & (x["at"] < y["at"] + y["n"])) | ((y["at"] == x["at"]) & (y["n"] > x["n"])))
+    hit = hit.withColumn("ids", F.filter("ids", lambda x: ~over(x))).withColumn("long", F.filter("ids", lambda y: y["inner"] > 0))
+    parted = lambda x: F.aggregate("long", F.lit(0), lambda sum_, y: sum_ + F.when(y["at"] < x["at"], y["inner"]).otherwise(0))
+    return hit.select("rid", "doc_id", F.transform("ids", lambda x: F.struct((x["nth"] - parted(x)).alias("nth"), x["sentence_id"].alias("sentence_id"))).alias("ids"))
 
 
 def rule_hit(ids: Column, rule: list[str], gap: int = GAP) -> Column:

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -105,6 +106,27 @@ def test_licences(spark):
         assert re.search(licences.CUES, sentence) or name in ("apache-compliance",), name
 
 
+def test_licences_of_whole_wrapped_texts(spark):
+    long, known = licences.WHOLE, licences.SENTENCES
+    mit = [long["mit-grant"], "", known["mit-notice"], "", long["mit-as-is"] + " IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM."]
+    bsd = [known["bsd-redistribution"], "", "1. " + known["bsd-source"], "", "2. " + known["bsd-binary"]]
+    texts = {
+        "Apache-2.0": [known["apache-2.0-header"] + "; " + known["apache-compliance"], known["apache-copy"], "", "    http://www.apache.org/licenses/LICENSE-2.0", "", long["apache-as-is"]],
+        "MIT": mit, "BSD-2-Clause": bsd, "BSD-3-Clause": [*bsd, "", "3. " + known["bsd-no-endorsement"]],
+        "GPL-3.0-or-later": [known["gpl-free"], "", known["gpl-no-warranty"] + "; without even the implied warranty of MERCHANTABILITY."],
+        "MPL-2.0": [known["mpl-2-line"] + " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    }
+    rows, want = [], {}
+    for name, text in texts.items():
+        for width in (10_000, 76, 28):
+            for leader in ("", "// ", " * ", "# "):
+                want[len(rows)] = name
+                rows.append((len(rows), "\n".join(leader + line for x in text for line in (textwrap.wrap(x, width, break_on_hyphens=False) or [""])), "s"))
+    got = {r.doc_id: r for r in licences.scan(docs_of(spark, rows)).collect()}
+    assert [(want[i], rows[i][1]) for i in want if want[i] not in got[i].licences.split(",")] == []
+    assert {got[i].sentence_ids for i in want if want[i] == "Apache-2.0"} == {"apache-2.0-header,apache-compliance,apache-copy,apache-as-is"}
+
+
 def test_licence_rules_need_order_and_nearness(spark):
     ids = lambda *x: [(n, s) for n, s in x]
     d = spark.createDataFrame([(1, ids((0, "a"), (1, "b"))), (2, ids((0, "b"), (1, "a"))), (3, ids((0, "a"), (9, "b"))), (4, ids((0, "a"), (8, "a"), (9, "b")))], "i int, ids array<struct<nth:int,sentence_id:string>>")
