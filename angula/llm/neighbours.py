@@ -72,8 +72,7 @@ def robust_prune(x: np.ndarray, pool: int = POOL, degree: int = DEGREE, alpha: f
     return tuple(np.concatenate(out, axis=1))
 
 
-def _valid(limit: int) -> str:
-    return f"embedding is not null and size(embedding) = {limit} and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
+VALID = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
 
 
 class Graph:
@@ -161,14 +160,15 @@ def _local_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept, and the audited recall, for each row.
 
-    Vectors that are null, zero, of another length than the first by id, or hold null or non-finite components link with
+    Vectors that are null, zero, of another length than most, or hold null or non-finite components link with
     nothing. Rows with equal ids are rows of their own; a null id stays null and is no component's smallest id unless
     the component has no other. An empty table gives none; other columns are not looked at.
     """
     spark = vectors.sparkSession
     rows = written(vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")), "vectors")
-    size = rows.filter("embedding is not null").agg(F.min(F.struct("vec_id", F.size("embedding").alias("d")))["d"]).first()[0]
-    good = rows.filter(_valid(size or 0))
+    good = rows.filter(VALID)
+    size = (good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first() or [0])[0]
+    good = good.filter(F.size("embedding") == size)
     n = good.count()
     plain = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
     if n < 2:

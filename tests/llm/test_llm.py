@@ -76,6 +76,14 @@ def test_vectors_odd(spark):
     assert neighbours.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("at", [0, None])
+@pytest.mark.parametrize("odd_one", [[], [1.0], [0.0, 0.0, 0.0]])
+def test_vectors_odd_length_first(spark, at, odd_one):
+    rows = [(at, odd_one), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0])]
+    got = {r.vec_id: r for r in neighbours.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert [got[i].n_links for i in (at, 1, 2, 3)] == [0, 1, 1, 0] and got[2].component_id == 1
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 32))
