@@ -6,7 +6,8 @@
    with the vectors in the shared folder, mapped by the tasks that search.
 3. Every vector searches: greedily from the medoids nearest to it and from its own place, then by range, through all that
    it links with.
-4. A sample of vectors is held against all rows; where recall is short, the search widens. Links are exact cosines.
+4. A sample of vectors is held against all rows; where recall is short, the search widens. If it stays short, all pairs of
+   shards whose vectors can be near are compared, each pair in blocks. Links are exact cosines.
 """
 
 from __future__ import annotations
@@ -157,6 +158,43 @@ def _local_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         label = new
 
 
+def _compared(put: DataFrame, folder: str, dims: int, bounds: np.ndarray, shards: np.ndarray, least: np.ndarray, limit: float, parts: int) -> DataFrame:
+    """node, n_links, label of all links: pairs of shards compared whole, but those too far apart to have any.
+
+    bounds: a unit vector for each shard; least: the least cosine of its vectors with it. By the angles' triangle inequality.
+    """
+    spark = put.sparkSession
+    held = spark.sparkContext.broadcast((shards, bounds, np.arccos(np.clip(least, -1, 1))))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, at, reach = held.value
+        for b in batches:
+            for i in b.column(0).to_numpy():
+                angle = np.arccos(np.clip(at[i:] @ at[i], -1, 1))
+                near = number[i:][angle <= reach[i:] + reach[i] + np.arccos(limit) + 1e-6]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), number[i], np.int64)), pa.array(near.astype(np.int64))], ["s", "t"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = {p: x.reshape(-1, dims) for p, x in get_arrays(folder, "vector").items()}
+        for b in batches:
+            for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i in range(0, len(vectors[s]), 1024):
+                    for j in range(0, len(vectors[t]), 1024):
+                        a, c = np.nonzero(vectors[s][i : i + 1024] @ vectors[t][j : j + 1024].T >= limit)
+                        a, c = (s << 32) + i + a, (t << 32) + j + c
+                        a, c = a[a != c], c[a != c]
+                        node, n = np.unique(a if s == t else np.concatenate([a, c]), return_counts=True)
+                        mine, label = _local_labels(a, c) if len(a) else (a, c)
+                        none = lambda k: pa.nulls(k, pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), none(len(node))], ["node", "n_links", "label"])
+                        yield pa.RecordBatch.from_arrays([pa.array(mine), none(len(mine)), pa.array(label)], ["node", "n_links", "label"])
+
+    each = written(spark.range(0, len(shards), 1, parts).mapInArrow(pairs, "s long, t long"), "pairs")
+    found = written(each.repartition(4 * parts, "s", "t").mapInArrow(compare, "node long, n_links long, label long"), "compared")
+    counts = put.select("node").join(found.filter("n_links is not null").groupBy("node").agg(F.sum("n_links").alias("n_links")), "node", "left")
+    return written(counts.select("node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.lit(None).cast("long").alias("label")).union(found.filter("label is not null").distinct()), "found")
+
+
 def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept, and the audited recall, for each row.
 
@@ -219,10 +257,10 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
         pdf = pdf.sort_values("node")
         x = np.array(pdf["x"].tolist())
         put_array(folder, "vector", int(key[0]), x.ravel())
-        medoid = pdf["node"].iloc[int((x @ x.mean(0)).argmax())]
-        return pd.DataFrame({"shard": [int(key[0])], "node": [medoid], "x": [x[int((x @ x.mean(0)).argmax())].tolist()], "size": [len(x)]})
+        medoid = int((x @ x.mean(0)).argmax())
+        return pd.DataFrame({"shard": [int(key[0])], "node": [pdf["node"].iloc[medoid]], "x": [x[medoid].tolist()], "size": [len(x)], "least": [(x @ x[medoid]).min()]})
 
-    medoids = put.groupBy("shard").applyInPandas(put_vectors, "shard int, node long, x array<double>, size int").collect()
+    medoids = put.groupBy("shard").applyInPandas(put_vectors, "shard int, node long, x array<double>, size int, least double").collect()
     sizes_of = {r.shard: r["size"] for r in medoids}
     edges.select(F.shiftright("a", 32).cast("int").alias("shard"), F.col("a").bitwiseAND(0xFFFFFFFF).alias("place"), "b").groupBy("shard").applyInPandas(put_edges, "n long").agg(F.sum("n")).collect()
     start = spark.sparkContext.broadcast((np.array([r.node for r in medoids]), np.array([r.x for r in medoids])))
@@ -258,15 +296,24 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
 
     want = {r.i: r.n - 1 for r in put.select("x").mapInArrow(truth, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     ids = spark.createDataFrame([(r.node, i) for i, r in enumerate(audit)], "node long, i long")
+
+    def recall_of(found: DataFrame) -> float:
+        """The lesser of the recall of all links of the audited vectors and the mean of each one's recall."""
+        own = {r.i: r.n_links for r in found.filter("n_links is not null").join(F.broadcast(ids), "node").collect()}
+        linked = [i for i in own if want[i]]
+        got = [min(own[i], want[i]) for i in linked]
+        return min(sum(got) / sum(want[i] for i in linked), float(np.mean([n / want[i] for n, i in zip(got, linked)]))) if linked else 1.0
+
     beam = BEAM
     while True:
         found = written(put.select("node", "x").repartition(parts, "node").mapInArrow(look(beam), "node long, n_links long, label long"), "found")
-        own = {r.i: r.n_links for r in found.filter("n_links is not null").join(F.broadcast(ids), "node").collect()}
-        total = sum(want.values())
-        recall = sum(min(own[i], want[i]) for i in own) / total if total else 1.0
+        recall = recall_of(found)
         if recall >= RECALL or beam >= 8 * BEAM:
             break
         beam *= 2
+    if recall < RECALL:
+        found = _compared(put, folder, size, np.array([r.x for r in medoids]), np.array([r.shard for r in medoids]), np.array([r.least for r in medoids]), limit, parts)
+        recall = recall_of(found)
     group = components(found.filter("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b")).distinct())
     per = put.select("rid", "node").join(found.filter("n_links is not null").select("node", "n_links"), "node").join(group, "node", "left")
     per = per.select("rid", "n_links", F.coalesce("label", "node").alias("label"))

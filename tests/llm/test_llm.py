@@ -97,6 +97,19 @@ def test_vectors_against_brute_force(spark):
     assert all(near[i].any() == (got[i].n_links > 0) for i in range(len(x)))
 
 
+def test_vectors_that_the_search_misses_are_compared(spark, monkeypatch):
+    for name, value in (("SHARD", 20), ("SAMPLE", 2), ("BEAM", 1), ("STARTS", 1)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(500, 48))
+    x = np.concatenate([base, base[:250] + rng.normal(size=(250, 48)) * 0.1, np.repeat(base[:1], 40, 0) + rng.normal(size=(40, 48)) * 0.05])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r for r in neighbours.links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist() and got[0].recall >= neighbours.RECALL
+    assert all(got[i].component_id == got[int(np.flatnonzero(near[i])[0])].component_id for i in range(len(x)) if near[i].any())
+
+
 def test_pruned_graph_keeps_a_way():
     x = neighbours.unit(np.random.default_rng(0).normal(size=(120, 8)))
     a, b = neighbours.robust_prune(x)
