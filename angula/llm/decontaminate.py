@@ -6,7 +6,8 @@ An item of m words is in a document if some stretch of it is within e = floor((1
 2. CGK: a random walk copies a window symbol by symbol into an embedding of 3 m places, so that edit distance becomes
    Hamming distance; an item and a window walk by the same random bits.
 3. Bit sampling: in each of several walks, some samples of a few places; a window that equals the item in all places of any
-   sample is a candidate.
+   sample is a candidate. A window that no sample catches is one, too, if it and e words on each side have m - e words in common
+   with the item, as every match has; so no recall hangs on the samples, whatever the item's length.
 4. Exact edit distance of the item against the stretch around a candidate decides.
 """
 
@@ -103,6 +104,7 @@ class Items:
                 seen = np.zeros(1 << _BITS, bool)
                 seen[(g >> np.uint64(64 - _BITS)).astype(np.int64)] = True
                 self.runs[r] = (g[order], item[order], pos[order], seen)
+        self.bag, self.bag_n = np.unique(self.bag_keys(symbols, of), return_counts=True)
         self.walked = [embed(symbols, ends - self.m, self.m, ends, w) for w in range(WALKS)]
 
     def hits(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +124,24 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
+    def bag_keys(self, symbols: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return mix(symbols ^ mix(item.astype(np.uint64) + np.uint64(1)))
+
+    def in_common(self, h: np.ndarray, item: np.ndarray, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether enough words of the item, each as often as it has it, lie in the window and e words on each side."""
+        a, b = np.maximum(begin - self.e[item], lo), np.minimum(begin + self.m[item] + self.e[item], hi)
+        n = np.maximum(b - a, 0)
+        row = np.repeat(np.arange(len(item)), n)
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = self.bag_keys(h[at], item[row])
+        place = np.minimum(np.searchsorted(self.bag, key), len(self.bag) - 1)
+        row, place = row[self.bag[place] == key], place[self.bag[place] == key]
+        pair, times = np.unique(row * len(self.bag) + place, return_counts=True)
+        common = np.bincount(pair // len(self.bag), np.minimum(times, self.bag_n[pair % len(self.bag)]), len(item))
+        return common >= self.m[item] - self.e[item]
+
     def candidates(self, h: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Which windows equal their item in all places of a sample of any walk."""
+        """Which windows equal their item in all places of a sample of any walk, or have enough words in common with it."""
         lo, hi = np.searchsorted(doc, of, "left"), np.searchsorted(doc, of, "right")
         start, m = np.maximum(begin, lo), self.m[item]
         ok = np.zeros(len(item), bool)
@@ -137,6 +155,8 @@ class Items:
                 at = sample_places(int(size), w)
                 same = mine[rows][:, at] == theirs[rows][:, at]
                 ok[todo[rows[same.all(2).any(1)]]] = True
+        rest = np.flatnonzero(~ok)
+        ok[rest] = self.in_common(h, item[rest], begin[rest], lo[rest], hi[rest])
         return ok
 
     def matches(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:

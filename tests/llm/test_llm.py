@@ -462,6 +462,31 @@ def test_decontamination_against_brute_force(spark):
     assert all(want[k] == v for k, v in got.items())
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "replace"])
+@pytest.mark.parametrize("m", [5, 20, 60, 100, 200, 400])
+def test_decontamination_finds_long_items(m, kind):
+    rng = np.random.default_rng(m)
+    new = lambda k: rng.integers(1, 1 << 63, k).astype(np.uint64)
+    each = [new(m) for _ in range(30)]
+    items = decontaminate.Items(np.arange(30), np.cumsum([m] * 30), np.concatenate(each), 0.8)
+    e = int(decontaminate.budget(np.array([m]), 0.8)[0])
+    found = 0
+    for i, x in enumerate(each):
+        at = np.sort(rng.choice(m, e, replace=False))
+        if kind == "insert":
+            copy = np.insert(x, at, new(e))
+        elif kind == "delete":
+            copy = np.delete(x, at)
+        else:
+            copy = x.copy()
+            copy[at] = new(e)
+        h = np.concatenate([new(50), copy, new(50)])
+        far, _ = decontaminate.edit_distances([x], [h])
+        assert far[0] <= e
+        found += [(j, f) for _, j, _, f in items.matches(h, np.zeros(len(h), np.int64))] == [(i, far[0])]
+    assert found == 30
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7)]
     got = {r.node: r.label for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
