@@ -132,9 +132,9 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, **cols:
 
 
 def mixed_sizes(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, **cols: str) -> DataFrame:
-    """For each document: doc_id, source, size, source_size, target, and how many words the mix takes of it (repeats counted)."""
+    """For each document: doc_id, source, size, source_size, target, and how many words the mix takes of it (repeats counted), summed over its shards."""
     packed, src = pack(written(sizes(docs, **cols), "sizes"), block_words)
-    times = draw(src, shard_slots).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = draw(src, shard_slots).groupBy("shard", "skey", "block").agg(F.count(F.lit(1)).alias("times"))
     of = pieces(packed, block_words).join(times, ["skey", "block"], "left")
     keys = ["skey", "chunk", "nth", "doc_id", "source", "size", "source_size", "target"]
     return of.groupBy(*keys).agg(F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")

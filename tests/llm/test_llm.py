@@ -369,6 +369,11 @@ def test_mix_against_duckdb(spark, duck):
     assert mine == theirs
 
 
+def test_mixed_sizes_draw_shards(spark):
+    plan = mix.mixed_sizes(docs_of(spark, [(1, "a b c", "s")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard#" in plan
+
+
 def test_mix_keeps_its_bounds(spark):
     d = docs_of(spark, [(i, "w " * (1 + i * 37 % 900), f"s{i % 7 if i % 3 else 0}") for i in range(300)])
     rows = mix.mixed_sizes(d, block_words=16).collect()
