@@ -23,6 +23,18 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that are no columns of df, in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, where their path doesn't have it: as a zip among the session's files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

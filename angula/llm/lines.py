@@ -3,10 +3,11 @@
 Main path: DataFrame operations only. Words with a digit are variable fields. A leaf holds the lines of one token count and
 the same leading words. In a leaf with enough different lines, words in places where no word prevails become fields, too.
 
-A template is recurring if it stands in enough documents, where copies and near copies of a document count once, or in enough
-different surroundings: the fewest of the different lines before it and after it, counted over all documents. A line that only
-recurs because its document was copied so counts once; whole copies are for document dedup to find. Near copies share most of
-a sketch: the smallest hashes of three words in a row. Lines of recurring templates are dropped wherever they stand.
+A template recurs if it stands in enough different documents, where copies and near copies of a document count once; lines of
+a document that was copied are for document dedup to find. How often a line stands within a document doesn't matter. Near
+copies share most of a sketch: the smallest hashes of three words in a row. Lines of recurring templates go wherever they stand.
+
+Texts and templates are known by two 64-bit hashes each.
 """
 
 from __future__ import annotations
@@ -14,117 +15,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, remove, text_of, written
+from .common import components, fresh, remove, text_of, written
 
 #: Shorter lines recur in ordinary prose.
 MIN_TOKENS = 4
-#: Documents, near copies counted once, or surroundings in which a template must recur.
-MIN_PLACES = 5
+#: Documents, near copies counted once, in which a template must recur.
+MIN_DOCUMENTS = 5
 #: Leading words on the tree's path.
 DEPTH = 3
 #: Share of a leaf's lines in which a word must stand at a place to be part of the template, and share of such places.
 PREVAIL, CONSTANT = 0.5, 0.7
 #: Hashes in a document's sketch, those of them that near copies are looked for by, and the share that near copies have in common.
 SKETCH, PROBES, NEAR = 32, 8, 0.6
-#: Leaves and near copies (16 bytes each) that are broadcast at most, so that lines of other leaves and texts are not shuffled.
+#: One in so many runs of words may be in a sketch.
+STRIDE = 4
+#: Leaves (8 bytes each) that are broadcast at most, so that lines of other leaves are not shuffled.
 BROADCAST_LEAVES = 1_000_000
-SPACES = r"[\x20\x09-\x0D]+"
+BLANK = " \t\r\x0b\x0c"
 FIELD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*[0-9])[^\x20\x09-\x0D]+"
+TEXT, TEMPLATE, PATTERN = ["k", "v"], ["t", "u"], ["p", "q"]
 
 
-def _key(text: Column) -> Column:
-    return F.xxhash64(text)
-
+def hashes(names: list[str], *of: str | Column) -> list[Column]:
+    return [F.xxhash64(*of).alias(names[0]), F.xxhash64(F.lit(1), *of).alias(names[1])]
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """A row for each line that is not blank: doc_id, key (of the text), nth, t (template), before, after, leaf, tokens."""
-    text = text_of(text_col)
-    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, FIELD, "<*>")).otherwise(text)
-    rows = F.transform(F.split(masked, "\n", -1), lambda x: F.trim(x))
-    d = docs.select(F.col(id_col).alias("doc_id"), _key(text).alias("key"), rows.alias("rows")).withColumn("keys", F.transform("rows", lambda x: F.xxhash64(x)))
-    near = lambda i: F.coalesce(F.get("keys", i), F.lit(0)).cast("long")
-    each = F.transform("rows", lambda x, i: F.when(x != "", F.struct(i.alias("nth"), x.alias("line"), near(i).alias("t"), near(i - 1).alias("before"), near(i + 1).alias("after"))))
-    d = d.select("doc_id", "key", F.explode(F.array_compact(each)).alias("l")).select("doc_id", "key", "l.*")
-    d = d.withColumn("words", F.split("line", SPACES, -1))
-    return d.select("doc_id", "key", "nth", "t", "before", "after", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"), F.size("words").alias("tokens"), "line")
 
+def lines_of(docs: DataFrame, text_col: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """A row for each line of min_tokens words or more: k, v (the text), nth, t, u (the template), leaf, tokens, line (masked).
 
-def places(by: DataFrame, key: str) -> DataFrame:
-    """key and its places: the fewer of the different lines before and after."""
-    a = by.groupBy(key).agg(F.count_distinct("before").alias("n_before"))
-    b = by.groupBy(key).agg(F.count_distinct("after").alias("n_after"))
-    return a.join(b, key).select(key, F.least("n_before", "n_after").alias("places"))
+    Words are parted by single spaces; other white space within a line counts as one.
+    """
+    d = docs.select(text_of(text_col).alias("text")).select(*hashes(TEXT, "text"), F.split("text", "\n", -1).alias("rows"))
+    d = d.select(*TEXT, F.posexplode("rows").alias("nth", "line")).withColumn("line", F.trim("line"))
+    masked = F.trim(F.regexp_replace(F.regexp_replace("line", f"[{BLANK}]+", " "), FIELD, "<*>"))
+    d = d.withColumn("line", F.when(F.col("line").rlike("[0-9\t\r\x0b\x0c]"), masked).otherwise(F.col("line")))
+    d = d.withColumn("words", F.split("line", " ", -1)).withColumn("tokens", F.size("words"))
+    one = F.struct(*hashes(TEMPLATE, "line"), F.xxhash64("tokens", F.slice("words", 1, depth)).alias("leaf"), "tokens", "line")
+    # Generating one row keeps the filter behind the columns, so that words are split once.
+    d = d.select(*TEXT, "nth", F.inline(F.array(one)))
+    return d.filter((F.col("tokens") >= min_tokens) & (F.col("line") != ""))
 
 
-def documents(by: DataFrame, key: str) -> DataFrame:
-    """key and its documents: the different classes of texts that it stands in."""
-    return by.groupBy(key).agg(F.count_distinct("class").alias("documents"))
+def sketches_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """k, sketch: the smallest hashes of three words in a row, of those runs whose first word's hash is a multiple of STRIDE."""
+    d = docs.select(text_of(text_col).alias("text")).select(F.xxhash64("text").alias("k"), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1).alias("w"))
+    runs = F.transform("w", lambda x, i: F.when(F.xxhash64(x) % STRIDE == 0, F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))))
+    return d.select("k", F.slice(F.sort_array(F.array_compact(F.array_distinct(runs))), 1, SKETCH).alias("sketch"))
 
 
-def near_copies(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, class): texts that have near copies, by key, and one number for all that links of near copies reach.
+def near_copies(sketches: DataFrame) -> DataFrame:
+    """k, class: texts that have near copies, and one number for all that links of near copies reach.
 
     Texts with one of the smallest hashes in common are held against the first of them, so that links grow with the texts.
     """
-    text = text_of(text_col)
-    words = docs.select(_key(text).alias("key"), F.split(F.trim(text), SPACES, -1).alias("w"))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    sketch = F.slice(F.array_distinct(F.sort_array(runs)), 1, SKETCH)
-    sketches = written(words.select("key", sketch.alias("sketch")).dropDuplicates(["key"]), "sketches")
-    probes = sketches.select("key", F.explode(F.slice("sketch", 1, PROBES)).alias("hash"))
-    first = probes.groupBy("hash").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "head")
-    pairs = probes.join(first, "hash").filter("key <> head").select("key", "head").distinct()
-    pairs = pairs.join(sketches, "key").join(sketches.select(F.col("key").alias("head"), F.col("sketch").alias("other")), "head")
+    probes = sketches.select("k", F.explode(F.slice("sketch", 1, PROBES)).alias("hash"))
+    first = probes.groupBy("hash").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "head")
+    pairs = probes.join(first, "hash").filter("k <> head").select("k", "head").distinct()
+    pairs = pairs.join(sketches, "k").join(sketches.select(F.col("k").alias("head"), F.col("sketch").alias("other")), "head")
     alike = F.size(F.array_intersect("sketch", "other")) >= NEAR * F.greatest(F.size("sketch"), F.size("other"))
-    out = components(pairs.filter(alike).select(F.col("key").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("key"), F.col("label").alias("class"))
-    remove(docs.sparkSession, sketches)
-    return out
+    return components(pairs.filter(alike).select(F.col("k").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("k"), F.col("label").alias("class"))
 
 
-def generalised(lines: DataFrame, min_places: int, prevail: float, constant: float) -> DataFrame:
-    """(t, general): lines of the larger leaves by their template after words that do not prevail in the leaf became fields."""
-    large = lines.select("leaf", "t").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= min_places)
+def generalised(lines: DataFrame, min_documents: int, prevail: float, constant: float) -> DataFrame:
+    """t, u, p, q: lines of the larger leaves, and their template after words that do not prevail in the leaf became fields."""
+    large = lines.select("leaf", *TEMPLATE).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= min_documents)
     large = written(large, "leaves")
     if large.count() <= BROADCAST_LEAVES:  # else a join by shuffle
         large = F.broadcast(large)
-    kinds = lines.join(large, "leaf").groupBy("leaf", "t", "kinds").agg(F.first("line").alias("line"), F.first("tokens").alias("tokens"))
-    words = kinds.select("leaf", "t", "kinds", "tokens", F.posexplode(F.split("line", SPACES, -1)).alias("at", "word"))
+    kinds = lines.join(large, "leaf").groupBy("leaf", *TEMPLATE, "kinds").agg(F.first("line").alias("line"), F.first("tokens").alias("tokens"))
+    words = written(kinds.select("leaf", *TEMPLATE, "kinds", "tokens", F.posexplode(F.split("line", " ", -1)).alias("at", "word")), "words")
     shares = words.groupBy("leaf", "kinds", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("kinds") * prevail).select("leaf", "at", "word")
-    kept = words.join(shares, ["leaf", "at", "word"], "left_semi")
-    out = kept.groupBy("leaf", "t", "tokens").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
-    return out.filter(F.size("words") >= F.col("tokens") * constant).select("t", F.xxhash64("leaf", F.col("words").cast("string")).alias("general"))
-
-
-def recurring(lines: DataFrame, copies: DataFrame, min_tokens: int = MIN_TOKENS, min_places: int = MIN_PLACES, prevail: float = PREVAIL, constant: float = CONSTANT) -> DataFrame:
-    """Templates t of recurring lines; copies are near_copies()."""
-    long = lines.filter(F.col("tokens") >= min_tokens)
-    if copies.count() <= BROADCAST_LEAVES:  # else a join by shuffle
-        copies = F.broadcast(copies)
-    around = long.select("t", "before", "after").distinct()
-    within = written(long.join(copies, "key", "left").select("t", F.coalesce("class", "key").alias("class")).distinct(), "within")
-    enough = lambda by, key: places(by[0], key).filter(F.col("places") >= min_places).select(key).union(documents(by[1], key).filter(F.col("documents") >= min_places).select(key))
-    plain = enough((around, within), "t")
-    general = written(generalised(long, min_places, prevail, constant), "general")
-    often = enough((around.join(general, "t"), within.join(general, "t")), "general")
-    out = written(plain.union(general.join(often, "general", "left_semi").select("t")).distinct(), "recurring")
-    remove(lines.sparkSession, within)
+    out = words.join(shares, ["leaf", "at", "word"], "left_semi").groupBy("leaf", *TEMPLATE, "tokens").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
+    return out.filter(F.size("words") >= F.col("tokens") * constant).select(*TEMPLATE, *hashes(PATTERN, "leaf", F.col("words").cast("string")))
+
+
+def recurring(lines: DataFrame, sketches: DataFrame, min_documents: int = MIN_DOCUMENTS, prevail: float = PREVAIL, constant: float = CONSTANT) -> DataFrame:
+    """t, u of the templates of lines_of() that recur; sketches are sketches_of() of the same documents.
+
+    A template is counted by itself and by its generalised form. Classes of near copies are only looked for among texts
+    that hold what stands in enough different texts.
+    """
+    spark = lines.sparkSession
+    held = written(lines.select(*TEMPLATE, "k").distinct(), "held")
+    often = lambda by, of: by.groupBy(*PATTERN).agg(F.count_distinct(of).alias("n")).filter(F.col("n") >= min_documents).select(*PATTERN)
+    plain = often(held.toDF(*PATTERN, "k"), "k")
+    general = written(generalised(lines, min_documents, prevail, constant), "general")
+    wide = general.join(often(held.join(general, TEMPLATE), "k"), PATTERN, "left_semi")
+    members = written(plain.select(*PATTERN, *[F.col(p).alias(t) for p, t in zip(PATTERN, TEMPLATE)]).union(wide.select(*PATTERN, *TEMPLATE)), "members")
+    within = written(held.join(members, TEMPLATE).select(*PATTERN, "k").distinct(), "within")
+    texts = written(sketches.join(within.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "sketches")
+    classes = within.join(near_copies(texts), "k", "left").select(*PATTERN, F.coalesce("class", "k").alias("class"))
+    out = written(members.join(often(classes, "class"), PATTERN, "left_semi").select(*TEMPLATE).distinct(), "recurring")
+    remove(spark, held, general, members, within, texts)
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, min_places: int = MIN_PLACES) -> DataFrame:
+def dedup(docs: DataFrame, text_col: str = "text", min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs with the recurring lines cut from the text, and n_lines, n_dropped.
 
-    Each row of docs stays, with all its columns (n_lines and n_dropped replace columns of those names). A null text stays
-    null and has no lines; blank lines stay; equal rows and rows with a null id are treated alike; an empty table gives none.
+    Each row of docs stays, with all its columns (n_lines and n_dropped replace columns of those names; other names can be
+    given). A null text stays null and has no lines; blank lines stay; equal rows and rows with a null id are treated
+    alike; an empty table gives none. The cuts are joined to the texts by a shuffle at every size.
     """
-    found = lines_of(docs, id_col, text_col, DEPTH)
-    slim = written(found.filter(F.col("tokens") >= min_tokens).select("doc_id", "key", "nth", "t", "before", "after", "leaf", "tokens", "line"), "lines")
-    out = recurring(slim, near_copies(docs, text_col), min_tokens, min_places)
-    drop = written(slim.select("key", "nth", "t").join(out, "t", "left_semi").groupBy("key").agg(F.collect_set("nth").alias("drop_")), "drop")
-    remove(docs.sparkSession, slim, out)
-    rows = F.split(text_of(text_col), "\n", -1)
-    d = docs.withColumn("key_", _key(text_of(text_col))).join(drop.withColumnRenamed("key", "key_"), "key_", "left").drop("key_")
-    cut = F.array_join(F.filter(rows, lambda x, i: ~F.array_contains("drop_", i)), "\n")
-    d = d.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(rows)).cast("long"))
-    d = d.withColumn("n_dropped", F.coalesce(F.size("drop_"), F.lit(0)).cast("long"))
-    return d.withColumn(text_col, F.when(F.col("drop_").isNull(), F.col(text_col)).otherwise(cut)).drop("drop_")
+    found = written(lines_of(docs, text_col, DEPTH, min_tokens), "lines")
+    out = recurring(found, sketches_of(docs, text_col), min_documents)
+    k, v, drop = fresh(docs, "k", "v", "drop")
+    cuts = written(found.select(*TEXT, "nth", *TEMPLATE).join(out, TEMPLATE, "left_semi").groupBy(*TEXT).agg(F.collect_set("nth").alias("nths")).toDF(k, v, drop), "cuts")
+    remove(docs.sparkSession, found, out)
+    text = text_of(text_col)
+    d = docs.withColumns(dict(zip((k, v), hashes(TEXT, text)))).join(cuts.hint("shuffle_hash"), [k, v], "left").drop(k, v)
+    rows = F.split(text, "\n", -1)
+    cut = F.array_join(F.filter(rows, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    d = d.withColumns({n_lines: F.when(F.col(text_col).isNull(), 0).otherwise(F.size(rows)).cast("long"), n_dropped: F.coalesce(F.size(drop), F.lit(0)).cast("long")})
+    return d.withColumn(text_col, F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(cut)).drop(drop)
