@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, text_of, written
+from .common import WORD, partitions, text_of, written
 
 #: Primes under 2**31; products of two values below them fit a long.
 P, Q = 2147483647, 2147483629
 ROUNDS = 8
-CHUNKS = 1024
+#: Parts that a source's documents are ordered in, each by itself.
+CHUNKS = 4096
 
 
 def hash31(x: str, salt: str) -> str:
@@ -47,14 +48,10 @@ def swap_rounds(x: str, n: str, salt: str) -> list[tuple[str, str]]:
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, source, size (words of the whole text; null: 0) and the chunk that the document's words are packed in."""
-    chunk = hash31(f"abs(coalesce({id_col}, 0) % {P})", "5")
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-        F.expr(f"({chunk}) % {CHUNKS}").alias("chunk"),
-    ).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    """doc_id, source, size (words of the whole text; null: 0) and the chunk, by id or else size, that the document's words are packed in."""
+    chunk = hash31(f"abs(coalesce(doc_id, size) % {P})", "5")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
+    return d.withColumn("chunk", F.expr(f"({chunk}) % {CHUNKS}")).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -93,17 +90,18 @@ def pack(sized: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     return docs, src
 
 
-def draw(src: DataFrame, shard_slots: int, step: int = 1 << 16) -> DataFrame:
+def draw(src: DataFrame, shard_slots: int, step: int = 1 << 14) -> DataFrame:
     """Every slot of the mix: skey, shard, slot, and the block that fills it.
 
     Tickets of all sources are dealt to shards by one permutation of all of them, so a shard's source counts are a
     multinomial draw given each source's total (targets are met, and no source is drawn beyond three epochs). The nth slot
-    of a source takes block permutation(n mod blocks), with another permutation for each source and epoch.
+    of a source takes block permutation(n mod blocks), with another permutation for each source and epoch. Runs of step slots
+    are dealt to all tasks.
     """
     s = src.withColumn("first", F.coalesce(F.sum("slots").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("all_slots", F.sum("slots").over(W.partitionBy())).filter("slots > 0")
     s = s.select("skey", "rank", "blocks", "slots", "first", "all_slots", F.explode(F.expr(f"sequence(0L, slots - 1, {step}L)")).alias("lo"))
-    s = s.repartition("skey", "lo")
+    s = s.repartition(partitions(src.sparkSession), "skey", "lo")
     s = s.select("skey", "rank", "blocks", "first", "all_slots", F.explode(F.expr(f"sequence(lo, least(lo + {step}L, slots) - 1)")).alias("nth"))
     s = s.withColumn("salt", F.expr("(rank * 4 + nth div blocks) * 16")).withColumn("turn", F.expr("nth % blocks"))
     s = s.select("skey", "all_slots", F.expr(permuted("turn", "blocks", "salt")).alias("block"), (F.col("first") + F.col("nth")).alias("turn"))
@@ -128,26 +126,27 @@ def mix(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, **cols:
     """
     packed, src = pack(written(sizes(docs, **cols), "sizes"), block_words)
     where = pieces(packed, block_words).filter("block is not null").select("skey", "block", "source", "doc_id", "first_word", "words")
-    return draw(src, shard_slots).join(where, ["skey", "block"]).select("shard", "slot", "source", "block", "doc_id", "first_word", "words")
+    return draw(src, shard_slots).join(where.hint("merge"), ["skey", "block"]).select("shard", "slot", "source", "block", "doc_id", "first_word", "words")
 
 
 def mixed_sizes(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096, **cols: str) -> DataFrame:
     """For each document: doc_id, source, size, source_size, target, and how many words the mix takes of it (repeats counted), summed over its shards."""
     packed, src = pack(written(sizes(docs, **cols), "sizes"), block_words)
     times = draw(src, shard_slots).groupBy("shard", "skey", "block").agg(F.count(F.lit(1)).alias("times"))
-    of = pieces(packed, block_words).join(times, ["skey", "block"], "left")
+    of = pieces(packed, block_words).join(times.hint("merge"), ["skey", "block"], "left")
     keys = ["skey", "chunk", "nth", "doc_id", "source", "size", "source_size", "target"]
     return of.groupBy(*keys).agg(F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def oracle(from_table: str = "documents", block_words: int = 64) -> str:
     """DuckDB SQL for mixed_sizes."""
-    chunk = f"({hash31(f'abs(coalesce(doc_id, 0) % {P})', '5')}) % {CHUNKS}"
+    size = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
+    chunk = f"({hash31(f'abs(coalesce(doc_id, {size}) % {P})', '5')}) % {CHUNKS}"
     inner = "SELECT skey, blocks, (rank * 4 + nth // blocks) * 16 AS salt, nth % blocks AS turn FROM slots"
     for k, (name, sql) in enumerate(swap_rounds("turn", "blocks", "salt")):
         inner = f"SELECT *, {sql} AS {name} FROM ({inner}) AS q{k}"
     return f"""
-WITH sized AS (SELECT doc_id, source, coalesce('s' || source, '') AS skey, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, {chunk} AS chunk FROM {from_table}),
+WITH sized AS (SELECT doc_id, source, coalesce('s' || source, '') AS skey, {size} AS size, {chunk} AS chunk FROM {from_table}),
 s0 AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY skey),
 s1 AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN skey = '' THEN 1 ELSE 0 END, skey) AS rank FROM s0),
 s2 AS (SELECT *, (rank - 1) % 3 + 1 AS weight FROM s1),
