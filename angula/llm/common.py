@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of anything but space and \\t \\n \\v \\f \\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +36,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def by_place(df: DataFrame, run, *more: T.StructField) -> DataFrame:
+    """df's columns, by place whatever they are called, through run in Arrow batches, and more columns behind them."""
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
+    out = df.toDF(*[f.name for f in fields]).mapInArrow(run, T.StructType([*fields, *[T.StructField(f"c{len(fields) + i}", f.dataType) for i, f in enumerate(more)]]))
+    return out.toDF(*df.columns, *[f.name for f in more])
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, where their path doesn't have it: as a zip among the session's files."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

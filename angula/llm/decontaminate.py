@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_arrays, new_folder, put_array, text_of
+from .common import by_place, get_arrays, new_folder, put_array, text_of
 from .grams import grams, mix, sliced, words
 
 SIMILARITY = 0.8
@@ -212,10 +213,14 @@ def _put(folder: str):
     return run
 
 
+def _opened(folder: str, similarity: float) -> list[Items]:
+    held = {k: get_arrays(folder, k) for k in ("id", "end", "word")}
+    return [Items(*(np.asarray(held[k][p]) for k in ("id", "end", "word")), similarity) for p in sorted(held["id"])]
+
+
 def _scan(folder: str, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: get_arrays(folder, k) for k in ("id", "end", "word")}
-        parts = [Items(*(np.asarray(held[k][p]) for k in ("id", "end", "word")), similarity) for p in sorted(held["id"])]
+        parts = _opened(folder, similarity)
         for b in batches:
             rid, found = b.column(0).to_numpy(), []
             for i, _, data, at in sliced(b.column(1)):
@@ -227,17 +232,34 @@ def _scan(folder: str, similarity: float):
     return run
 
 
+def _without(folder: str, similarity: float, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _opened(folder, similarity)
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            for i, _, data, at in sliced(pa.compute.fill_null(b.column(text), "")):
+                h, doc, _, _ = words(data, at)
+                clean[[i + m[0] for items in parts for m in items.matches(h, doc)]] = False
+            yield b.filter(pa.array(clean))
+
+    return run
+
+
+def _put_items(items: DataFrame) -> str:
+    folder = new_folder(items.sparkSession, "items")
+    i = items.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text")).filter("item_id is not null")
+    i.mapInArrow(_put(folder), "n long").agg(F.sum("n")).collect()
+    return folder
+
+
 def find_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, item_id, end_word, edits of every item within its edit budget of some stretch of a row of docs.
 
     rid is docs' own id column. Rows and items with null ids or without words match nothing. items may have any number of
     rows: each of their partitions is a part that tasks map and hold against their documents in turn.
     """
-    folder = new_folder(docs.sparkSession, "items")
-    i = items.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text")).filter("item_id is not null")
-    i.mapInArrow(_put(folder), "n long").agg(F.sum("n")).collect()
     d = docs.select(F.col(id_col).cast("long").alias("rid"), text_of(text_col).alias("text")).filter("rid is not null")
-    return d.mapInArrow(_scan(folder, similarity), "rid long, item_id long, end_word long, edits long")
+    return d.mapInArrow(_scan(_put_items(items), similarity), "rid long, item_id long, end_word long, edits long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -249,8 +271,10 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     return find_items(docs, items, similarity).select(F.col("rid").alias("doc_id"), "item_id", "edits", "end_word")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the rows that hold an item, all columns as they were. Rows with null ids stay only if they hold none."""
-    keyed = docs.withColumn("key_", F.xxhash64(text_of("text")))
-    hit = find_items(keyed, items, similarity, id_col="key_").select(F.col("rid").alias("key_")).distinct()
-    return keyed.join(hit, "key_", "left_anti").drop("key_")
+def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold an item, all columns as they were; each task decides its own rows.
+
+    Rows with a null id are held to the same rule. Null and empty texts stay, equal rows are treated alike, without items
+    all rows stay, an empty table gives none.
+    """
+    return by_place(docs, _without(_put_items(items), similarity, docs.columns.index(text_col)))

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find, get_arrays, keys_of, new_folder, partitions, put_array, range_part, remove, small, small_blob, text_of, written
+from .common import components, find, fresh, get_arrays, keys_of, new_folder, partitions, put_array, range_part, remove, small, small_blob, text_of, written
 from .grams import set_keys, shingle_sets
 
 N = 5
@@ -30,7 +30,6 @@ BITS = 1024
 #: Rounds against hubs at most, and hubs for each node after the first.
 ROUNDS, HUBS = 3, 8
 U24 = np.uint64(24)
-_DOC = "part int, doc_id long, n_shingles long, node long, blob binary"
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -43,19 +42,19 @@ def _read(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             sizes, keys, got = [], [], []
-            for _, n, ends, g in shingle_sets(b.column(1), N):
+            for _, n, ends, g in shingle_sets(b.columns[-1], N):
                 sizes.append(n)
                 keys.append(set_keys(n, ends, g))
                 got.append(g)
             if not got:
                 continue
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32) % parts), b.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), _i64(np.concatenate(keys)), pa.nulls(n, pa.binary())], ["part", "doc_id", "n_shingles", "node", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32) % parts), *b.columns[:-1], pa.array(np.concatenate(sizes).astype(np.int64)), _i64(np.concatenate(keys)), pa.nulls(n, pa.binary())], ["part", *b.schema.names[:-1], "n_shingles", "node", "blob"])
             g = np.sort(np.concatenate(got))
             cut = np.searchsorted(range_part(g, parts), np.arange(parts + 1))
             own = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), none, none, none, pa.array([small_blob(g[cut[p] : cut[p + 1]] >> U24) for p in own], pa.binary())], ["part", "doc_id", "n_shingles", "node", "blob"])
+            none = [pa.nulls(len(own), pa.int64())] * (b.num_columns + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *none, pa.array([small_blob(g[cut[p] : cut[p + 1]] >> U24) for p in own], pa.binary())], ["part", *b.schema.names[:-1], "n_shingles", "node", "blob"])
 
     return run
 
@@ -70,7 +69,7 @@ def _count(folder: str, common: int):
                 if x is not None:
                     blobs.setdefault(p, []).append(x)
             docs = b.filter(pa.compute.is_null(b.column("blob")))
-            yield docs.select(["doc_id", "n_shingles", "node"])
+            yield docs.select(docs.schema.names[1:-1])
         for p, xs in blobs.items():
             keys, n = np.unique(np.concatenate([keys_of(x) for x in xs]), return_counts=True)
             put_array(folder, "common", p, keys[n >= common] << U24)
@@ -265,16 +264,17 @@ def _verify(folder: str, parts: int):
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, node; labels: node, label) where nodes with one label are one component.
+def classes(docs: DataFrame, text_col: str, **ids: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows: ids, n_shingles, node; labels: node, label) where nodes with one label are one component; ids are long columns.
 
     Documents with equal sets have one node; the node of an empty set is 0 and has no label, as have nodes without links.
     """
     spark = docs.sparkSession
     parts = max(32, partitions(spark))
     folder = new_folder(spark, "sets")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = d.mapInArrow(_read(parts), _DOC).repartition(parts, "part").mapInArrow(_count(folder, COMMON), "doc_id long, n_shingles long, node long")
+    d = docs.select(*[c.cast("long").alias(k) for k, c in ids.items()], text_of(text_col).alias("text"))
+    kept = ", ".join(f"{k} long" for k in [*ids, "n_shingles", "node"])
+    rows = d.mapInArrow(_read(parts), f"part int, {kept}, blob binary").repartition(parts, "part").mapInArrow(_count(folder, COMMON), kept)
     rows = written(rows, "nodes")
     text = d.select("text")
     tiles = text.mapInArrow(_prefixes(folder, parts), "part int, h binary, node binary, n binary").repartition(parts, "part").mapInArrow(_tiles, "tile long, node long, n int")
@@ -320,7 +320,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     component_id is null if no row with an id is reached. Equal rows give equal rows, an empty table gives none, other
     columns are not looked at.
     """
-    rows, labels = classes(docs, id_col, text_col)
+    rows, labels = classes(docs, text_col, doc_id=F.col(id_col))
     per = rows.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = per.join(per.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
     return rows.join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of join(): the one with the smallest id, of equal ids the smallest text hash, and once.
+
+    Rows go by what they hold, not by their id: another row of the same id stays. Rows with a null id go only if their
+    component has a row with an id or another one without. Null and empty texts all stay. All columns stay as they were;
+    an empty table gives none. Texts are known by 128 bits; verdicts are joined to them by a shuffle at every size.
+    """
+    k, v, verdict = fresh(docs, "k", "v", "verdict")
+    hashes = {k: F.xxhash64(text_of(text_col)), v: F.xxhash64(F.lit(1), text_of(text_col))}
+    rows, labels = classes(docs, text_col, doc_id=F.col(id_col), k=hashes[k], v=hashes[v])
+    texts = rows.filter("node <> 0").groupBy("node", "k", "v").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    texts = written(texts, "texts")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k", "v"))
+    of = texts.groupBy("label").agg(first.alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    verdicts = texts.join(of, "label").select(F.col("k").alias(k), F.col("v").alias(v), F.struct(((F.col("k") == F.col("first.k")) & (F.col("v") == F.col("first.v"))).alias("stays"), "least", "n").alias(verdict))
+    verdicts = written(verdicts, "verdicts")
+    remove(docs.sparkSession, texts)
+    judged = docs.withColumns(hashes).join(verdicts.hint("shuffle_hash"), [k, v], "left")
+    chosen = F.col(verdict)["stays"] & F.col(verdict)["least"].eqNullSafe(F.col(id_col).cast("long"))
+    alone = judged.filter(F.col(verdict).isNull() | (chosen & (F.col(verdict)["n"] == 1)))
+    tied = judged.filter(chosen & (F.col(verdict)["n"] > 1)).dropDuplicates([k, v])
+    return alone.unionByName(tied).drop(k, v, verdict)

@@ -43,12 +43,12 @@ def hashes(names: list[str], *of: str | Column) -> list[Column]:
 def lines_of(docs: DataFrame, text_col: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """A row for each line of min_tokens words or more: k, v (the text), nth, t, u (the template), leaf, tokens, line (masked).
 
-    Words are parted by single spaces; other white space within a line counts as one.
+    Words are parted by white space, however much of it.
     """
     d = docs.select(text_of(text_col).alias("text")).select(*hashes(TEXT, "text"), F.split("text", "\n", -1).alias("rows"))
     d = d.select(*TEXT, F.posexplode("rows").alias("nth", "line")).withColumn("line", F.trim("line"))
     masked = F.trim(F.regexp_replace(F.regexp_replace("line", f"[{BLANK}]+", " "), FIELD, "<*>"))
-    d = d.withColumn("line", F.when(F.col("line").rlike("[0-9\t\r\x0b\x0c]"), masked).otherwise(F.col("line")))
+    d = d.withColumn("line", F.when(F.col("line").rlike("[0-9\t\r\x0b\x0c]|  "), masked).otherwise(F.col("line")))
     d = d.withColumn("words", F.split("line", " ", -1)).withColumn("tokens", F.size("words"))
     one = F.struct(*hashes(TEMPLATE, "line"), F.xxhash64("tokens", F.slice("words", 1, depth)).alias("leaf"), "tokens", "line")
     # Generating one row keeps the filter behind the columns, so that words are split once.

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_of
+from .common import by_place, text_of
 
 #: Labelled rows that the model is fitted on at most, taken by hash of doc_id.
 MAX_ROWS = 20_000
@@ -268,23 +269,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with score and predicted in place of columns of those names; a null text is empty; each row stays."""
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted", "held_out")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    i = [f.name for f in fields].index(text_col)
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """docs with its score and the prediction, in place of columns of those names; a null text is empty; each row stays."""
+    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (score_col.lower(), predicted_col.lower())])
+    shared, i = docs.sparkSession.sparkContext.broadcast(model), d.columns.index(text_col)
 
     def one(m: Model, b: pa.RecordBatch) -> pa.RecordBatch:
         s = [m.score(t or "") for t in b.column(i).to_pylist()]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], [*b.schema.names, "score", "predicted"])
+        own = [*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())]
+        return pa.RecordBatch.from_arrays(own, [f"c{k}" for k in range(len(own))])
 
-    from pyspark.sql import types as T
-
-    out = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(_mapped(shared, one), out)
+    return by_place(d, _mapped(shared, one), T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType()))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs. Null ids count as an empty id; empty tables are fine."""
+    """doc_id, held_out, score, predicted for each row of docs.
+
+    A null text is scored as an empty one. Null ids count as an empty id for the fold and stay null; equal rows give equal
+    rows; an empty table gives none, without usable labels every score is that of the constant. Other columns are not
+    looked at.
+    """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     return score(d, fit(docs, labels)).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")

@@ -251,11 +251,47 @@ def test_secrets_base_against_brute_force(spark):
         assert set(text.split(",")) - {""} <= set(got[i].spans.split(","))
 
 
+def brute_links(text, scope=secrets.SCOPE):
+    """All spans, weak ones only with their nearest complements that don't overlap them, from all pairs of parts."""
+    found = [(k, s, e) for k, s, e in brute_secrets(text)]
+    for kind in ("secret", "ident", "endpoint"):
+        found += [(kind, m.start(), m.end()) for m in re.finditer(secrets.PATTERNS[kind], text or "", re.A)]
+    role = {"access": "i", "ident": "i", "assign": "s", "hex": "s", "secret": "s", "endpoint": "e"}
+    order, out = {k: n for n, k in enumerate(secrets.KINDS)}, []
+    for k, s, e in found:
+        best = {}
+        for k2, s2, e2 in found:
+            far = s - e2 if e2 <= s else s2 - e if s2 >= e else None
+            if far is not None and far <= scope:
+                best[role[k2]] = min(best.get(role[k2], (10**9,)), (far, -e2 if e2 <= s else s2, k2, s2, e2))
+        need = {"s": "i", "i": "s", "e": "is"}[role[k]]
+        if order[k] > 2 and all(r in best for r in need):
+            out.append((s, order[k], e, [best[r][0] for r in need]))
+        elif order[k] <= 2:
+            out.append((s, order[k], e, None))
+    return sorted(out, key=lambda x: x[:3])
+
+
+def test_links_against_brute_force(spark):
+    random.seed(8)
+    bits = ["client_id = alice", "login: bob99", "AKIA" + "Q7" * 8, "AKIA" + "B" * 36, "x" * 19 + "/A1" * 7, "token = " + "s3" * 20, "deadbeef" * 3, "https://h.example:80", "db.eu.amazonaws.com", "user_name=" + "Zz" * 20, "pad " * 60, "w " * 3, " ", "\n", "é😀 "]
+    texts = ["".join(random.choice(bits) + random.choice(["", " ", ", "]) for _ in range(random.randrange(1, 14))) for _ in range(150)]
+    texts += [f"client_id = {'Ab1/' * 10}", "key AKIA" + "B" * 36, "", None] + ["AKIA" + "B" * 16 + " " + "x" * 40] * 3
+    rows = [(i % 151, t, "s") for i, t in enumerate(texts)]
+    got = secrets.scan(docs_of(spark, rows)).collect()
+    plain = lambda i, spans: (i, [(s, k, e, p) for s, k, e, p in spans])
+    far = lambda s, e, p: [s - q.end if q.end <= s else q.start - e for q in p] if p else None
+    mine = [plain(r.doc_id, [(x.start, x.kind, x.end, far(x.start, x.end, x.partners) if x.kind > 2 else None) for x in r.spans]) for r in got]
+    assert sorted(mine, key=repr) == sorted((plain(i, brute_links(t)) for i, t, _ in rows), key=repr)
+    text = secrets.digest(secrets.scan(docs_of(spark, [(1, "client_id = abc then " + "x" * 20 + "A1" * 10, "s")]))).first()
+    assert text.links == "ident:0:15=secret:21:61,secret:21:61=ident:0:15"
+
+
 def test_weak_parts_need_their_complement(spark):
     weak, far = "x" * 20 + "A1" * 10, " pad" * 150
-    rows = [(1, f"key {weak} alone", "s"), (2, f"client_id = abc then {weak}", "s"), (3, f"client_id = abc{far} {weak}", "s"), (4, f"https://h.example AKIA{'B' * 16} {weak}", "s"), (5, "https://h.example and client_id = abc", "s")]
+    rows = [(1, f"key {weak} alone", "s"), (2, f"client_id = abc then {weak}", "s"), (3, f"client_id = abc{far} {weak}", "s"), (4, f"https://h.example AKIA{'B' * 16} {weak}", "s"), (5, "https://h.example and client_id = abc", "s"), (6, f"client_id = {weak}", "s"), (7, "a AKIA" + "B" * 36, "s")]
     got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in secrets.digest(secrets.scan(docs_of(spark, rows))).collect()}
-    assert got == {1: [], 2: ["ident", "secret"], 3: [], 4: ["endpoint", "access", "secret"], 5: []}
+    assert got == {1: [], 2: ["ident", "secret"], 3: [], 4: ["endpoint", "access", "secret"], 5: [], 6: [], 7: ["access"]}
 
 
 def test_lines(spark):
@@ -302,6 +338,79 @@ def test_lines_at_edges_beside_blanks_and_in_passages(spark):
     assert all(got[i].text == t for i, t, _ in rows if i >= 200)
 
 
+def brute_lines(docs, classes):
+    """Places of recurring lines by text: templates, leaves and generalised templates counted one by one, over classes of texts."""
+    def template(line):
+        return " ".join("<*>" if re.search("[0-9]", w) else w for w in re.findall("[^ \t\r\x0b\x0c]+", line))
+
+    at, leaves = collections.defaultdict(set), collections.defaultdict(set)
+    for text in {t or "" for _, t, _ in docs}:
+        for n, line in enumerate(text.split("\n")):
+            t = template(line)
+            w = t.split(" ")
+            if t and len(w) >= lines.MIN_TOKENS:
+                at[t].add((text, n))
+                leaves[len(w), *w[: lines.DEPTH]].add(t)
+    pattern = {}
+    for leaf, own in leaves.items():
+        if len(own) >= lines.MIN_DOCUMENTS:
+            often = [{w for w, n in collections.Counter(t.split(" ")[i] for t in own).items() if n >= lines.PREVAIL * len(own)} for i in range(leaf[0])]
+            for t in own:
+                kept = tuple(w if w in often[i] else None for i, w in enumerate(t.split(" ")))
+                if sum(w is not None for w in kept) >= lines.CONSTANT * leaf[0]:
+                    pattern[t] = (leaf, kept)
+    places = collections.defaultdict(set)
+    for t, where in at.items():
+        for p in (t, pattern.get(t)):
+            places[p] |= {classes.get(text, text) for text, _ in where} if p else set()
+    enough = {p for p, of in places.items() if len(of) >= lines.MIN_DOCUMENTS}
+    out = collections.defaultdict(set)
+    for t, where in at.items():
+        if t in enough or pattern.get(t) in enough:
+            for text, n in where:
+                out[text].add(n)
+    return out
+
+
+def test_lines_against_brute_force(spark):
+    random.seed(21)
+    prose = lambda k: " ".join("".join(random.choices("abcdefghijklm", k=5)) for _ in range(k))
+    notice, footer, header, middle, often = [prose(9) for _ in range(3)], prose(8), prose(7), prose(6), prose(10)
+    rows = []
+    for i in range(120):
+        own = [prose(random.randrange(2, 30)) for _ in range(random.randrange(3, 9))]
+        if i % 4 == 0:
+            own[1:1] = notice
+        if i % 4 == 1:
+            own.append(footer)
+        if i % 4 == 2:
+            own.insert(0, header)
+        if i % 5 == 0:
+            own.insert(2, middle)
+        if i == 7:
+            own += [often, prose(5)] * 6  # six times in one document, and in no other
+        if i % 6 == 1:
+            own.insert(1, f"at {i}:30 the user u{i * 7} went\taway from {prose(1)} for good today")
+        if i % 30 == 3:
+            own.insert(1, f"only four hold {prose(3)} such a line")
+        rows.append((i, "\n".join(own), "s"))
+    copied = "\n".join(prose(12) for _ in range(6))
+    rows += [(200 + i, copied, "s") for i in range(9)] + [(None, rows[0][1], "s"), (5, None, None), (5, "", "s"), (6, " \n\n\t", "s")]
+    real = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    d = docs_of(spark, rows + real).withColumn("key_", F.lit(1)).withColumn("drop_", F.lit(2)).withColumn("K", F.lit(3))
+    near = {r.k: r["class"] for r in lines.near_copies(lines.sketches_of(d, "text").distinct()).collect()}
+    key = {r.text: r.k for r in d.select(common.text_of().alias("text"), F.xxhash64(common.text_of()).alias("k")).distinct().collect()}
+    want = brute_lines(rows + real, {t: near[k] for t, k in key.items() if k in near})
+    cut = lambda t: t and "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[t])
+    got = lines.dedup(d).collect()
+    assert got[0].key_ == 1 and got[0].drop_ == 2 and got[0].K == 3
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((i, cut(t)) for i, t, _ in rows + real), key=repr)
+    by = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id < 200}
+    kept = "\n".join(r.text or "" for r in got)
+    assert not any(x in kept for x in (*notice, footer, header, middle, "went")) and kept.count(often) == 6 and "only four hold" in kept and copied in kept
+    assert sum(r.n_dropped for r in got) == sum(len(want[t]) for _, t, _ in rows + real if t) and by[5].n_dropped >= 0
+
+
 def brute_components(docs):
     sets = {}
     for i, t in docs:
@@ -498,6 +607,33 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and got[300] == got[200] == got[100] == 100
 
 
+def test_pipeline_stages_on_odd_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline as cp
+
+    far, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(50))
+    more = [(2, near, "a"), (1, far, "a"), (2, far, "b"), (2, far, "b"), (None, far, "b"), (None, near + " more", "c"), (9, near, None)]
+    d = docs_of(spark, more)
+    for c in set(odd.columns) - set(d.columns):
+        d = d.withColumn(c, F.lit(7))
+    d = odd.unionByName(d)
+    for c in ("key_", "drop_", "verdict", "k", "a.b"):
+        d = d.withColumn(c, F.lit(8))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and out.schema.simpleString() == d.schema.simpleString(), name
+        rest = collections.Counter(full(d))
+        rest.subtract(full(out))
+        gone = sorted(((r[0], (r[1] or "")[:2]) for r, n in rest.items() for _ in range(n)), key=repr)
+        want = {"n-gram Jaccard join": [(2, "w0"), (2, "w0"), (4, "on"), (9, "v0"), (None, "v0"), (None, "w0")], "benchmark decontamination": [(None, "x ")]}
+        assert gone == sorted(want.get(name, []), key=repr), name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0 and stage(spark, none, str(tmp_path)).columns == none.columns
+    assert cp.STAGES[-1][1](spark, d, str(tmp_path)).count() == d.count()
+    assert cp.STAGES[-1][1](spark, none, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
