@@ -39,13 +39,29 @@ def cleanliness_label() -> Column:
     return F.when(F.col("passes_conservative"), "Conservative").when(F.col("passes_mw100"), "No large het").when(F.col("passes_relaxed"), "Relaxed").otherwise("All")
 
 
+def fixed_digits(v: Column, digits: int) -> Column:
+    """v with so many decimals (6 at most), rounded from its exact binary value, ties away from zero; null for null and not finite.
+
+    The part behind the point is taken in units of 2**-80, in which a tie can be told exactly.
+    """
+    x = finite(v.cast("double"))
+    whole = F.floor(F.abs(x))
+    part = (F.abs(x) - whole) * 2.0**40
+    units = F.floor(part).cast("decimal(20,0)") * F.lit(2**40).cast("decimal(13,0)") + ((part - F.floor(part)) * 2.0**40).cast("long").cast("decimal(20,0)")
+    twice = units * F.lit(2 * 10**digits).cast("decimal(8,0)") + F.expr(f"CAST({2**80} AS DECIMAL(25,0))")
+    n = F.call_function("div", twice, F.expr(f"CAST({2**81} AS DECIMAL(25,0))"))
+    up = n >= 10**digits
+    text = F.concat(F.when(x < 0, "-").otherwise(""), (whole.cast("long") + up.cast("long")).cast("string"))
+    return F.concat(text, F.lit("."), F.lpad((n - F.when(up, 10**digits).otherwise(0)).cast("string"), digits, "0")) if digits else text
+
+
 def fixed(v: Column, digits: int) -> Column:
-    """v with so many decimals; '-' for null and not finite."""
-    return F.coalesce(F.format_string(f"%.{digits}f", finite(v.cast("double"))), F.lit("-")) if digits < 0 else F.when(finite(v.cast("double")).isNull(), "-").otherwise(F.format_string(f"%.{digits}f", v.cast("double")))
+    """fixed_digits(), and '-' for null and not finite."""
+    return F.coalesce(fixed_digits(v, digits), F.lit("-"))
 
 
 def resolution_label() -> Column:
-    return F.when(F.col("resolution_known") & F.col("resolution").isNotNull(), F.concat(fixed(F.col("resolution"), 2), F.lit(" Å"))).otherwise("-")
+    return F.when(F.col("resolution_known") & finite(F.col("resolution")).isNotNull(), F.concat(fixed(F.col("resolution"), 2), F.lit(" Å"))).otherwise("-")
 
 
 def form_label(form: Column) -> Column:

@@ -6,11 +6,10 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from angula.functions.columns import bin_of, circular_bin, wrap
+from angula.functions.columns import bin_of, circular_bin, finite, wrap
 from angula.operators.filters import observations
-from angula.operators.histogram import counts, dense, effective_range, padded, percentile, rotate, scaled, seam, smooth, with_row
+from angula.operators.histogram import counts, dense, effective_range, fallback, padded, percentile, rotate, scaled, seam, smooth, with_row
 from angula.spec import EntryFilter, FamilySpec, ObsFilter, ParameterSpec, View, selected_forms
 
 
@@ -20,7 +19,7 @@ def forms_table(df: DataFrame, forms: list[str]) -> DataFrame:
 
 def linear_moments(obs: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, mean and population standard deviation."""
-    v = F.col(value).cast("double")
+    v = finite(F.col(value).cast("double"))
     m = obs.filter(v.isNotNull()).groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.avg(v * v).alias("square"))
     return m.select(*by, "n", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("std"))
 
@@ -28,7 +27,7 @@ def linear_moments(obs: DataFrame, value: str, by: list[str]) -> DataFrame:
 def circular_moments(obs: DataFrame, value: str, by: list[str], period: float = 360.0) -> DataFrame:
     """n, mean angle, resultant and circular standard deviation (null for a resultant of 0)."""
     a = wrap(F.col(value).cast("double"), period) * (2 * math.pi / period)
-    m = obs.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), F.sum(F.cos(a)).alias("c"), F.sum(F.sin(a)).alias("s"))
+    m = obs.filter(finite(F.col(value)).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), F.sum(F.cos(a)).alias("c"), F.sum(F.sin(a)).alias("s"))
     r = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.hypot("c", "s") / F.col("n")))
     m = m.withColumn("resultant", r)
     std = F.when(F.col("resultant") > 0, F.sqrt(F.greatest(F.lit(0.0), -2 * F.log("resultant"))) * (period / (2 * math.pi)))
@@ -37,12 +36,12 @@ def circular_moments(obs: DataFrame, value: str, by: list[str], period: float =
 
 def entries_with_value(obs: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Entries that give a value: exact, by way of distinct (key, pid)."""
-    return obs.filter(F.col(value).isNotNull()).select(*by, "pid").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("entries"))
+    return obs.filter(finite(F.col(value)).isNotNull()).select(*by, "pid").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("entries"))
 
 
 def raw_histogram(obs: DataFrame, family: DataFrame, p: ParameterSpec, bins: int, by: list[str], range_obs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(counts by key and bin, one-row range). The range follows all allowed observations, selected forms or not."""
-    seen = obs.filter(F.col(p.param_id).isNotNull())
+    seen = obs.filter(finite(F.col(p.param_id)).isNotNull())
     if p.circular:
         one = obs.sparkSession.createDataFrame([(0.0, float(p.period))], "lo double, hi double")
         return counts(seen, circular_bin(F.col(p.param_id).cast("double"), p.period, bins), by), one
@@ -81,24 +80,51 @@ def distribution(entries: DataFrame, family: DataFrame, spec: FamilySpec, p: Par
     return series, summary.select("form", "n", "entries", "mean", "std", "p05", "p95")
 
 
-def family_overview(entries: DataFrame, family: DataFrame, spec: FamilySpec, f: EntryFilter, o: ObsFilter, v: View) -> DataFrame:
-    """param_id, form, bin, n and the parameter's rows in all, for all parameters in one pass over the observations."""
+def long_values(df: DataFrame, spec: FamilySpec, *keep: str) -> DataFrame:
+    """keep, param_id, value: every finite value of every parameter."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(p.param_id).alias("param_id"), finite(F.col(p.param_id).cast("double")).alias("value")) for p in spec.params]))
+    return df.select(*keep, pairs.alias("v")).select(*keep, "v.*").filter("value is not null")
+
+
+def family_overview(entries: DataFrame, family: DataFrame, spec: FamilySpec, f: EntryFilter, o: ObsFilter, v: View) -> tuple[DataFrame, DataFrame]:
+    """(series: param_id, form, bin, x, y; panels: param_id, lo, hi, shift, cut, kind, rows) of all parameters of a family.
+
+    What distribution() does for one parameter, for all of them together. Every parameter has a panel, with 0 rows and the
+    fallback range if nothing passes the filters. The observations are read for the ranges and for the histograms; all after that is a
+    few rows a series.
+    """
     from angula.operators.filters import allowed_entries
 
-    every = observations(allowed_entries(entries, f), family, spec, o)
-    pairs = F.explode(F.array(*[F.struct(F.lit(p.param_id).alias("param_id"), F.col(p.param_id).cast("double").alias("value")) for p in spec.params]))
-    long = every.select("form", pairs.alias("v")).select("form", "v.*").filter("value is not null")
-    kinds = long.sparkSession.createDataFrame([(p.param_id, p.circular, float(p.period), *(map(float, p.range_default) if p.range_default else (None, None))) for p in spec.params], "param_id string, circular boolean, period double, d_lo double, d_hi double")
-    span = long.groupBy("param_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).join(F.broadcast(kinds), "param_id")
+    every = long_values(observations(allowed_entries(entries, f), family, spec, o), spec, "form")
+    span = lambda df, lo, hi: df.groupBy("param_id").agg(F.min("value").alias(lo), F.max("value").alias(hi))
+    rows = [(p.param_id, p.circular, float(p.period), *(map(float, p.range_default) if p.range_default else (None, None))) for p in spec.params]
+    kinds = family.sparkSession.createDataFrame(rows, "param_id string, circular boolean, period double, d_lo double, d_hi double")
+    one = kinds.join(span(every, "lo", "hi"), "param_id", "left").join(span(long_values(family, spec), "f_lo", "f_hi"), "param_id", "left")
     lo, hi = padded(F.col("lo"), F.col("hi"), None)
+    f_lo, f_hi = fallback(F.col("f_lo"), F.col("f_hi"), None)
     inside = (F.col("lo") >= F.col("d_lo")) & (F.col("hi") <= F.col("d_hi"))
-    span = span.select("param_id", "circular", "period", F.when(F.col("circular"), 0.0).when(inside, F.col("d_lo")).otherwise(F.least("d_lo", lo)).alias("lo"), F.when(F.col("circular"), F.col("period")).when(inside, F.col("d_hi")).otherwise(F.greatest("d_hi", hi)).alias("hi"))
-    seen = long.filter(F.col("form").isin(selected_forms(f.forms))).join(F.broadcast(span), "param_id")
-    linear, turn = (v.bins(False), v.bins(True))
+    low = F.when(F.col("circular"), 0.0).when(inside, F.col("d_lo")).otherwise(F.coalesce(F.when(F.col("lo").isNotNull(), F.least("d_lo", lo)), "d_lo", f_lo))
+    high = F.when(F.col("circular"), F.col("period")).when(inside, F.col("d_hi")).otherwise(F.coalesce(F.when(F.col("lo").isNotNull(), F.greatest("d_hi", hi)), "d_hi", f_hi))
+    linear, turn = v.bins(False), v.bins(True)
+    one = one.select("param_id", "circular", "period", low.alias("lo"), high.alias("hi"), F.when(F.col("circular"), turn).otherwise(linear).alias("bins"))
+    seen = every.filter(F.col("form").isin(selected_forms(f.forms))).join(F.broadcast(one), "param_id")
     angle = F.floor(F.pmod("value", "period") / (F.col("period") / turn))
     at = F.when(F.col("circular"), F.when(angle >= turn, 0).otherwise(angle)).otherwise(bin_of(F.col("value"), F.col("lo"), F.col("hi"), linear)).cast("int")
-    n = seen.select("param_id", "form", at.alias("bin")).groupBy("param_id", "form", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("rows", F.sum("n").over(W.partitionBy("param_id")))
+    hist = counts(seen, at, ["param_id", "form"])
+    grid = hist.select("param_id", "form").distinct().join(one, "param_id").select("*", F.explode(F.expr("sequence(0, bins - 1)")).alias("bin"))
+    full = grid.join(hist, ["param_id", "form", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    pooled = full.filter("circular").groupBy("param_id", "period", "bin").agg(F.sum("n").alias("n"))
+    cuts = seam(pooled, turn, v.mode, "period", ("param_id",))
+    key = ["param_id", "form"]
+    straight = smooth(full.filter("not circular"), key, linear, v.sigma, False)
+    round_ = smooth(full.filter("circular"), key, turn, v.sigma, True).join(cuts.select("param_id", "shift"), "param_id")
+    y = straight.union(rotate(round_, F.col("shift"), turn).select(*key, "bin", "y")).join(one, "param_id").join(cuts, "param_id", "left")
+    width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    centre = F.col("lo") + width * (F.col("bin") + 0.5)
+    y = scaled(y, key, v.scale, width).select(*key, "bin", F.when(F.col("circular"), F.pmod(centre + F.col("cut"), "period")).otherwise(centre).alias("x"), "y")
+    total = hist.groupBy("param_id").agg(F.sum("n").alias("rows"))
+    panels = one.join(cuts, "param_id", "left").join(total, "param_id", "left")
+    return y, panels.select("param_id", "lo", "hi", F.coalesce("shift", F.lit(0)).alias("shift"), F.coalesce("cut", F.lit(0.0)).alias("cut"), F.coalesce("kind", F.lit("linear")).alias("kind"), F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def selection_counts(entries: DataFrame, family: DataFrame, spec: FamilySpec, p: ParameterSpec, f: EntryFilter, o: ObsFilter) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from angula.functions.columns import finite
 from angula.spec import CLEANLINESS, DUPLEX, RESOLUTION, EntryFilter, FamilySpec, ObsFilter, chosen
 
 
@@ -47,15 +48,22 @@ def context_in(column: str, ids: list[str], empty: str) -> Column:
     return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(empty)).isin([i for i in ids if i != ""])
 
 
-def obs_condition(spec: FamilySpec, o: ObsFilter) -> Column:
+def obs_condition(spec: FamilySpec, o: ObsFilter, refill: bool = False) -> Column:
+    """The filters on rows of a family; refill: choices without a valid id are the family's defaults (see chosen)."""
     out = terminal_policy(o.terminal)
     if spec.context:
-        out &= context_in(spec.context, chosen(o.contexts, spec.context_options), spec.context_empty)
+        out &= context_in(spec.context, chosen(o.contexts, spec.context_options, spec.context_default, refill), spec.context_empty)
     if spec.secondary:
-        out &= context_in(spec.secondary, chosen(o.secondary, spec.secondary_options), spec.secondary_empty)
+        out &= context_in(spec.secondary, chosen(o.secondary, spec.secondary_options, spec.secondary_default, refill), spec.secondary_empty)
     return out
 
 
+def finite_values(family: DataFrame, *params: str) -> DataFrame:
+    """family with NaN and infinities of the parameters as nulls, which no operator counts."""
+    real = {f.name for f in family.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return family.withColumns({p: finite(F.col(p)) for p in params if p in real})
+
+
 def observations(allowed: DataFrame, family: DataFrame, spec: FamilySpec, o: ObsFilter) -> DataFrame:
-    """Filtered observations of allowed entries, with the entry's form. Spark broadcasts the entries if they are small."""
-    return family.filter(obs_condition(spec, o)).join(allowed.select("pid", "form"), "pid")
+    """Filtered observations of allowed entries, with the entry's form; values that are not finite are null. Spark broadcasts the entries if they are small."""
+    return finite_values(family, *[p.param_id for p in spec.params]).filter(obs_condition(spec, o)).join(allowed.select("pid", "form"), "pid")

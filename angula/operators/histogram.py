@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from angula.functions.columns import kernel
+from angula.functions.columns import finite, kernel
 
 
 def padded(lo: Column, hi: Column, default: tuple[float, float] | None) -> tuple[Column, Column]:
@@ -31,7 +31,7 @@ def fallback(lo: Column, hi: Column, default: tuple[float, float] | None) -> tup
 
 def effective_range(obs: DataFrame, family: DataFrame, value: str, default: tuple[float, float] | None = None) -> DataFrame:
     """One row (lo, hi) of a linear parameter."""
-    v = F.col(value).cast("double")
+    v = finite(F.col(value).cast("double"))
     one = obs.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     all_ = family.agg(F.min(v).alias("f_lo"), F.max(v).alias("f_hi"))
     lo, hi = padded(F.col("lo"), F.col("hi"), default)
@@ -83,17 +83,19 @@ def rotate(hist: DataFrame, shift: Column, bins: int) -> DataFrame:
     return hist.withColumn("bin", F.pmod(F.col("bin") - shift, F.lit(bins)).cast("int"))
 
 
-def seam(pooled: DataFrame, bins: int, mode: str, period: float = 360.0) -> DataFrame:
-    """One row (shift, cut, kind) from the dense pooled histogram (bin, n): where a circular axis is cut open."""
-    width = period / bins
+def seam(pooled: DataFrame, bins: int, mode: str, period: float | str = 360.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, shift, cut, kind) from the dense pooled histogram (by, bin, n): where a circular axis is cut open; period may be a column."""
+    width = (F.col(period) if isinstance(period, str) else F.lit(float(period))) / bins
+    sizes = pooled.groupBy(*by).agg(F.max(width).alias("width"))
     if mode == "wrap_360":
-        return pooled.agg(F.lit(0).alias("shift"), F.lit(0.0).alias("cut"), F.lit("wrap").alias("kind"))
+        return sizes.select(*by, F.lit(0).alias("shift"), F.lit(0.0).alias("cut"), F.lit("wrap").alias("kind"))
     if mode == "signed_180":
-        half = int(period / 2 / width + 0.5) % bins
-        return pooled.agg(F.lit(half).alias("shift"), F.lit(period / 2).alias("cut"), F.lit("signed").alias("kind"))
-    smoothed = smooth(pooled, [], bins, 1.2, True)
-    listed = lambda df, c: df.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", c))), lambda s: s[c]).alias(c))
-    one = listed(pooled, "n").crossJoin(listed(smoothed, "y"))
+        half = int(bins / 2 + 0.5) % bins
+        return sizes.select(*by, F.lit(half).alias("shift"), (F.col("width") * bins / 2).alias("cut"), F.lit("signed").alias("kind"))
+    smoothed = smooth(pooled, [*by], bins, 1.2, True)
+    listed = lambda df, c: df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", c))), lambda s: s[c]).alias(c))
+    tied = lambda a, b: a.join(b, [*by]) if by else a.crossJoin(b)
+    one = tied(tied(listed(pooled, "n"), listed(smoothed, "y")), sizes)
     every, twice = F.sequence(F.lit(0), F.lit(bins - 1)), F.sequence(F.lit(0), F.lit(2 * bins - 1))
     full = F.filter(twice, lambda j: F.get("n", j % bins) > 0)
     runs = F.transform(every, lambda i: F.struct((F.coalesce(F.array_min(F.filter("full", lambda j: j >= i)), F.lit(2 * bins)) - i).alias("len"), (-i).alias("neg")))
@@ -105,4 +107,4 @@ def seam(pooled: DataFrame, bins: int, mode: str, period: float = 360.0) -> Data
     flat = F.col("quiet.sum") > 0.85 * total * w / bins
     kind = F.when(total < 8, "sparse").when(F.col("gap.len") >= 2, "gap").when(flat, "flat").otherwise("quiet")
     shift = F.when(F.col("kind") == "gap", gap).when(F.col("kind") == "quiet", (F.col("quiet.at") + w // 2) % bins).otherwise(0)
-    return one.withColumn("kind", kind).withColumn("shift", shift.cast("int")).select("shift", (F.col("shift") * width).alias("cut"), "kind")
+    return one.withColumn("kind", kind).withColumn("shift", shift.cast("int")).select(*by, "shift", (F.col("shift") * F.col("width")).alias("cut"), "kind")

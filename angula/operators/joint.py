@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from angula.functions.columns import circular_bin, grid_bin, wrap
+from angula.functions.columns import circular_bin, finite, grid_bin, wrap
 from angula.operators.filters import obs_condition
 from angula.operators.histogram import counts, dense, padded, seam, smooth, with_row
 from angula.spec import LEVELS, FamilySpec, ObsFilter, ParameterSpec, View
@@ -17,7 +17,7 @@ from angula.spec import LEVELS, FamilySpec, ObsFilter, ParameterSpec, View
 
 def same_row(obs: DataFrame, x: str, y: str) -> DataFrame:
     """Both values of one row, where both are there."""
-    return obs.select("pid", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    return obs.select("pid", finite(F.col(x).cast("double")).alias("x"), finite(F.col(y).cast("double")).alias("y")).filter("x is not null and y is not null")
 
 
 def last_row(df: DataFrame, keys: list[str], value: str, order: Sequence[str], out: str) -> DataFrame:
@@ -38,8 +38,8 @@ def same_level(f1: DataFrame, s1: FamilySpec, p1: str, f2: DataFrame, s2: Family
 
     Both sides are held to the primary family's context choice.
     """
-    cond = obs_condition(s1, o)
-    a, b = (with_site(f, s).filter(cond).join(allowed.select("pid"), "pid", "left_semi").filter(F.col(p).isNotNull()) for f, s, p in ((f1, s1, p1), (f2, s2, p2)))
+    cond = obs_condition(s1, o, True)
+    a, b = (with_site(f, s).filter(cond).join(allowed.select("pid"), "pid", "left_semi").filter(finite(F.col(p)).isNotNull()) for f, s, p in ((f1, s1, p1), (f2, s2, p2)))
     left = last_row(a, ["pid", "site"], p1, s1.order, "x")
     return b.select("pid", "site", F.col(p2).cast("double").alias("y")).join(left, ["pid", "site"]).select("pid", F.col("x").cast("double").alias("x"), "y")
 
@@ -52,10 +52,10 @@ def split_label(label: Column) -> Column:
 
 def pair_to_residue(pairs: DataFrame, ps: FamilySpec, p1: str, residues: DataFrame, rs: FamilySpec, p2: str, allowed: DataFrame, o: ObsFilter, ro: ObsFilter, side: str = "both") -> DataFrame:
     """pid, x (pair), y (residue): each pair with the last row of its residues on the chosen side; equal sides count twice."""
-    r = residues.filter(obs_condition(rs, ro)).join(allowed.select("pid"), "pid", "left_semi")
-    r = r.filter(F.col(p2).isNotNull() & (F.coalesce(F.col(rs.site), F.lit("")) != ""))
+    r = residues.filter(obs_condition(rs, ro, True)).join(allowed.select("pid"), "pid", "left_semi")
+    r = r.filter(finite(F.col(p2)).isNotNull() & (F.coalesce(F.col(rs.site), F.lit("")) != ""))
     r = last_row(r.withColumn("site", F.col(rs.site)), ["pid", "site"], p2, rs.order, "y")
-    p = pairs.filter(obs_condition(ps, o)).filter(F.col(p1).isNotNull()).join(allowed.select("pid"), "pid", "left_semi")
+    p = pairs.filter(obs_condition(ps, o, True)).filter(finite(F.col(p1)).isNotNull()).join(allowed.select("pid"), "pid", "left_semi")
     sides = F.col("sides")
     pick = {"both": sides, "nt1": F.slice(sides, 1, 1), "nt2": F.slice(sides, 2, 1)}[side]
     p = p.select("pid", F.col(p1).cast("double").alias("x"), split_label(F.col(ps.site)).alias("sides")).select("pid", "x", F.explode(pick).alias("site"))
@@ -84,32 +84,40 @@ def join_mode(s1: FamilySpec, s2: FamilySpec, mode: str) -> str:
 def joint_pairs(f1: DataFrame, s1: FamilySpec, p1: str, f2: DataFrame, s2: FamilySpec, p2: str, allowed: DataFrame, o: ObsFilter, ro: ObsFilter, mode: str = "same_level", side: str = "both") -> DataFrame:
     kind = join_mode(s1, s2, mode)
     if kind == "same_row":
-        return same_row(f1.filter(obs_condition(s1, o)).join(allowed.select("pid"), "pid", "left_semi"), p1, p2)
+        return same_row(f1.filter(obs_condition(s1, o, True)).join(allowed.select("pid"), "pid", "left_semi"), p1, p2)
     if kind == "pair_residue":
         return pair_to_residue(f1, s1, p1, f2, s2, p2, allowed, o, ro, side)
     return same_level(f1, s1, p1, f2, s2, p2, allowed, o)
 
 
-def linear_axis(pairs: DataFrame, axis: str, default: tuple[float, float] | None = None) -> DataFrame:
+def linear_axis(pairs: DataFrame, name: str, default: tuple[float, float] | None = None) -> DataFrame:
     """One row (lo, hi) from the matched values."""
     lo, hi = padded(F.col("lo"), F.col("hi"), default)
     a, b = default or (0.0, 1.0)
-    return pairs.agg(F.min(axis).alias("lo"), F.max(axis).alias("hi")).select(F.coalesce(lo, F.lit(float(a))).alias("lo"), F.coalesce(hi, F.lit(float(b))).alias("hi"))
+    return pairs.agg(F.min(name).alias("lo"), F.max(name).alias("hi")).select(F.coalesce(lo, F.lit(float(a))).alias("lo"), F.coalesce(hi, F.lit(float(b))).alias("hi"))
 
 
-def circular_axis(pairs: DataFrame, axis: str, bins: int, mode: str, period: float = 360.0) -> DataFrame:
+def circular_axis(pairs: DataFrame, name: str, bins: int, mode: str, period: float = 360.0) -> DataFrame:
     """One row (shift, cut, kind) from the matched values' histogram."""
-    hist = counts(pairs, circular_bin(F.col(axis), period, bins), [])
+    hist = counts(pairs, circular_bin(F.col(name), period, bins), [])
     return seam(dense(hist, pairs.sparkSession.range(1), bins, []), bins, mode, period)
 
 
-def placed(pairs: DataFrame, axis: str, p: ParameterSpec, bins: int, mode: str) -> DataFrame:
-    """pairs with <axis>v (the value on its axis), <axis>lo, <axis>hi and <axis>cut."""
+def axis(pairs: DataFrame, name: str, p: ParameterSpec, bins: int, mode: str) -> DataFrame:
+    """One row <name>lo, <name>hi, <name>cut."""
     if p.circular:
-        one = circular_axis(pairs, axis, bins, mode, p.period).select(F.lit(0.0).alias(f"{axis}lo"), F.lit(float(p.period)).alias(f"{axis}hi"), F.col("cut").alias(f"{axis}cut"))
-        return with_row(pairs, one).withColumn(f"{axis}v", wrap(wrap(F.col(axis), p.period) - F.col(f"{axis}cut"), p.period))
-    one = linear_axis(pairs, axis, p.range_default).select(F.col("lo").alias(f"{axis}lo"), F.col("hi").alias(f"{axis}hi"), F.lit(0.0).alias(f"{axis}cut"))
-    return with_row(pairs, one).withColumn(f"{axis}v", F.col(axis))
+        return circular_axis(pairs, name, bins, mode, p.period).select(F.lit(0.0).alias(f"{name}lo"), F.lit(float(p.period)).alias(f"{name}hi"), F.col("cut").alias(f"{name}cut"))
+    return linear_axis(pairs, name, p.range_default).select(F.col("lo").alias(f"{name}lo"), F.col("hi").alias(f"{name}hi"), F.lit(0.0).alias(f"{name}cut"))
+
+
+def on_axis(pairs: DataFrame, name: str, p: ParameterSpec) -> DataFrame:
+    """pairs that hold their axis, with <name>v: the value on it."""
+    return pairs.withColumn(f"{name}v", wrap(wrap(F.col(name), p.period) - F.col(f"{name}cut"), p.period) if p.circular else F.col(name))
+
+
+def placed(pairs: DataFrame, name: str, p: ParameterSpec, bins: int, mode: str) -> DataFrame:
+    """pairs with <name>v (the value on its axis), <name>lo, <name>hi and <name>cut."""
+    return on_axis(with_row(pairs, axis(pairs, name, p, bins, mode)), name, p)
 
 
 def grid(points: DataFrame, bx: int, by: int) -> DataFrame:
@@ -162,18 +170,22 @@ def circular_correlation(pairs: DataFrame, px: float = 360.0, py: float = 360.0)
 
 
 def joint_distribution(pairs: DataFrame, p1: ParameterSpec, p2: ParameterSpec, v: View) -> tuple[DataFrame, DataFrame]:
-    """(grid: bx, by, x, y, z; stats: n, entries, r, r2, circular_r, max_z)."""
+    """(grid: bx, by, x, y, z; stats: n, entries, r, r2, circular_r, max_z).
+
+    pairs is persisted, as the axes, the grid and the statistics read it; unpersist it when both results are written.
+    """
+    pairs = pairs.persist()
     bx, by = v.bins(p1.circular, True), v.bins(p2.circular, True)
-    points = placed(placed(pairs, "x", p1, bx, v.mode), "y", p2, by, v.mode)
-    axes = points.select("xlo", "xhi", "xcut", "ylo", "yhi", "ycut").limit(1)
+    axes = axis(pairs, "x", p1, bx, v.mode).crossJoin(axis(pairs, "y", p2, by, v.mode))
+    points = on_axis(on_axis(with_row(pairs, axes), "x", p1), "y", p2)
     cells = smooth_grid(grid(points, bx, by), bx, by, v.sigma, p1.circular, p2.circular)
     cells = with_row(cells, axes)
     wx, wy = (F.col("xhi") - F.col("xlo")) / bx, (F.col("yhi") - F.col("ylo")) / by
     cells = scaled_grid(cells, wx * wy if v.scale == "density" else None)
 
-    def centre(axis: str, p: ParameterSpec, at: str, width: Column) -> Column:
-        c = F.col(f"{axis}lo") + (F.col(at) + 0.5) * width
-        return wrap(c + F.col(f"{axis}cut"), p.period) if p.circular else c
+    def centre(name: str, p: ParameterSpec, at: str, width: Column) -> Column:
+        c = F.col(f"{name}lo") + (F.col(at) + 0.5) * width
+        return wrap(c + F.col(f"{name}cut"), p.period) if p.circular else c
 
     cells = cells.select("bx", "by", centre("x", p1, "bx", wx).alias("x"), centre("y", p2, "by", wy).alias("y"), "z")
     stats = points.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pid").alias("entries"), pearson("xv", "yv").alias("r")).withColumn("r2", F.col("r") * F.col("r"))

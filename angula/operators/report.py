@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from angula.functions.columns import cleanliness_label, finite, form_label, resolution_label
-from angula.operators.filters import allowed_entries, observations
+from angula.functions.columns import cleanliness_label, finite, fixed_digits, form_label, resolution_label
+from angula.operators.filters import allowed_entries, finite_values, obs_condition
 from angula.spec import EntryFilter, FamilySpec, ObsFilter, selected_forms
 
 PAGE = 100
 
 
-def universe_counts(entries: DataFrame) -> DataFrame:
-    """(kind, id, n): entries in all, by form, by method and by cleanliness, in one pass."""
+def universe_counts(entries: DataFrame, families: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(kind, id, n): entries in all, by form, by method and by cleanliness, in one pass; and the rows of each family."""
     flags = [F.struct(F.lit("cleanliness").alias("kind"), F.lit(k).alias("id"), F.col(c).alias("is")) for k, c in (("conservative", "passes_conservative"), ("relaxed", "passes_relaxed"), ("mw100", "passes_mw100"))]
     own = [F.struct(F.lit(k).alias("kind"), c.alias("id"), F.lit(True).alias("is")) for k, c in (("all", F.lit("entries")), ("form", F.col("form")), ("method", F.col("method")))]
-    return entries.select(F.explode(F.array(*own, *flags)).alias("v")).select("v.*").filter("is").groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n"))
+    out = entries.select(F.explode(F.array(*own, *flags)).alias("v")).select("v.*").filter("is").groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n"))
+    for name, df in (families or {}).items():
+        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("family").alias("kind"), F.lit(name).alias("id"), "n"))
+    return out
 
 
 def rows_per_entry(entries: DataFrame, families: dict[str, DataFrame]) -> DataFrame:
@@ -45,12 +48,14 @@ def entry_table(entries: DataFrame) -> DataFrame:
 
 def export_observations(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> DataFrame:
     """One row for each plotted observation, with its entry's properties; numbers as text of a fixed form."""
+    extra = [c for c in ("het_names", "residue_count") if c in entries.columns]
     allowed = allowed_entries(entries, f).filter(F.col("form").isin(selected_forms(f.forms)))
-    meta = allowed.select("pid", "entry_id", "method", "resolution", "resolution_known", cleanliness_label().alias("cleanliness"), *[c for c in ("het_names", "residue_count") if c in entries.columns])
-    obs = observations(allowed, family, spec, o).filter(F.col(param).isNotNull()).join(meta, "pid")
+    meta = allowed.select("pid", "form", "entry_id", "method", "resolution", "resolution_known", cleanliness_label().alias("cleanliness"), *extra)
+    seen = finite_values(family, param).filter(obs_condition(spec, o)).filter(F.col(param).isNotNull())
+    obs = seen.join(meta, "pid")
     text = lambda c, empty: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(empty)) if c else F.lit("")
-    res = F.when(F.col("resolution_known") & finite(F.col("resolution")).isNotNull(), F.format_string("%.2f", F.col("resolution").cast("double"))).otherwise("")
+    res = F.when(F.col("resolution_known") & finite(F.col("resolution")).isNotNull(), fixed_digits(F.col("resolution"), 2)).otherwise("")
     return obs.select(
-        F.format_string("%.6f", F.col(param).cast("double")).alias("value"), F.upper("entry_id").alias("pdb_id"), (F.col(spec.site) if spec.site else F.lit("")).alias("site_label"), F.col("form").alias("form_nakb"), "method", res.alias("resolution_angstrom"), "cleanliness",
-        *[c for c in ("het_names", "residue_count") if c in entries.columns], text(spec.context, spec.context_empty).alias("sequence_context"), text(spec.secondary, spec.secondary_empty).alias("backbone_state"), F.col("edge_flag").alias("terminal_flag"),
+        fixed_digits(F.col(param), 6).alias("value"), F.upper("entry_id").alias("pdb_id"), (F.col(spec.site) if spec.site else F.lit("")).alias("site_label"), F.col("form").alias("form_nakb"), "method", res.alias("resolution_angstrom"), "cleanliness",
+        *extra, text(spec.context, spec.context_empty).alias("sequence_context"), text(spec.secondary, spec.secondary_empty).alias("backbone_state"), F.col("edge_flag").alias("terminal_flag"),
     )

@@ -15,7 +15,7 @@ from angula.operators import histogram as H
 from angula.operators import joint as J
 from angula.operators import report as R
 from angula.plans.views import ALL, ANG, ENTRY, LIN, OBS, OPENING, PAIR, RESIDUE, SHEAR, SUGAR, UNLABELLED, V_ENTRIES, V_PAIR, V_RESIDUE, standard, standard_sql, tables
-from angula.spec import EntryFilter, View, selected_forms
+from angula.spec import EntryFilter, ParameterSpec, View, selected_forms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,7 +39,8 @@ def padded_sql(src: str, value: str, default: tuple[float, float] | None) -> str
 
 
 def kernel_sql(sigma: float) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({o}, {w!r}::DOUBLE)" for o, w in C.kernel(sigma)) + ") AS k(o, w)"
+    weight, reach = f"exp(-(o * o) / (2e0 * {sigma}e0 * {sigma}e0))", f"CAST(greatest(2, ceil(3 * {sigma}e0)) AS INT)"
+    return f"SELECT o, {weight} / sum({weight}) OVER () AS w FROM (SELECT unnest(range(-{reach}, {reach} + 1)) AS o)"
 
 
 def smooth_sql(src: str, bins: int, sigma: float, circular: bool, by: str = "form", at: str = "bin", value: str = "n") -> str:
@@ -136,7 +137,14 @@ OCOLS = "pid:i site_label:s lin:d ang:d"
 query("o1_terminal_policy", OCOLS, "SELECT_STANDARD FROM v_residue WHERE edge_flag <> 1")(lambda e, r, p: r.filter(E.terminal_policy("exclude")))
 query("o2_context", OCOLS, "SELECT_STANDARD FROM v_residue WHERE context IN ('R', '')")(lambda e, r, p: r.filter(E.context_in("context", ["R", "Missing"], "Missing")))
 query("o3_secondary_context", OCOLS, "SELECT_STANDARD FROM v_residue WHERE secondary_context = 'O'")(lambda e, r, p: r.filter(E.context_in("secondary_context", ["O"], "")))
-query("o4_finite", OCOLS, "SELECT_STANDARD FROM v_residue WHERE lin IS NOT NULL AND ang IS NOT NULL")(lambda e, r, p: r.filter(C.finite(F.col("lin")).isNotNull() & C.finite(F.col("ang")).isNotNull()))
+def dirty(df: DataFrame, value: str = "lin") -> DataFrame:
+    """df with some NaN and infinities among its values."""
+    kind = F.col("l_partkey") % 9
+    return df.withColumn(value, F.when(kind == 0, float("nan")).when(kind == 1, float("inf")).when(kind == 2, float("-inf")).otherwise(F.col(value)))
+
+
+CLEANED = "SELECT a.form, r.* REPLACE (CASE WHEN l_partkey % 9 > 2 THEN lin END AS lin) FROM v_residue r JOIN allowed a ON a.pid = r.pid WHERE " + OBS_SQL
+query("o4_finite", "form:s pid:i site_label:s lin:d", "SELECT_STANDARD FROM cleaned", "allowed", extra={"cleaned": CLEANED})(lambda e, r, p: obs_of(e, dirty(r)))
 query("o5_observation_stack", OCOLS, f"SELECT_STANDARD FROM v_residue WHERE {OBS_SQL}")(lambda e, r, p: r.filter(E.obs_condition(RESIDUE, OBS)))
 query("o6_residue_stack", OCOLS, "SELECT_STANDARD FROM v_residue WHERE context = 'R' AND secondary_context = 'F'")(lambda e, r, p: r.filter(E.obs_condition(RESIDUE, replace(OBS, terminal="include", contexts=("R",), secondary=("F",)))))
 
@@ -188,12 +196,19 @@ query("a12_pooled_histogram", "bin:i n:i", "SELECT_STANDARD FROM pooled", *CHIST
 LSERIES = "SELECT form, bin, lo + (hi - lo) / 64 * (bin + 0.5) AS x, y / sum(y) OVER (PARTITION BY form) AS y FROM smoothed, rng"
 query("a13_linear_distribution", "form:s bin:i x:d y:d", f"SELECT_STANDARD FROM ({LSERIES})", *DENSE, "smoothed")(lambda e, r, p: D.distribution(e, r, RESIDUE, LIN, ENTRY, OBS, View())[0])
 query("a13_circular_distribution", "form:s bin:i x:d y:d", f"SELECT_STANDARD FROM (SELECT form, bin, {WRAP.format('x')} AS x, y FROM ({AUTO_SERIES}))", *CHIST, "csmoothed", extra=seam_ctes("pooled"))(lambda e, r, p: D.distribution(e, r, RESIDUE, ANG, ENTRY, OBS, AUTO)[0])
-query("a14_family_overview", "param_id:s form:s bin:i n:i rows:i", "SELECT_STANDARD FROM (SELECT *, sum(n) OVER (PARTITION BY param_id) AS rows FROM (SELECT 'lin' AS param_id, * FROM hist UNION ALL SELECT 'ang' AS param_id, * FROM chist))", *HIST, "chist")(lambda e, r, p: D.family_overview(e, r, RESIDUE, ENTRY, OBS, View()))
+BOTH = f"SELECT 'lin' AS param_id, form, bin, x, y FROM ({LSERIES}) UNION ALL SELECT 'ang', form, bin, {WRAP.format('x')}, y FROM ({AUTO_SERIES})"
+OVERVIEW = (*DENSE, "smoothed", *CHIST[2:], "csmoothed")
+with_none = lambda r: r.withColumn("none", F.lit(None).cast("double")).withColumn("rare", F.when(F.col("context") == "R", F.col("lin")))
+MORE = replace(RESIDUE, params=(*RESIDUE.params, ParameterSpec("none"), ParameterSpec("rare")))
+query("a14_family_overview", "param_id:s form:s bin:i x:d y:d", f"SELECT_STANDARD FROM ({BOTH})", *OVERVIEW, extra=seam_ctes("pooled"))(lambda e, r, p: D.family_overview(e, with_none(r), MORE, ENTRY, OBS, AUTO)[0])
+PANELS = "SELECT 'lin' AS param_id, lo, hi, 0 AS shift, 0 AS cut, 'linear' AS kind, (SELECT sum(n) FROM hist) AS rows FROM rng UNION ALL SELECT 'ang', 0, 360, shift, shift * 5, kind, (SELECT sum(n) FROM chist) FROM seam UNION ALL SELECT 'none', 0, 1, 0, 0, 'linear', 0 UNION ALL SELECT 'rare', min(lin) - (max(lin) - min(lin)) * 0.1, max(lin) + (max(lin) - min(lin)) * 0.1, 0, 0, 'linear', 0 FROM v_residue WHERE context = 'R'"
+query("a14_overview_panels", "param_id:s lo:d hi:d shift:i cut:d kind:s rows:i", f"SELECT_STANDARD FROM ({PANELS})", *HIST, *CHIST[2:], extra=seam_ctes("pooled"))(lambda e, r, p: D.family_overview(e, with_none(r), MORE, ENTRY, OBS, AUTO)[1])
 SUM15 = f"SELECT m.*, d.entries, lo + (hi - lo) / 64 * (a.bin + 0.5) AS p05, lo + (hi - lo) / 64 * (b.bin + 0.5) AS p95 FROM ({LM}) m JOIN (SELECT form, count(DISTINCT pid) AS entries FROM obs WHERE lin IS NOT NULL GROUP BY form) d USING (form) JOIN ({PCT.format(q=0.05)}) a USING (form) JOIN ({PCT.format(q=0.95)}) b USING (form), rng"
+query("o4_finite_summary", "form:s n:i entries:i mean:d std:d p05:d p95:d", f"SELECT_STANDARD FROM ({SUM15})", "allowed", extra={"obs": CLEANED, **{k: CTE[k] for k in DENSE[2:]}})(lambda e, r, p: D.distribution(e, dirty(r), RESIDUE, LIN, ENTRY, OBS, View())[1])
 query("a15_linear_summary", "form:s n:i entries:i mean:d std:d p05:d p95:d", f"SELECT_STANDARD FROM ({SUM15})", *DENSE)(lambda e, r, p: D.distribution(e, r, RESIDUE, LIN, ENTRY, OBS, View())[1])
 query("a15_circular_summary", "form:s n:i entries:i mean:d resultant:d std:d peak:d", f"SELECT_STANDARD FROM ({CM}) m JOIN (SELECT form, count(DISTINCT pid) AS entries FROM obs WHERE ang IS NOT NULL GROUP BY form) d USING (form) JOIN ({PEAK}) USING (form)", *CHIST, "csmoothed", extra=seam_ctes("pooled"))(lambda e, r, p: D.distribution(e, r, RESIDUE, ANG, ENTRY, OBS, AUTO)[1])
 query("a16_selection_counts", "entries:i plotted:i family_rows:i", "SELECT_STANDARD FROM (SELECT (SELECT count(*) FROM allowed) AS entries, (SELECT count(lin) FROM obs) AS plotted, (SELECT count(*) FROM v_residue) AS family_rows)", "allowed", "obs")(lambda e, r, p: D.selection_counts(e, r, RESIDUE, LIN, ENTRY, OBS))
-query("a17_universe_counts", "kind:s id:s n:i", "SELECT_STANDARD FROM (SELECT 'all' AS kind, 'entries' AS id, count(*) AS n FROM v_entries UNION ALL SELECT 'form', form, count(*) FROM v_entries GROUP BY form UNION ALL SELECT 'method', method, count(*) FROM v_entries GROUP BY method UNION ALL SELECT 'cleanliness', 'conservative', count(*) FROM v_entries WHERE passes_conservative UNION ALL SELECT 'cleanliness', 'relaxed', count(*) FROM v_entries WHERE passes_relaxed UNION ALL SELECT 'cleanliness', 'mw100', count(*) FROM v_entries WHERE passes_mw100)")(lambda e, r, p: R.universe_counts(e))
+query("a17_universe_counts", "kind:s id:s n:i", "SELECT_STANDARD FROM (SELECT 'all' AS kind, 'entries' AS id, count(*) AS n FROM v_entries UNION ALL SELECT 'form', form, count(*) FROM v_entries GROUP BY form UNION ALL SELECT 'method', method, count(*) FROM v_entries GROUP BY method UNION ALL SELECT 'cleanliness', 'conservative', count(*) FROM v_entries WHERE passes_conservative UNION ALL SELECT 'cleanliness', 'relaxed', count(*) FROM v_entries WHERE passes_relaxed UNION ALL SELECT 'cleanliness', 'mw100', count(*) FROM v_entries WHERE passes_mw100 UNION ALL SELECT 'family', 'residue', count(*) FROM v_residue UNION ALL SELECT 'family', 'pair', count(*) FROM v_pair)")(lambda e, r, p: R.universe_counts(e, {"residue": r, "pair": p}))
 query("a18_rows_per_entry", "pid:i residue_rows:i pair_rows:i", "SELECT_STANDARD FROM (SELECT e.pid, coalesce(a.n, 0) AS residue_rows, coalesce(b.n, 0) AS pair_rows FROM v_entries e LEFT JOIN (SELECT pid, count(*) AS n FROM v_residue GROUP BY pid) a USING (pid) LEFT JOIN (SELECT pid, count(*) AS n FROM v_pair GROUP BY pid) b USING (pid))")(lambda e, r, p: R.rows_per_entry(e, {"residue": r, "pair": p}))
 
 # --- series ------------------------------------------------------------------------------------------------------
@@ -250,13 +265,21 @@ def _log(cells: DataFrame) -> DataFrame:
     return H.with_row(cells, cells.agg(F.max("z").alias("top"))).withColumn("z", J.log_intensity(F.col("z").cast("double")))
 
 
+query("o4_finite_pairs", XY, "SELECT_STANDARD FROM j", "allowed", extra={k: v.replace("lin IS NOT NULL", "l_partkey % 9 > 2 AND lin IS NOT NULL").replace("shear IS NOT NULL", "l_partkey % 9 > 2") for k, v in PR.items()})(lambda e, r, p: pair_join(e, dirty(r), dirty(p, "shear")))
 query("p9_pearson", "r:d r2:d", "SELECT_STANDARD FROM (SELECT corr(x, y) AS r, corr(x, y) * corr(x, y) AS r2 FROM j)", "allowed", extra=PR)(lambda e, r, p: pair_join(e, r, p).agg(J.pearson().alias("r")).withColumn("r2", F.col("r") * F.col("r")))
 CC = "SELECT count(*) AS n, sum(sin(a - ma) * sin(b - mb)) / sqrt(sum(sin(a - ma) ** 2) * sum(sin(b - mb) ** 2)) AS r FROM (SELECT radians(x) AS a, radians(y) AS b FROM cj), (SELECT atan2(sum(sin(radians(x))), sum(cos(radians(x)))) AS ma, atan2(sum(sin(radians(y))), sum(cos(radians(y)))) AS mb FROM cj)"
 CJ = "SELECT o.ang AS x, CAST(o.l_partkey * 37 % 360 AS DOUBLE) AS y, o.pid FROM obs o WHERE o.ang IS NOT NULL"
 ang_pairs = lambda e, r: obs_of(e, r).filter("ang is not null").select("pid", F.col("ang").alias("x"), (F.col("l_partkey") * 37 % 360).cast("double").alias("y"))
 query("p10_circular_correlation", "n:i r:d", f"SELECT_STANDARD FROM ({CC})", "allowed", "obs", extra={"cj": CJ})(lambda e, r, p: J.circular_correlation(ang_pairs(e, r)))
 query("p11_matched_counts", "n:i entries:i", "SELECT_STANDARD FROM (SELECT count(*) AS n, count(DISTINCT pid) AS entries FROM j)", "allowed", extra=PR)(lambda e, r, p: pair_join(e, r, p).agg(F.count("*").alias("n"), F.count_distinct("pid").alias("entries")))
-query("p12_contour_levels", "width:s step:d level:d", None)(lambda e, r, p: J.contour_levels(J.joint_distribution(pair_join(e, r, p), SHEAR, LIN, View())[0]))
+CONTOURS = {
+    **GRID,
+    "span": "SELECT max(CASE WHEN y > 0 THEN y END) / sum(y) AS hi FROM s2",
+    "steps": "SELECT DISTINCT m * power(10e0, e) AS s FROM (SELECT unnest([1e0, 2e0, 2.5e0, 5e0, 10e0]) AS m), (SELECT unnest(range(CAST(floor(log10(hi)) AS INT) - 3, CAST(floor(log10(hi)) AS INT) + 2)) AS e FROM span)",
+    "usual": "SELECT min(s) AS u FROM steps, span WHERE s >= hi / 10 * (1 - 1e-12)",
+    "widths": "SELECT 'standard' AS width, u AS step FROM usual UNION ALL SELECT 'wide', min(s) FROM steps, span, usual WHERE s >= hi / 7 * (1 - 1e-12) AND s > u * (1 + 1e-9) UNION ALL SELECT 'tight', least((SELECT max(s) FROM steps, span WHERE s <= hi / 14 * (1 + 1e-12)), (SELECT max(s) FROM steps, usual WHERE s < u * (1 - 1e-9)))",
+}
+query("p12_contour_levels", "width:s step:d level:d", "SELECT_STANDARD FROM (SELECT width, step, unnest(range(1, greatest(1, CAST(floor(hi / step + 1e-9) AS INT)) + 1)) * step AS level FROM widths, span)", "allowed", extra=CONTOURS)(lambda e, r, p: J.contour_levels(J.joint_distribution(pair_join(e, r, p), SHEAR, LIN, View())[0]))
 query("p13_joint_distribution", "bx:i b_y:i x:d y:d z:d", 'SELECT_STANDARD FROM (SELECT bx, "by" AS b_y, ax.lo + (bx + 0.5) * (ax.hi - ax.lo) / 48 AS x, ay.lo + ("by" + 0.5) * (ay.hi - ay.lo) / 48 AS y, s2.y / sum(s2.y) OVER () AS z FROM s2, ax, ay)', "allowed", extra=GRID)(lambda e, r, p: J.joint_distribution(pair_join(e, r, p), SHEAR, LIN, View())[0].withColumnRenamed("by", "b_y"))
 query("p13_joint_statistics", "n:i entries:i r:d r2:d circular_r:d", f"SELECT_STANDARD FROM (SELECT (SELECT count(*) FROM cj) AS n, (SELECT count(DISTINCT pid) FROM cj) AS entries, (SELECT corr({WRAP.format('x')}, {WRAP.format('y')}) FROM cj) AS r, (SELECT corr({WRAP.format('x')}, {WRAP.format('y')}) ** 2 FROM cj) AS r2, (SELECT r FROM ({CC})) AS circular_r)", "allowed", "obs", extra={"cj": CJ})(lambda e, r, p: J.joint_distribution(ang_pairs(e, r), ANG, OPENING, View())[1])
 
@@ -268,21 +291,21 @@ query("f3_display_value", "pid:i a:d b:d c:d", f"SELECT_STANDARD FROM (SELECT pi
 CLEAN = "CASE WHEN passes_conservative THEN 'Conservative' WHEN passes_mw100 THEN 'No large het' WHEN passes_relaxed THEN 'Relaxed' ELSE 'All' END"
 RESL = "CASE WHEN resolution_known AND resolution IS NOT NULL THEN printf('%.2f Å', resolution) ELSE '-' END"
 query("f4_cleanliness_label", "pid:i v:s", f"SELECT_STANDARD FROM (SELECT pid, {CLEAN} AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.cleanliness_label().alias("v")))
-query("f5_resolution_label", "pid:i v:s", None)(lambda e, r, p: e.select("pid", C.resolution_label().alias("v")))
+query("f5_resolution_label", "pid:i v:s", f"SELECT_STANDARD FROM (SELECT pid, {RESL} AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.resolution_label().alias("v")))
 FORML = "CASE form WHEN 'adna' THEN 'A-DNA' WHEN 'bdna' THEN 'B-DNA' WHEN 'zdna' THEN 'Z-DNA' WHEN 'quadruplex' THEN 'Quadruplex' ELSE form END"
 query("f6_form_label", "pid:i v:s", f"SELECT_STANDARD FROM (SELECT pid, {FORML} AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.form_label(F.col("form")).alias("v")))
-query("f7_fixed_digits", "pid:i v:s", "SELECT_STANDARD FROM (SELECT pid, CASE WHEN lin IS NULL THEN '-' ELSE printf('%.3f', lin) END AS v FROM v_residue)")(lambda e, r, p: r.select("pid", C.fixed(F.col("lin"), 3).alias("v")))
+query("f7_fixed_digits", "pid:i v:s", "SELECT_STANDARD FROM (SELECT pid, CASE WHEN lin IS NULL THEN '-' ELSE printf('%.3f', lin * ang / 7) END AS v FROM v_residue)")(lambda e, r, p: r.select("pid", C.fixed(F.col("lin") * F.col("ang") / 7, 3).alias("v")))
 query("f8_entry_url", "pid:i v:s", "SELECT_STANDARD FROM (SELECT pid, 'https://example.org/entry/' || upper(entry_id) AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.entry_url(F.col("entry_id")).alias("v")))
 
 # --- tables and exports ------------------------------------------------------------------------------------------
 query("l1_sorted_entries", "pid:i entry_id:s", "SELECT_STANDARD FROM v_entries ORDER BY entry_id, pid")(lambda e, r, p: R.sorted_entries(e))
 query("l2_filtered_entries", "pid:i entry_id:s form:s", "SELECT_STANDARD FROM allowed ORDER BY entry_id, pid", "allowed")(lambda e, r, p: R.sorted_entries(allowed(e)))
 query("l3_page", "pid:i entry_id:s", "SELECT_STANDARD FROM (SELECT * FROM allowed ORDER BY entry_id, pid LIMIT 100 OFFSET 100)", "allowed")(lambda e, r, p: R.entry_page(allowed(e), 1))
-query("l4_entry_table", "pid:i entry:s form_label:s method:s cleanliness:s", f"SELECT_STANDARD FROM (SELECT pid, upper(entry_id) AS entry, {FORML} AS form_label, method, {CLEAN} AS cleanliness FROM v_entries)")(lambda e, r, p: R.entry_table(e))
+query("l4_entry_table", "pid:i entry:s form_label:s method:s resolution_label:s cleanliness:s het_names:s residue_count:i", f"SELECT_STANDARD FROM (SELECT pid, upper(entry_id) AS entry, {FORML} AS form_label, method, {RESL} AS resolution_label, {CLEAN} AS cleanliness, het_names, residue_count FROM v_entries)")(lambda e, r, p: R.entry_table(e))
 query(
-    "k1_observation_export", "value:d pdb_id:s site_label:s form_nakb:s method:s cleanliness:s sequence_context:s backbone_state:s terminal_flag:i",
-    f"SELECT_STANDARD FROM (SELECT o.lin AS value, upper(entry_id) AS pdb_id, site_label, o.form AS form_nakb, method, {CLEAN} AS cleanliness, coalesce(nullif(context, ''), 'Missing') AS sequence_context, secondary_context AS backbone_state, edge_flag AS terminal_flag FROM obs o JOIN allowed a ON a.pid = o.pid WHERE lin IS NOT NULL)", "allowed", "obs",
-)(lambda e, r, p: R.export_observations(e, r, RESIDUE, "lin", ENTRY, OBS).withColumn("value", F.col("value").cast("double")))
+    "k1_observation_export", "value:s pdb_id:s site_label:s form_nakb:s method:s resolution_angstrom:s cleanliness:s het_names:s residue_count:i sequence_context:s backbone_state:s terminal_flag:i",
+    f"SELECT_STANDARD FROM (SELECT printf('%.6f', o.lin) AS value, upper(entry_id) AS pdb_id, site_label, o.form AS form_nakb, method, CASE WHEN resolution_known AND resolution IS NOT NULL THEN printf('%.2f', resolution) ELSE '' END AS resolution_angstrom, {CLEAN} AS cleanliness, het_names, residue_count, coalesce(nullif(context, ''), 'Missing') AS sequence_context, secondary_context AS backbone_state, edge_flag AS terminal_flag FROM obs o JOIN allowed a ON a.pid = o.pid WHERE lin IS NOT NULL)", "allowed", "obs",
+)(lambda e, r, p: R.export_observations(e, r, RESIDUE, "lin", ENTRY, OBS))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ V_ENTRIES = """SELECT o_orderkey AS pid, concat('e', CAST(o_orderkey AS string))
   CASE o_orderpriority WHEN '1-URGENT' THEN 'adna' WHEN '2-HIGH' THEN 'bdna' WHEN '3-MEDIUM' THEN 'zdna' WHEN '4-NOT SPECIFIED' THEN 'quadruplex' ELSE 'other' END AS form,
   CASE o_orderstatus WHEN 'F' THEN 'xray' WHEN 'O' THEN 'nmr' ELSE 'em' END AS method,
   CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice / 1e5 END AS resolution, o_orderkey % 10 <> 0 AS resolution_known,
-  o_custkey % 4 = 0 AS passes_conservative, o_custkey % 4 <= 1 AS passes_mw100, o_custkey % 4 <= 2 AS passes_relaxed, o_custkey % 3 = 0 AS has_duplex_core, o_custkey % 6 = 0 AS all_residues_paired
+  o_custkey % 4 = 0 AS passes_conservative, o_custkey % 4 <= 1 AS passes_mw100, o_custkey % 4 <= 2 AS passes_relaxed, o_custkey % 3 = 0 AS has_duplex_core, o_custkey % 6 = 0 AS all_residues_paired,
+  CASE WHEN o_custkey % 5 = 0 THEN 'ZN' ELSE '-' END AS het_names, CAST(o_custkey % 90 + 2 AS int) AS residue_count
   FROM orders"""
 V_RESIDUE = """SELECT l_orderkey AS pid, concat('r', CAST(l_linenumber AS string)) AS site_label, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS edge_flag,
   CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS context, l_linestatus AS secondary_context, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS lin,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from angula.functions.columns import finite
@@ -50,16 +50,24 @@ def load_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_family(spark: SparkSession, path: str, params: list[str], context: str | None = None, secondary: str | None = None) -> DataFrame:
-    """Typed observations with row_index: the file's own, else the order of the lines (by block of the file, then line)."""
+    """Typed observations with a long row_index: the file's own, else the order of the lines.
+
+    That order is packed from the file's place among the table's files (15 bits), the block's MB in the file (17 bits) and
+    the line within the task's part (31 bits).
+    """
     t = read_tsv(spark, path)
     has = set(t.columns)
     edge = next((e for e in ("edge_flag", "is_terminal_any") if e in has), None)
-    t = t.withColumn("at_", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    if "row_index" not in has:
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        files = spark.createDataFrame(list(enumerate(sorted({f.rsplit("/", 1)[-1] for f in t.inputFiles()}))), "file_nth long, file_name string")
+        t = t.select("*", name.alias("file_name"), F.shiftright("_metadata.file_block_start", 20).alias("block_nth"), F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1).alias("line_nth"))
+        t = t.join(F.broadcast(files), "file_name", "left")
     out = [parse_int(F.col("pid")).alias("pid"), (parse_int(F.col(edge)) if edge else F.lit(0)).alias("edge_flag")]
     out += [F.trim(F.col(f"`{n}`")).alias(n) for n in ("site_label", context, secondary) if n and n in has]
     out += [parse_number(F.col(f"`{p}`")).cast("float").alias(p) for p in params if p in has]
-    index = F.col("row_index").cast("long") if "row_index" in has else F.col("at_")
-    return t.select(*out, index.alias("row_index"))
+    packed = F.shiftleft(F.coalesce("file_nth", F.lit(0)).cast("long"), 48) + F.shiftleft(F.col("block_nth").cast("long"), 31) + F.col("line_nth") if "row_index" not in has else F.col("row_index")
+    return t.select(*out, packed.cast("long").alias("row_index"))
 
 
 class Families:
@@ -86,10 +94,25 @@ def export_name(param: str, stamp: str) -> str:
     return f"{re.sub(r'[^a-z0-9]+', '_', param.lower()).strip('_') or 'export'}_{stamp}"
 
 
-def write_family(df: DataFrame, path: str, parts: int) -> None:
-    """A family's .tsv.gz files in order of pid."""
-    df.repartitionByRange(parts, "pid").sortWithinPartitions("pid", "row_index").write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+def _counted(df: DataFrame, parts: int) -> tuple[DataFrame, Observation]:
+    rows = Observation()
+    return df.repartitionByRange(parts, "pid").sortWithinPartitions("pid", "row_index").observe(rows, F.count(F.lit(1)).alias("row_count")), rows
+
+
+def write_family(df: DataFrame, path: str, parts: int) -> int:
+    """A family's .tsv.gz files in order of pid; gives the row count for the manifest, counted while writing."""
+    out, rows = _counted(df, parts)
+    out.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    return rows.get["row_count"]
+
+
+def write_family_parquet(df: DataFrame, path: str, parts: int) -> int:
+    """The same as Parquet."""
+    out, rows = _counted(df, parts)
+    out.write.parquet(path)
+    return rows.get["row_count"]
 
 
-def write_family_parquet(df: DataFrame, path: str, parts: int) -> None:
-    df.repartitionByRange(parts, "pid").sortWithinPartitions("pid", "row_index").write.parquet(path)
+def row_counts(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """family_id, row_count: what write_family() gave, as the manifest records it."""
+    return spark.createDataFrame(sorted(counts.items()), "family_id string, row_count long")

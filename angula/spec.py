@@ -40,6 +40,8 @@ class FamilySpec:
     secondary: str | None = None
     secondary_options: tuple[str, ...] = ()
     secondary_empty: str = ""
+    context_default: tuple[str, ...] = ()
+    secondary_default: tuple[str, ...] = ()
     site: str | None = "site_label"
     order: tuple[str, ...] = ("row_index",)
 
@@ -58,7 +60,7 @@ class EntryFilter:
 
 @dataclass(frozen=True)
 class ObsFilter:
-    """None: all options. Unknown ids are left out; a choice that is empty then is an error."""
+    """None: the family's defaults that are valid, else all options. Unknown ids are left out; a choice that is empty then is an error."""
 
     terminal: str = "include"
     contexts: Sequence[str] | None = None
@@ -77,9 +79,14 @@ class View:
         return standard * (2 if self.fine else 1)
 
 
-def chosen(given: Sequence[str] | None, options: Sequence[str]) -> list[str]:
-    """The valid ids of a choice; all options for None."""
-    out = list(options) if given is None else [x for x in given if x in options]
+def chosen(given: Sequence[str] | None, options: Sequence[str], default: Sequence[str] = (), refill: bool = False) -> list[str]:
+    """The valid ids of a choice; for None the valid defaults, or all options without any.
+
+    A choice without a valid id is an error, or with refill (what two joined families share) taken as None.
+    """
+    out = [x for x in given or () if x in options]
+    if given is None or (refill and not out):
+        out = [x for x in default if x in options] or list(options)
     if not out:
         raise ValueError(f"no valid id among {list(given or [])}")
     return out

@@ -6,7 +6,6 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from angula.functions import columns as C
 from angula.operators import derive, distribution as D, filters as E, histogram as H, joint as J, report as R
@@ -42,12 +41,29 @@ def test_ingest_round_trip(spark, tmp_path):
     f.write_text("pid\tis_terminal_any\tsite_label\tctx\ta\n1\t1\t x \tA\t1.5\n1\t0\ty\t\t\n")
     got = S.load_family(spark, str(f), ["a", "missing"], "ctx")
     assert [(r.pid, r.edge_flag, r.site_label, r.ctx or "", r.a) for r in got.orderBy("row_index").collect()] == [(1, 1, "x", "A", 1.5), (1, 0, "y", "", None)]
-    out = got.withColumn("row_index", F.row_number().over(W.orderBy("row_index")))
-    S.write_family(out, str(tmp_path / "w"), 2)
+    assert got.schema["row_index"].dataType.typeName() == "long"
+    out = got.unionByName(got.withColumn("pid", F.lit(2)))
+    assert S.write_family(out, str(tmp_path / "w"), 2) == S.write_family_parquet(out, str(tmp_path / "p"), 2) == 4
+    assert S.row_counts(spark, {"b": 4, "a": 1}).collect() == [("a", 1), ("b", 4)]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "p")).collect())) == sorted(map(tuple, out.collect()), key=repr)
     again = S.load_family(spark, str(tmp_path / "w"), ["a"], "ctx")
     assert sorted((r.pid, r.row_index, r.a) for r in again.collect()) == sorted((r.pid, r.row_index, r.a) for r in out.collect())
 
 
+def test_row_index_follows_files_and_lines(spark, tmp_path):
+    for name, first in (("b", 100), ("a", 0)):
+        (tmp_path / f"{name}.tsv").write_text("pid\tv\n" + "".join(f"1\t{first + i}\n" for i in range(50)))
+    got = S.load_family(spark, str(tmp_path), ["v"])
+    assert values(got.orderBy("row_index"), "v") == [*range(50), *range(100, 150)] and got.select("row_index").distinct().count() == 100
+
+
+def test_fixed_digits_round_the_exact_value(spark):
+    v = [1.005, 2.675, 0.125, -0.125, -0.001, 9.9999995, 0.0, -0.0, 1e15 + 0.5, None, math.nan, math.inf]
+    d = spark.createDataFrame([(x,) for x in v], "v double")
+    assert values(d.select(C.fixed(F.col("v"), 2).alias("t")), "t") == ["1.00", "2.67", "0.13", "-0.13", "-0.00", "10.00", "0.00", "0.00", "1000000000000000.50", "-", "-", "-"]
+    assert values(d.select(C.fixed(F.col("v"), 0).alias("t")), "t")[:6] == ["1", "3", "0", "-0", "-0", "10"]
+
+
 def test_manifest(spark, tmp_path):
     p = tmp_path / "m.json"
     p.write_text(json.dumps({"parameter_registry": [{"param_id": "a", "value_type": "numeric_circular", "period": 360}, {"param_id": "b", "value_type": "numeric", "display_range_default": [0, 5]}]}, indent=1))
@@ -72,6 +88,8 @@ def test_choices():
     assert chosen(None, ["a", "b"]) == ["a", "b"] and chosen(["b", "z"], ["a", "b"]) == ["b"]
     with pytest.raises(ValueError):
         chosen([], ["a"])
+    assert chosen(None, ["a", "b"], ["b", "z"]) == ["b"] and chosen(None, ["a", "b"], ["z"]) == ["a", "b"]
+    assert chosen(["z"], ["a", "b"], ["b"], refill=True) == ["b"] and chosen([], ["a", "b"], refill=True) == ["a", "b"]
     assert len(selected_forms([])) == 9 and selected_forms(["zdna", "x", "adna"]) == ["adna", "zdna"]
     assert View().bins(True) == 72 and View(fine=True).bins(False) == 128 and View(fine=True).bins(False, True) == 96
 
