@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of text to each range of hashes.
+PART_BYTES = 64 << 20
 #: A word: a run of anything but space and \\t \\n \\v \\f \\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -128,25 +131,73 @@ def put_array(folder: str, name: str, part: int, array: np.ndarray) -> None:
         store.move(tmp, f"{path}/{own}")
 
 
-def get_arrays(folder: str, name: str) -> dict[int, np.ndarray]:
-    """Parts by number: memory-mapped where the shared folder is mounted, else read from its store."""
-    found: dict[int, np.ndarray] = {}
-    if (path := _local(folder)) is not None:
-        for f in os.listdir(path) if os.path.isdir(path) else []:
-            if f.startswith(f"{name}-"):
-                kind = f.rpartition(".")[2]
-                full = f"{path}/{f}"
-                found[int(f[len(name) + 1 :].partition(".")[0])] = np.memmap(full, kind, "r") if os.path.getsize(full) else np.zeros(0, kind)
-        return found
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    for info in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
-        f = info.base_name
-        if f.startswith(f"{name}-"):
-            with store.open_input_file(info.path) as src:
-                found[int(f[len(name) + 1 :].partition(".")[0])] = np.frombuffer(src.read(), f.rpartition(".")[2])
-    return found
+class Arrays:
+    """The parts of an array by number, opened as they are asked for: mapped where the shared folder is mounted, else read.
+
+    No more than MOST_OPEN maps or MOST_READ bytes are held at a time, those used last, so that a worker's memory and maps
+    don't grow with the array.
+    """
+
+    MOST_OPEN, MOST_READ = 4096, 1 << 28
+
+    def __init__(self, folder: str, name: str):
+        self.path, self.store = _local(folder), None
+        if self.path is not None:
+            files = os.listdir(self.path) if os.path.isdir(self.path) else []
+        else:
+            from pyarrow import fs
+
+            self.store, self.path = fs.FileSystem.from_uri(folder)
+            files = [x.base_name for x in self.store.get_file_info(fs.FileSelector(self.path, allow_not_found=True))]
+        self.files = {int(f[len(name) + 1 :].partition(".")[0]): f for f in files if f.startswith(f"{name}-")}
+        self.held: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.size = 0
+
+    def _open(self, f: str) -> np.ndarray:
+        kind, full = f.rpartition(".")[2], f"{self.path}/{f}"
+        if self.store is None:
+            return np.memmap(full, kind, "r") if os.path.getsize(full) else np.zeros(0, kind)
+        with self.store.open_input_file(full) as src:
+            return np.frombuffer(src.read(), kind)
+
+    def __getitem__(self, part: int) -> np.ndarray:
+        if part in self.held:
+            self.held.move_to_end(part)
+        else:
+            self.held[part] = self._open(self.files[part])
+            self.size += self.held[part].nbytes
+            while len(self.held) > self.MOST_OPEN or (self.store is not None and self.size > self.MOST_READ and len(self.held) > 1):
+                self.size -= self.held.popitem(last=False)[1].nbytes
+        return self.held[part]
+
+    def get(self, part: int) -> np.ndarray | None:
+        return self[part] if part in self.files else None
+
+    def __contains__(self, part: int) -> bool:
+        return part in self.files
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(sorted(self.files))
+
+
+def parts_of(docs: DataFrame, text: Column, least: int = 32) -> int:
+    """How many ranges hashes of docs' texts are dealt to: one for each PART_BYTES of text, so that a range's size doesn't grow."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, partitions(docs.sparkSession), -(-total // PART_BYTES))
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(part, its rows) one part after the other, of batches sorted by their first column, the part."""
+    part, rows = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[0] != part:
+                if rows:
+                    yield part, rows
+                part, rows = row[0], []
+            rows.append(row[1:])
+    if rows:
+        yield part, rows
 
 
 def range_part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -154,15 +205,15 @@ def range_part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def find(parts: dict[int, np.ndarray], n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find(parts: Arrays, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each of the sorted keys in its part, -1 if it isn't there, and the part's number."""
     of = range_part(keys, n)
     place = np.full(len(keys), -1, np.int64)
     edges = np.searchsorted(of, np.arange(n + 1))
     for p in range(n):
         lo, hi = edges[p], edges[p + 1]
-        held = parts.get(p)
-        if lo < hi and held is not None and len(held):
+        held = parts.get(p) if lo < hi else None
+        if held is not None and len(held):
             at = np.searchsorted(held, keys[lo:hi])
             at[at == len(held)] = 0
             place[lo:hi] = np.where(held[at] == keys[lo:hi], at, -1)

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, find, fresh, get_arrays, keys_of, new_folder, partitions, put_array, range_part, remove, small, small_blob, text_of, written
+from .common import Arrays, by_part, components, find, fresh, keys_of, new_folder, parts_of, put_array, range_part, remove, small, small_blob, text_of, written
 from .grams import set_keys, shingle_sets
 
 N = 5
@@ -63,17 +63,24 @@ def _count(folder: str, common: int):
     """Passes documents on and writes the common shingles of each range, and those of two documents or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
+        part, blobs = None, []
+
+        def put() -> None:
+            if blobs:
+                keys, n = np.unique(np.concatenate([keys_of(x) for x in blobs]), return_counts=True)
+                put_array(folder, "common", part, keys[n >= common] << U24)
+                put_array(folder, "twice", part, keys[n >= 2] << U24)
+
         for b in batches:
             for p, x in zip(b.column("part").to_pylist(), b.column("blob").to_pylist()):
+                if p != part:
+                    put()
+                    part, blobs = p, []
                 if x is not None:
-                    blobs.setdefault(p, []).append(x)
+                    blobs.append(x)
             docs = b.filter(pa.compute.is_null(b.column("blob")))
             yield docs.select(docs.schema.names[1:-1])
-        for p, xs in blobs.items():
-            keys, n = np.unique(np.concatenate([keys_of(x) for x in xs]), return_counts=True)
-            put_array(folder, "common", p, keys[n >= common] << U24)
-            put_array(folder, "twice", p, keys[n >= 2] << U24)
+        put()
 
     return run
 
@@ -84,17 +91,13 @@ def prefix_sizes(sizes: np.ndarray) -> np.ndarray:
 
 def _prefixes(folder: str, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = get_arrays(folder, "common")
-        common = np.concatenate([np.zeros(0, np.uint64), *[held[p] for p in sorted(held)]])
-        twice = get_arrays(folder, "twice")
+        common, twice = Arrays(folder, "common"), Arrays(folder, "twice")
         for b in small(batches):
             hs, nodes, ns = [], [], []
             for _, sizes, ends, g in shingle_sets(b.column(0), N):
                 of = np.repeat(np.arange(len(sizes)), sizes)
-                late = np.zeros(len(g), bool)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, g >> U24 << U24), len(common) - 1)
-                    late = common[at] == g >> U24 << U24
+                own, back = np.unique(g >> U24 << U24, return_inverse=True)
+                late = (find(common, parts, own)[0] >= 0)[back]
                 order = np.lexsort((g, late, of))
                 rank = np.arange(len(g)) - np.repeat(ends - sizes, sizes)
                 take = order[rank < np.repeat(prefix_sizes(sizes), sizes)]
@@ -145,12 +148,8 @@ def tiles_of(h: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got: dict[int, list] = {}
-    for b in batches:
-        for p, h, node, n in zip(*(b.column(c).to_pylist() for c in ("part", "h", "node", "n"))):
-            got.setdefault(p, []).append((keys_of(h), np.frombuffer(node, np.uint64), np.frombuffer(n, np.uint32)))
-    for p in list(got):
-        tile, node, n = tiles_of(*map(np.concatenate, zip(*got.pop(p))))
+    for _, rows in by_part(batches):
+        tile, node, n = tiles_of(*map(np.concatenate, zip(*((keys_of(h), np.frombuffer(node, np.uint64), np.frombuffer(n, np.uint32)) for h, node, n in rows))))
         for i in range(0, len(tile), 50_000):
             yield pa.RecordBatch.from_arrays([_i64(tile[i : i + 50_000]), _i64(node[i : i + 50_000]), pa.array(n[i : i + 50_000].astype(np.int32))], ["tile", "node", "n"])
 
@@ -166,21 +165,16 @@ def _with_part(parts: int):
 
 def _put_nodes(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {}
-        for b in batches:
-            part, node = b.column("part").to_numpy(), b.column("node").to_numpy().view(np.uint64)
-            for p in np.unique(part):
-                got.setdefault(int(p), []).append(node[part == p])
-        for p, xs in got.items():
-            put_array(folder, "wanted", p, np.unique(np.concatenate(xs)))
-            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(map(len, xs))], pa.int64())})
+        for p, rows in by_part(batches):
+            put_array(folder, "wanted", p, np.unique(np.array([x for x, in rows], np.int64).view(np.uint64)))
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64())})
 
     return run
 
 
 def _sets(folder: str, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = get_arrays(folder, "wanted")
+        wanted = Arrays(folder, "wanted")
         for b in batches:
             nodes, sets = [], []
             for _, sizes, ends, g in shingle_sets(b.column(0), N):
@@ -199,12 +193,8 @@ def _sets(folder: str, parts: int):
 
 def _put_sets(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, dict[int, bytes]] = {}
-        for b in batches:
-            for p, node, s in zip(*(b.column(c).to_pylist() for c in ("part", "node", "set"))):
-                got.setdefault(p, {})[node & (1 << 64) - 1] = s
-        for p in list(got):
-            own = got.pop(p)
+        for p, rows in by_part(batches):
+            own = {node & (1 << 64) - 1: s for node, s in rows}
             keys = np.array(sorted(own), np.uint64)
             sets = [np.frombuffer(own[int(k)], np.uint64) for k in keys]
             bits = np.zeros((len(keys), BITS // 64), np.uint64)
@@ -236,7 +226,7 @@ def _verify(folder: str, parts: int):
         store = None
         for b in batches:
             if store is None:
-                store = {k: get_arrays(folder, k) for k in ("node", "bits", "end", "set")}
+                store = {k: Arrays(folder, k) for k in ("node", "bits", "end", "set")}
             sides = []
             for c in ("a", "b"):
                 key = b.column(c).to_numpy().view(np.uint64)
@@ -270,19 +260,20 @@ def classes(docs: DataFrame, text_col: str, **ids: Column) -> tuple[DataFrame, D
     Documents with equal sets have one node; the node of an empty set is 0 and has no label, as have nodes without links.
     """
     spark = docs.sparkSession
-    parts = max(32, partitions(spark))
     folder = new_folder(spark, "sets")
     d = docs.select(*[c.cast("long").alias(k) for k, c in ids.items()], text_of(text_col).alias("text"))
+    parts = parts_of(d, F.col("text"))
+    dealt = lambda df: df.repartition(parts, "part").sortWithinPartitions("part")
     kept = ", ".join(f"{k} long" for k in [*ids, "n_shingles", "node"])
-    rows = d.mapInArrow(_read(parts), f"part int, {kept}, blob binary").repartition(parts, "part").mapInArrow(_count(folder, COMMON), kept)
+    rows = dealt(d.mapInArrow(_read(parts), f"part int, {kept}, blob binary")).mapInArrow(_count(folder, COMMON), kept)
     rows = written(rows, "nodes")
     text = d.select("text")
-    tiles = text.mapInArrow(_prefixes(folder, parts), "part int, h binary, node binary, n binary").repartition(parts, "part").mapInArrow(_tiles, "tile long, node long, n int")
+    tiles = dealt(text.mapInArrow(_prefixes(folder, parts), "part int, h binary, node binary, n binary")).mapInArrow(_tiles, "tile long, node long, n int")
     tiles = written(tiles.dropDuplicates(["tile", "node"]), "tiles")
     nodes = tiles.select("node").distinct()
-    nodes.mapInArrow(_with_part(parts), "part int, node long").repartition(parts, "part").mapInArrow(_put_nodes(folder), "n long").agg(F.sum("n")).collect()
+    dealt(nodes.mapInArrow(_with_part(parts), "part int, node long")).mapInArrow(_put_nodes(folder), "n long").agg(F.sum("n")).collect()
     bits = ", ".join(f"b{k} long" for k in range(BITS // 64))
-    signs = text.mapInArrow(_sets(folder, parts), "part int, node long, set binary").repartition(parts, "part").mapInArrow(_put_sets(folder), f"node long, {bits}")
+    signs = dealt(text.mapInArrow(_sets(folder, parts), "part int, node long, set binary")).mapInArrow(_put_sets(folder), f"node long, {bits}")
     signs = written(signs, "signs")
     labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
     for turn in range(ROUNDS + 1):

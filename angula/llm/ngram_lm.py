@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find, get_arrays, keys_of, new_folder, partitions, put_array, range_part, small, small_blob, text_of
+from .common import Arrays, by_part, find, keys_of, new_folder, parts_of, put_array, range_part, small, small_blob, text_of
 from .grams import mix, sliced, words
 
 END = int(mix(np.array([7], np.uint64))[0])
@@ -58,12 +58,8 @@ def _by_range(part: np.ndarray, parts: int, keys: np.ndarray, n: np.ndarray) ->
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     import zstandard
 
-    got: dict[int, list] = {}
-    for b in batches:
-        for p, k, n in zip(*(b.column(c).to_pylist() for c in ("part", "keys", "n"))):
-            got.setdefault(p, []).append((keys_of(k), np.frombuffer(zstandard.decompress(n), np.uint32)))
-    for p in list(got):
-        keys, n = map(np.concatenate, zip(*got.pop(p)))
+    for p, rows in by_part(batches):
+        keys, n = map(np.concatenate, zip(*((keys_of(k), np.frombuffer(zstandard.decompress(x), np.uint32)) for k, x in rows)))
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order].astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -96,10 +92,9 @@ class Vocabulary:
     """Numbers and counts of words by hash; unknown words have number 0, the start 1, the others follow in order of hash."""
 
     def __init__(self, folder: str, parts: int):
-        self.words, self.counts, self.parts = get_arrays(folder, "word"), get_arrays(folder, "count"), parts
-        size = np.array([len(self.words.get(p, ())) for p in range(parts)])
+        self.words, self.counts, self.parts = Arrays(folder, "word"), Arrays(folder, "count"), parts
+        size = Arrays(folder, "types")[0]
         self.first = np.cumsum(size) - size + 2
-        self.size = int(size.sum())
 
     def look(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own, back = np.unique(tokens, return_inverse=True)
@@ -148,7 +143,8 @@ def _put_bigrams(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, keys, n in _merged(batches):
             put_array(folder, "key", p, keys)
-            put_array(folder, "n", p, np.minimum(n, (1 << 32) - 1).astype(np.uint32))
+            put_array(folder, "countcounts", p, np.bincount(np.minimum(n, 5), minlength=6).astype(np.int64))
+            put_array(folder, "n", p, n.astype(np.uint32 if n.max() < 1 << 32 else np.uint64))
             ctx = keys >> U32
             begin = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
             sums = [np.add.reduceat(x.astype(np.int64), begin) for x in (n, n == 1, n == 2, n >= 3)]
@@ -157,8 +153,6 @@ def _put_bigrams(folder: str):
             word, k = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
             none = pa.nulls(len(word), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), none, none, none, none, pa.array(k.astype(np.int64))], ["id", "total", "n1", "n2", "n3", "before"])
-            counts = np.bincount(np.minimum(n, 5), minlength=6)
-            put_array(folder, "countcounts", p, counts.astype(np.int64))
 
     return run
 
@@ -202,8 +196,8 @@ class Model:
 
     def open(self) -> None:
         self.vocabulary = Vocabulary(self.folder, self.parts)
-        self.keys, self.n = get_arrays(self.folder, "key"), get_arrays(self.folder, "n")
-        self.sums = {p: x.reshape(-1, 5) for p, x in get_arrays(self.folder, "sums").items()}
+        self.keys, self.n = Arrays(self.folder, "key"), Arrays(self.folder, "n")
+        self.sums = Arrays(self.folder, "sums")
 
     def _sums(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros((len(ids), 5), np.int64)
@@ -211,7 +205,7 @@ class Model:
         for b in np.unique(block):
             if b in self.sums:
                 m = block == b
-                out[m] = self.sums[b][(ids[m] % np.uint64(self.per)).astype(np.int64)]
+                out[m] = self.sums[int(b)].reshape(-1, 5)[(ids[m] % np.uint64(self.per)).astype(np.int64)]
         return out
 
     def low_order(self, before: np.ndarray) -> np.ndarray:
@@ -246,22 +240,31 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", per: int = 1 << 16) -> Model:
-    """Count docs' whole texts (null: empty, one end) into a model in the shared folder. An empty table gives a flat model."""
+    """Count docs' whole texts (null: empty, one end) into a model in the shared folder. An empty table gives a flat model.
+
+    The driver gets three numbers for each range of words. More than 2**32 - 2 different words are an error.
+    """
     spark = docs.sparkSession
-    parts = max(32, partitions(spark))
     folder = new_folder(spark, "lm")
     text = docs.select(text_of(text_col).alias("text"))
+    parts = parts_of(text, F.col("text"))
+    dealt = lambda df: df.repartition(parts, "part").sortWithinPartitions("part")
     kind = "part int, keys binary, n binary"
-    got = text.mapInArrow(_count_words(parts), kind).repartition(parts, "part").mapInArrow(_put_words(folder), "part int, types long, total long").agg(F.sum("types"), F.sum("total")).first()
-    types, total = got[0] or 0, got[1] or 0
+    got = dealt(text.mapInArrow(_count_words(parts), kind)).mapInArrow(_put_words(folder), "part int, types long, total long").collect()
+    size = np.zeros(parts, np.int64)
+    for r in got:
+        size[r.part] = r.types
+    put_array(folder, "types", 0, size)
+    types, total = int(size.sum()), sum(r.total for r in got)
     if types >= (1 << 32) - 2:
         raise ValueError("more words than 32 bits can number")
-    rows = text.mapInArrow(_count_bigrams(folder, parts), kind).repartition(parts, "part").mapInArrow(_put_bigrams(folder), "id long, total long, n1 long, n2 long, n3 long, before long")
+    rows = dealt(text.mapInArrow(_count_bigrams(folder, parts), kind)).mapInArrow(_put_bigrams(folder), "id long, total long, n1 long, n2 long, n3 long, before long")
     rows = rows.groupBy("id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "n1", "n2", "n3", "before")])
     rows = rows.withColumn("block", F.expr(f"id div {per}")).repartition(parts, "block").drop("block")
     low = rows.mapInArrow(_put_ids(folder, per), "k1 long, k2 long, k3 long, k4 long, k3plus long, all long").agg(*[F.sum(c).alias(c) for c in ("k1", "k2", "k3", "k4", "k3plus", "all")]).first()
     low = [x or 0 for x in low]
-    counts = sum(get_arrays(folder, "countcounts").values(), np.zeros(6, np.int64))
+    held = Arrays(folder, "countcounts")
+    counts = sum((held[p] for p in held), np.zeros(6, np.int64))
     return Model(folder, parts, per, types, total, discounts(counts[1:5]), discounts(np.array(low[:4])), (low[5], low[0], low[1], low[4]))
 
 
@@ -297,4 +300,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def scores(docs: DataFrame) -> DataFrame:
+    """score() of all rows by a model of those that aren't held out (by crc32 of the id as text; a null id counts as an empty one).
+
+    Null texts are empty, equal rows give equal rows, other columns are not looked at, an empty table gives none.
+    """
     return score(docs, train(docs.filter(~held_out("doc_id"))))
