@@ -1,11 +1,12 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-1. Unit vectors in double precision are dealt to overlapping shards: their nearest and second nearest centre (of a bounded
-   sample); a centre with more vectors than a shard holds is split by hash, and its vectors overlap with its next split.
+1. Equal vectors are one node. Unit vectors in double precision are dealt to overlapping shards: their nearest and second
+   nearest centre (of a bounded sample); a centre with more vectors than a shard holds is split by hash, and its vectors overlap
+   with its next split.
 2. Each shard builds a graph: nearest members, robust-pruned. Adjacency lists of all shards are united, both ways, and lie
    with the vectors in the shared folder, mapped by the tasks that search.
-3. Every vector searches: greedily from the medoids nearest to it and from its own place, then by range, through all that
-   it links with.
+3. Every node searches: greedily from the nearest medoids of its two centres' shards and from its own place, then by range,
+   through all that it links with. Links count the vectors of both nodes.
 4. A sample of vectors is held against all rows; where recall is short, the search widens. If it stays short, all pairs of
    shards whose vectors can be near are compared, each pair in blocks. Links are exact cosines.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, get_arrays, new_folder, partitions, put_array, written
+from .common import Arrays, components, new_folder, partitions, put_array, written
 
 LIMIT = 0.95
 SHARD, SAMPLE, MAX_CENTRES = 1000, 8192, 2048
@@ -80,9 +81,7 @@ class Graph:
     """The united graph in the shared folder: node number = shard << 32 | place."""
 
     def __init__(self, folder: str, dims: int):
-        self.vectors = {p: x.reshape(-1, dims) for p, x in get_arrays(folder, "vector").items()}
-        self.ends, self.to = get_arrays(folder, "end"), get_arrays(folder, "to")
-        self.dims = dims
+        self.vectors, self.ends, self.to, self.dims = Arrays(folder, "vector"), Arrays(folder, "end"), Arrays(folder, "to"), dims
 
     def sims(self, q: np.ndarray, nodes: np.ndarray, of: np.ndarray) -> np.ndarray:
         out = np.empty(len(nodes))
@@ -92,7 +91,7 @@ class Graph:
         for lo, hi in zip(edge, np.append(edge[1:], len(order))):
             for i in range(lo, hi, 1 << 15):
                 at = order[i : min(hi, i + (1 << 15))]
-                out[at] = np.einsum("nd,nd->n", self.vectors[int(shard[at[0]])][nodes[at] & 0xFFFFFFFF], q[of[at]])
+                out[at] = np.einsum("nd,nd->n", self.vectors[int(shard[at[0]])].reshape(-1, self.dims)[nodes[at] & 0xFFFFFFFF], q[of[at]])
         return out
 
     def neighbours(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +142,20 @@ class Graph:
         return seen_of[hit], seen_node[hit]
 
 
+class Counts:
+    """How many vectors each node stands for."""
+
+    def __init__(self, folder: str):
+        self.held = Arrays(folder, "times")
+
+    def __call__(self, nodes: np.ndarray) -> np.ndarray:
+        out, shard = np.zeros(len(nodes), np.int64), nodes >> 32
+        for s in np.unique(shard):
+            m = shard == s
+            out[m] = self.held[int(s)][nodes[m] & 0xFFFFFFFF]
+        return out
+
+
 def _local_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Node and the smallest node that the pairs (a, b) connect it with."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -175,15 +188,17 @@ def _compared(put: DataFrame, folder: str, dims: int, bounds: np.ndarray, shards
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), number[i], np.int64)), pa.array(near.astype(np.int64))], ["s", "t"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = {p: x.reshape(-1, dims) for p, x in get_arrays(folder, "vector").items()}
+        vectors, times = Arrays(folder, "vector"), Counts(folder)
         for b in batches:
             for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i in range(0, len(vectors[s]), 1024):
-                    for j in range(0, len(vectors[t]), 1024):
-                        a, c = np.nonzero(vectors[s][i : i + 1024] @ vectors[t][j : j + 1024].T >= limit)
+                left, right = (vectors[x].reshape(-1, dims) for x in (s, t))
+                for i in range(0, len(left), 1024):
+                    for j in range(0, len(right), 1024):
+                        a, c = np.nonzero(left[i : i + 1024] @ right[j : j + 1024].T >= limit)
                         a, c = (s << 32) + i + a, (t << 32) + j + c
                         a, c = a[a != c], c[a != c]
-                        node, n = np.unique(a if s == t else np.concatenate([a, c]), return_counts=True)
+                        node, at = np.unique(a if s == t else np.concatenate([a, c]), return_inverse=True)
+                        n = np.bincount(at, times(c if s == t else np.concatenate([c, a])), len(node))
                         mine, label = _local_labels(a, c) if len(a) else (a, c)
                         none = lambda k: pa.nulls(k, pa.int64())
                         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), none(len(node))], ["node", "n_links", "label"])
@@ -206,10 +221,12 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
     rows = written(vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")), "vectors")
     good = rows.filter(VALID)
     size = (good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first() or [0])[0]
-    good = good.filter(F.size("embedding") == size)
+    good = good.filter(F.size("embedding") == size).select("rid", "embedding", F.xxhash64("embedding").alias("k"), F.xxhash64(F.lit(1), "embedding").alias("v"))
+    rids = good.select("rid", "k", "v")
+    good = written(good.groupBy("k", "v").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("times"), F.first("embedding").alias("embedding")), "nodes")
     n = good.count()
     plain = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
-    if n < 2:
+    if n < 1:
         return plain
     parts, folder = max(32, partitions(spark)), new_folder(spark, "graph")
     sample = unit(np.array([r.embedding for r in good.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("embedding").collect()]))
@@ -223,9 +240,9 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
             sims = x @ c.T
             own = np.argpartition(-sims, min(1, k - 1), axis=1)[:, :2]
             own = np.take_along_axis(own, np.argsort(-np.take_along_axis(sims, own, 1), axis=1), 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(own[:, 0].astype(np.int32)), pa.array(own[:, -1].astype(np.int32))], ["rid", "x", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(own[:, 0].astype(np.int32)), pa.array(own[:, -1].astype(np.int32)), *b.columns[2:]], ["rid", "x", "c1", "c2", "times", "k", "v"])
 
-    put = written(good.select("rid", "embedding").mapInArrow(assign, "rid long, x array<double>, c1 int, c2 int"), "assigned")
+    put = written(good.select("rid", "embedding", "times", "k", "v").mapInArrow(assign, "rid long, x array<double>, c1 int, c2 int, times long, k long, v long"), "assigned")
     sizes = {r.c1: r["count"] for r in put.groupBy("c1").count().collect()}
     splits = [-(-sizes.get(c, 0) // SHARD) or 1 for c in range(k)]
     first = np.concatenate([[0], np.cumsum(splits)])[:-1].tolist()
@@ -237,7 +254,7 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
     from pyspark.sql import Window as W
 
     put = put.withColumn("node", F.shiftleft(F.col("shard").cast("long"), 32) + F.row_number().over(W.partitionBy("shard").orderBy("rid")) - 1)
-    put = written(put.select("rid", "node", "x", "shard", "second", "also"), "placed")
+    put = written(put.select("rid", "node", "x", "c1", "c2", "times", "k", "v", "shard", "second", "also"), "placed")
     member = put.select("node", "x", F.explode(F.array_distinct(F.array_compact(F.array("shard", "second", "also")))).alias("shard"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,27 +274,34 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
         pdf = pdf.sort_values("node")
         x = np.array(pdf["x"].tolist())
         put_array(folder, "vector", int(key[0]), x.ravel())
+        put_array(folder, "times", int(key[0]), pdf["times"].to_numpy().astype(np.int64))
         medoid = int((x @ x.mean(0)).argmax())
         return pd.DataFrame({"shard": [int(key[0])], "node": [pdf["node"].iloc[medoid]], "x": [x[medoid].tolist()], "size": [len(x)], "least": [(x @ x[medoid]).min()]})
 
     medoids = put.groupBy("shard").applyInPandas(put_vectors, "shard int, node long, x array<double>, size int, least double").collect()
     sizes_of = {r.shard: r["size"] for r in medoids}
     edges.select(F.shiftright("a", 32).cast("int").alias("shard"), F.col("a").bitwiseAND(0xFFFFFFFF).alias("place"), "b").groupBy("shard").applyInPandas(put_edges, "n long").agg(F.sum("n")).collect()
-    start = spark.sparkContext.broadcast((np.array([r.node for r in medoids]), np.array([r.x for r in medoids])))
+    by_shard = sorted(medoids, key=lambda r: r.shard)
+    edge = np.searchsorted([r.shard for r in by_shard], [*first, sum(splits)])
+    start = spark.sparkContext.broadcast((np.array([r.node for r in by_shard]), np.array([r.x for r in by_shard]), edge))
 
     def look(beam: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            graph, (nodes, medoid) = None, start.value
+            graph, times, (nodes, medoid, edge) = None, Counts(folder), start.value
             for b in batches:
                 graph = graph or Graph(folder, size)
-                every_node, every = b.column(0).to_numpy(), np.array(b.column(1).to_pylist())
+                every_node, every, own = b.column(0).to_numpy(), np.array(b.column(1).to_pylist()), np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], 1)
                 for i in range(0, len(every), 256):
                     node, x = every_node[i : i + 256], every[i : i + 256]
-                    near = np.argsort(-(x @ medoid.T), axis=1)[:, :STARTS]
-                    of, to = graph.search(x, np.concatenate([nodes[near], node[:, None]], axis=1), beam, limit)
+                    starts = np.repeat(node[:, None], STARTS + 1, axis=1)
+                    for j, two in enumerate(own[i : i + 256]):
+                        close = np.concatenate([np.arange(edge[c], edge[c + 1]) for c in set(two.tolist())])
+                        close = close[np.argsort(-(medoid[close] @ x[j]), kind="stable")[:STARTS]]
+                        starts[j, : len(close)] = nodes[close]
+                    of, to = graph.search(x, starts, beam, limit)
                     other = to != node[of]
                     of, to = of[other], to[other]
-                    count = np.bincount(of, minlength=len(node))
+                    count = np.bincount(of, times(to), len(node))
                     mine, label = _local_labels(node[of], to) if len(of) else (of, to)
                     none = lambda k: pa.nulls(k, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(count.astype(np.int64)), none(len(node))], ["node", "n_links", "label"])
@@ -285,16 +309,16 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
 
         return run
 
-    audit = put.orderBy(F.xxhash64("rid", F.lit(1)), "rid").limit(AUDIT).select("node", "x").collect()
+    audit = put.orderBy(F.xxhash64("rid", F.lit(1)), "rid").limit(AUDIT).select("node", "x", "times").collect()
     asked = spark.sparkContext.broadcast(np.array([r.x for r in audit]))
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(asked.value), np.int64)
         for b in batches:
-            total += (asked.value @ np.array(b.column(0).to_pylist()).T >= limit).sum(1)
+            total += (asked.value @ np.array(b.column(0).to_pylist()).T >= limit) @ b.column(1).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "n"])
 
-    want = {r.i: r.n - 1 for r in put.select("x").mapInArrow(truth, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    want = {r.i: r.n - audit[r.i].times for r in put.select("x", "times").mapInArrow(truth, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
     ids = spark.createDataFrame([(r.node, i) for i, r in enumerate(audit)], "node long, i long")
 
     def recall_of(found: DataFrame) -> float:
@@ -306,7 +330,7 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
 
     beam = BEAM
     while True:
-        found = written(put.select("node", "x").repartition(parts, "node").mapInArrow(look(beam), "node long, n_links long, label long"), "found")
+        found = written(put.select("node", "x", "c1", "c2").repartition(parts, "node").mapInArrow(look(beam), "node long, n_links long, label long"), "found")
         recall = recall_of(found)
         if recall >= RECALL or beam >= 8 * BEAM:
             break
@@ -315,8 +339,8 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
         found = _compared(put, folder, size, np.array([r.x for r in medoids]), np.array([r.shard for r in medoids]), np.array([r.least for r in medoids]), limit, parts)
         recall = recall_of(found)
     group = components(found.filter("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b")).distinct())
-    per = put.select("rid", "node").join(found.filter("n_links is not null").select("node", "n_links"), "node").join(group, "node", "left")
-    per = per.select("rid", "n_links", F.coalesce("label", "node").alias("label"))
+    per = put.select("k", "v", "times", "node").join(found.filter("n_links is not null").select("node", "n_links"), "node").join(group, "node", "left")
+    per = rids.join(per.select("k", "v", (F.col("n_links") + F.col("times") - 1).alias("n_links"), F.coalesce("label", "node").alias("label")), ["k", "v"]).drop("k", "v")
     out = rows.select("rid", "vec_id").join(per, "rid", "left")
     least = out.filter("label is not null").groupBy("label").agg(F.min("vec_id").alias("component_id"))
     out = out.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))

@@ -110,6 +110,20 @@ def test_vectors_that_the_search_misses_are_compared(spark, monkeypatch):
     assert all(got[i].component_id == got[int(np.flatnonzero(near[i])[0])].component_id for i in range(len(x)) if near[i].any())
 
 
+def test_vectors_with_many_centres_splits_and_equal_ones(spark, monkeypatch):
+    for name, value in (("SHARD", 60), ("MAX_CENTRES", 6), ("SAMPLE", 400)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1200, 24))
+    x = np.concatenate([base, base[:400] + rng.normal(size=(400, 24)) * 0.1, np.repeat(base[:1], 300, 0), np.repeat(base[1:2] * 3, 5, 0), np.repeat(base[:1], 60, 0) + rng.normal(size=(60, 24)) * 0.1])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r for r in neighbours.links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.98 * near.sum() and got[0].recall >= neighbours.RECALL
+    assert all(found[i] == near[i].sum() for i in range(1600, 1900)) and len({got[i].component_id for i in [0, *range(1600, 1900)]}) == 1
+
+
 def test_pruned_graph_keeps_a_way():
     x = neighbours.unit(np.random.default_rng(0).normal(size=(120, 8)))
     a, b = neighbours.robust_prune(x)
