@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, get_arrays, new_folder, put_array, text_of
+from .common import Arrays, by_place, new_folder, put_array, text_of
 from .grams import grams, mix, sliced, words
 
 SIMILARITY = 0.8
@@ -56,9 +56,9 @@ def embed(symbols: np.ndarray, begin: np.ndarray, m: np.ndarray, limit: np.ndarr
 
 
 def sample_places(m: int, walk: int) -> np.ndarray:
-    """SAMPLES x PLACES places of the 3 m, the same for windows and items of one size."""
+    """SAMPLES times PLACES places of the 3 m, the same for windows and items of one size."""
     k = np.arange(SAMPLES * PLACES, dtype=np.uint64) + np.uint64((walk << 40) + (m << 16))
-    return (mix(k) % np.uint64(max(1, 2 * m))).astype(np.int64).reshape(SAMPLES, PLACES)
+    return (mix(k) % np.uint64(max(1, 2 * m))).astype(np.int64)
 
 
 def edit_distances(items: list[np.ndarray], stretches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,11 @@ class Items:
                 seen[(g >> np.uint64(64 - _BITS)).astype(np.int64)] = True
                 self.runs[r] = (g[order], item[order], pos[order], seen)
         self.bag, self.bag_n = np.unique(self.bag_keys(symbols, of), return_counts=True)
-        self.walked = [embed(symbols, ends - self.m, self.m, ends, w) for w in range(WALKS)]
+        self.walked = np.zeros((WALKS, len(ids), SAMPLES * PLACES), np.uint64)
+        for size in np.unique(self.m):
+            own = np.flatnonzero(self.m == size)
+            for w in range(WALKS):
+                self.walked[w, own] = embed(symbols, ends[own] - size, self.m[own], ends[own], w)[:, sample_places(int(size), w)]
 
     def hits(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, first word) of windows laid at a run shared with an item, each once."""
@@ -150,12 +154,11 @@ class Items:
             todo = np.flatnonzero(~ok)
             if not len(todo):
                 break
-            mine, theirs = embed(h, start[todo], m[todo], hi[todo], w), self.walked[w][item[todo]]
             for size in np.unique(m[todo]):
-                rows = np.flatnonzero(m[todo] == size)
-                at = sample_places(int(size), w)
-                same = mine[rows][:, at] == theirs[rows][:, at]
-                ok[todo[rows[same.all(2).any(1)]]] = True
+                rows = todo[m[todo] == size]
+                mine = embed(h, start[rows], m[rows], hi[rows], w)[:, sample_places(int(size), w)]
+                same = (mine == self.walked[w, item[rows]]).reshape(-1, SAMPLES, PLACES)
+                ok[rows[same.all(2).any(1)]] = True
         rest = np.flatnonzero(~ok)
         ok[rest] = self.in_common(h, item[rest], begin[rest], lo[rest], hi[rest])
         return ok
@@ -214,8 +217,8 @@ def _put(folder: str):
 
 
 def _opened(folder: str, similarity: float) -> list[Items]:
-    held = {k: get_arrays(folder, k) for k in ("id", "end", "word")}
-    return [Items(*(np.asarray(held[k][p]) for k in ("id", "end", "word")), similarity) for p in sorted(held["id"])]
+    held = {k: Arrays(folder, k) for k in ("id", "end", "word")}
+    return [Items(*(np.asarray(held[k][p]) for k in ("id", "end", "word")), similarity) for p in held["id"]]
 
 
 def _scan(folder: str, similarity: float):

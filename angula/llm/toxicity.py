@@ -28,9 +28,11 @@ STEMS = range(3, 8)
 FUZZY_LEAST = 5
 WINDOW = 5
 THRESHOLD = 0.3
+#: Documents that a context word is taken to stand in beside those that it does, of either kind.
+PRIOR = 4
 #: Log odds that a term needs.
 ODDS = 2.0
-_TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
+_TOKEN = re.compile(r"[^\W_]+|[\"“”„«»]")
 _QUOTES = frozenset("\"“”„«»")
 
 
@@ -230,11 +232,15 @@ def _mapped(model, what):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """A model from the labelled rows that are not held out: max_rows of them at most, by hash of doc_id."""
+    """A model from the labelled rows that are not held out: max_rows of them at most, by hash of doc_id.
+
+    Of repeated ids the greatest label and text count. Without both labels the model gives every text the same low score.
+    """
     spark = docs.sparkSession
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id"))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic")  # a repeated id counts once
     n = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
     counts = rows.mapInArrow(_term_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
@@ -256,8 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     near = rows.mapInArrow(_mapped(shared, context), "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     total = {r.word: r for r in near.filter("word = '*hit*'").collect()}
     hit_a, hit_b = (total["*hit*"].a, total["*hit*"].b) if total else (0, 0)
-    if min(hit_a, hit_b) >= 20:
-        odds = F.log((F.col("a") + 1) / (hit_a + 2)) - F.log((F.col("b") + 1) / (hit_b + 2))
+    if hit_a and hit_b:  # else there is nothing to tell apart
+        odds = F.log((F.col("a") + PRIOR) / (hit_a + 2 * PRIOR)) - F.log((F.col("b") + PRIOR) / (hit_b + 2 * PRIOR))
         model.context = {r.word: max(-2.0, min(2.0, r.odds)) for r in near.filter("a + b >= 10 and word <> '*hit*'").select("word", odds.alias("odds")).orderBy(F.abs("odds").desc(), "word").limit(MAX_CONTEXT).collect()}
 
     def features(m: Model, b: pa.RecordBatch) -> pa.RecordBatch:
