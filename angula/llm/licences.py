@@ -28,6 +28,22 @@ SENTENCES = {
     "gpl-3-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-2-line": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-3-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-line": "Distributed under the Boost Software License, Version 1.0.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "bsd-2-line": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-line": "Licensed under the BSD 3-Clause License.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
     "gpl-no-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "mpl-2-line": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -53,6 +69,23 @@ RULES = [
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-no-endorsement"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-no-warranty"]),
+    ("GPL-2.0-or-later", ["gpl-2-free", "gpl-no-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-no-warranty"]),
+    ("ISC", ["isc-grant", "isc-as-is"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-2.0-or-later", ["gpl-2-free"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-free"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]),
+    ("Unlicense", ["unlicense-free"]),
+    ("BSL-1.0", ["boost-line"]),
+    ("LGPL-3.0-only", ["lgpl-3-line"]),
+    ("AGPL-3.0-only", ["agpl-3-line"]),
+    ("BSD-2-Clause", ["bsd-2-line"]),
+    ("BSD-3-Clause", ["bsd-3-line"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-4.0-line"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4.0-line"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4.0-line"]),
     ("Apache-2.0", ["apache-2.0-line"]),
     ("Apache-2.0", ["apache-2.0-header"]),
     ("MIT", ["mit-line"]),
@@ -66,6 +99,10 @@ RULES = [
     ("CC0-1.0", ["cc0-line"]),
     ("LicenseRef-proprietary", ["all-rights-reserved"]),
 ]
+#: Tags name their licence: one sentence and one rule for each.
+TAGGED = sorted({name for name, _ in RULES if not name.startswith("LicenseRef")} | {"LGPL-2.1-only", "LGPL-3.0-or-later", "EPL-2.0", "MIT-0", "0BSD"})
+SENTENCES |= {f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in TAGGED}
+RULES += [(name, [f"spdx-{name.lower()}"]) for name in TAGGED]
 GAP = 3
 #: A piece ends at a line end or after one of these and a space, but not after "v.".
 ENDS = r"\r\n|[\n\r]|(?<=[.!?;])(?<!\b[vV]\.)[ \t]+"
@@ -75,8 +112,8 @@ LEADER = r"^[ \t]*(?:(?://+|/?\*+/?|#+|--+|;+|%+|>+|<!--+|[\"']{3}|dnl\b|rem\b)[
 STOP, WRAPPED = r"[.!?;:][\"')\]]*$", 30
 #: Pieces that a known sentence is wrapped in at most.
 WIDTH = 24
-#: Lower-case words of which every known sentence has one; a document without any has no known sentence.
-CUES = r"(?i)licen[cs]e|permi|copyright|redistribut|warrant|rights reserved"
+#: Words of which every known sentence has one; a document without any has no known sentence.
+CUES = r"(?i)licen[cs]e|permi|copyright|redistribut|warrant|reserved|unencumbered"
 
 
 def normalised(sentence: Column) -> Column:

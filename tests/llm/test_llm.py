@@ -150,6 +150,10 @@ def test_licences_of_whole_wrapped_texts(spark):
         "MIT": mit, "BSD-2-Clause": bsd, "BSD-3-Clause": [*bsd, "", "3. " + known["bsd-no-endorsement"]],
         "GPL-3.0-or-later": [known["gpl-free"], "", known["gpl-no-warranty"] + "; without even the implied warranty of MERCHANTABILITY."],
         "MPL-2.0": [known["mpl-2-line"] + " If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+        "GPL-2.0-or-later": [known["gpl-2-free"], "", known["gpl-no-warranty"] + "; without even the implied warranty of MERCHANTABILITY."],
+        "AGPL-3.0-or-later": [known["agpl-free"], "", known["gpl-no-warranty"] + "; without even the implied warranty."], "LGPL-2.1-or-later": ["", known["lgpl-2.1-free"]],
+        "ISC": [known["isc-grant"], "", known["isc-as-is"] + " IN NO EVENT SHALL THE AUTHOR BE LIABLE."], "Zlib": [known["zlib-as-is"] + " In no event will the authors be held liable.", "", known["zlib-grant"], "1. The origin"],
+        "Unlicense": [known["unlicense-free"], "", "Anyone is free to copy."],
     }
     rows, want = [], {}
     for name, text in texts.items():
@@ -159,6 +163,8 @@ def test_licences_of_whole_wrapped_texts(spark):
                 rows.append((len(rows), "\n".join(leader + line for x in text for line in (textwrap.wrap(x, width, break_on_hyphens=False) or [""])), "s"))
     got = {r.doc_id: r for r in licences.scan(docs_of(spark, rows)).collect()}
     assert [(want[i], rows[i][1]) for i in want if want[i] not in got[i].licences.split(",")] == []
+    tags = {r.doc_id: r.licences for r in licences.scan(docs_of(spark, [(n, f"# SPDX-License-Identifier: {x}\ncode", "s") for n, x in enumerate(licences.TAGGED)])).collect()}
+    assert [tags[n] for n in range(len(tags))] == licences.TAGGED
     assert {got[i].sentence_ids for i in want if want[i] == "Apache-2.0"} == {"apache-2.0-header,apache-compliance,apache-copy,apache-as-is"}
 
 
