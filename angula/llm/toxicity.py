@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_place, text_of
+from .common import by_place, remove, text_of, written
 
 #: Labelled rows that the model is fitted on at most, taken by hash of doc_id.
 MAX_ROWS = 20_000
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id"))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic")  # a repeated id counts once
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"), "labelled")  # a repeated id counts once
     n = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
     counts = rows.mapInArrow(_term_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
@@ -270,6 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         return pa.RecordBatch.from_arrays([b.column(1), pa.array([m.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], ["toxic", "x"])
 
     table = rows.mapInArrow(_mapped(spark.sparkContext.broadcast(model), features), "toxic int, x array<double>").collect()
+    remove(spark, rows)
     if toxic and other:
         model.weights = logistic(np.array([r.x for r in table]), np.array([r.toxic for r in table], float))
     return model
