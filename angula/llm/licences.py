@@ -128,32 +128,35 @@ def sentence_table(spark: SparkSession, sentences: dict[str, str] = SENTENCES, w
 
 
 def sentences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id and the known sentences of each row of docs in order: ids array<struct<nth, sentence_id>>, null if none.
+    """doc_id, copies and the known sentences of each different row of docs in order: ids array<struct<nth, sentence_id>>.
+
+    Rows are known by id and text (two 64-bit hashes); copies counts the rows that are equal in both.
 
     nth counts sentences; a known sentence is one, in however many pieces. Where known sentences overlap, the first and
     longest counts.
     """
     table = [r.sentence for r in known.collect()]
     heads, longest = sorted({x.split(" ")[0] for x in table}), max(map(len, table))
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    row = ["doc_id", "k", "v"]
     cut = F.when(F.col("text").rlike(CUES), F.transform(F.split(F.col("text"), ENDS, -1), lambda x: F.regexp_replace(x, LEADER, "")))
-    d = d.select("rid", "doc_id", cut.alias("pieces"))
+    d = d.select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(1), "text").alias("v"), cut.alias("pieces"))
     ends = F.transform("pieces", lambda x, i: (x != "") & (x.rlike(STOP) | (F.length(x) < WRAPPED) | (F.coalesce(F.get("pieces", i + 1), F.lit("")) == "")))
     starts = F.filter(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: F.get("pieces", i).rlike(rf"(?i)^[^a-z0-9]*({'|'.join(heads)})(?![a-z0-9])") & F.array_join(F.slice("pieces", i + 1, WIDTH), " ").rlike(CUES))
-    d = d.select("rid", "doc_id", "pieces", ends.alias("ends"), F.when(F.col("pieces").isNotNull(), starts).alias("starts"))
+    d = d.select(*row, "pieces", ends.alias("ends"), F.when(F.col("pieces").isNotNull(), starts).alias("starts"))
     count = lambda at, n: F.size(F.filter(F.slice("ends", at, n), lambda x: x))
     begun = F.transform("starts", lambda i: F.struct(i.alias("at"), count(F.lit(1), i).alias("nth"), F.transform(F.slice("pieces", i + 1, WIDTH), normalised).alias("pieces")))
-    d = d.select("rid", "doc_id", "ends", begun.alias("begun"))
+    d = d.select(*row, "ends", begun.alias("begun"))
     each = lambda b: F.transform(F.sequence(F.lit(1), F.size(b["pieces"])), lambda n: F.struct(b["at"].alias("at"), n.alias("n"), b["nth"].alias("nth"), count(b["at"] + 1, n - 1).alias("inner"), F.array_join(F.slice(b["pieces"], 1, n), " ").alias("sentence")))
     made = F.filter(F.flatten(F.transform("begun", each)), lambda x: F.length(x["sentence"]) <= longest)
-    rows = d.select("rid", "doc_id", F.posexplode_outer(made).alias("pos", "c")).select("rid", "doc_id", "pos", "c.*")
+    rows = d.select(*row, F.posexplode_outer(made).alias("pos", "c")).select(*row, "pos", "c.*")
     hit = rows.join(F.broadcast(known), "sentence", "left").filter("sentence_id is not null or pos is null or pos = 0")
-    hit = hit.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(F.col("sentence_id").isNotNull(), F.struct("at", "n", "nth", "inner", "sentence_id")))).alias("ids"))
+    hit = hit.groupBy(*row).agg(F.count_if(F.coalesce(F.col("pos") == 0, F.lit(True))).alias("copies"), F.array_sort(F.collect_set(F.when(F.col("sentence_id").isNotNull(), F.struct("at", "n", "nth", "inner", "sentence_id")))).alias("ids"))
     hit = hit.withColumn("long", F.filter("ids", lambda y: y["n"] > 1))
     over = lambda x: F.exists("long", lambda y: ((y["at"] < x["at"]) & (x["at"] < y["at"] + y["n"])) | ((y["at"] == x["at"]) & (y["n"] > x["n"])))
     hit = hit.withColumn("ids", F.filter("ids", lambda x: ~over(x))).withColumn("long", F.filter("ids", lambda y: y["inner"] > 0))
     parted = lambda x: F.aggregate("long", F.lit(0), lambda sum_, y: sum_ + F.when(y["at"] < x["at"], y["inner"]).otherwise(0))
-    return hit.select("rid", "doc_id", F.transform("ids", lambda x: F.struct((x["nth"] - parted(x)).alias("nth"), x["sentence_id"].alias("sentence_id"))).alias("ids"))
+    return hit.select("doc_id", "copies", F.transform("ids", lambda x: F.struct((x["nth"] - parted(x)).alias("nth"), x["sentence_id"].alias("sentence_id"))).alias("ids"))
 
 
 def rule_hit(ids: Column, rule: list[str], gap: int = GAP) -> Column:
@@ -183,6 +186,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     stays null, equal rows give equal rows, an empty table gives none, other columns are not looked at.
     """
     found = sentences(docs, sentence_table(docs.sparkSession), id_col, text_col)
+    found = found.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     rules = [F.when(rule_hit(F.col("ids"), rule).isNotNull(), F.lit(name)) for name, rule in RULES]
     licences = F.when(F.size("ids") > 0, F.array_distinct(F.array_compact(F.array(*rules)))).otherwise(F.array().cast("array<string>"))
     return found.select(
