@@ -35,6 +35,8 @@ class Pieces:
         norm = proto.normalizer_spec
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not (norm.add_dummy_prefix and norm.escape_whitespaces):
             raise ValueError("chunks are only spliced for models that keep the text as it is, with one space put before")
+        if not proto.trainer_spec.byte_fallback:  # unknown characters in a row would be one token across a splice
+            raise ValueError("chunks are only spliced for models with byte fallback")
         words = [p.piece.replace("▁", " ") for p in proto.pieces if p.type in (1, 4)]
         self.pairs = {w[i : i + 2] for w in words for i in range(len(w) - 1)}
         paired = {c for w in self.pairs for c in w}
@@ -99,10 +101,9 @@ def splice_count(p: Pieces, k: int, text: str, left: int, last: bool, chunk: int
 def _split(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid, text = b.column(0).to_pylist(), b.column(1)
-            for r, t in zip(rid, text):
+            for h, g, t in zip(*b.columns):
                 for k, part, left, last in chunk_rows(t.as_py(), chunk, overlap):
-                    yield pa.RecordBatch.from_pydict({"rid": pa.array([r], pa.int64()), "k": pa.array([k], pa.int32()), "part": [part], "left": pa.array([left], pa.int32()), "last": [last]})
+                    yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([g]), pa.array([k], pa.int32()), pa.array([part]), pa.array([left], pa.int32()), pa.array([last])], ["h", "g", "k", "part", "left", "last"])
 
     return run
 
@@ -112,7 +113,7 @@ def _count_chunks(model: str, chunk: int, overlap: int):
         for b in batches:
             p = pieces(model)
             n = [splice_count(p, k, t, left, last, chunk, overlap) for k, t, left, last in zip(*(b.column(c).to_pylist() for c in ("k", "part", "left", "last")))]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(n, pa.int64())], ["rid", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("g"), pa.array(n, pa.int64())], ["h", "g", "n"])
 
     return run
 
@@ -128,7 +129,7 @@ def _count_whole(model: str, most: int):
                 texts = column[i : i + 64].to_pylist()
                 done = iter(p.count([t for t in texts if len(t) <= most]))
                 counts += [next(done) if len(t) <= most else None for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.compute.binary_length(column).cast(pa.int64()), pa.array(counts, pa.int64()), b.column(2)], ["doc_id", "n_bytes", "n_tokens", "rid"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.compute.binary_length(column).cast(pa.int64()), pa.array(counts, pa.int64()), *b.columns[2:]], ["doc_id", "n_bytes", "n_tokens", "h", "g"])
 
     return run
 
@@ -137,22 +138,22 @@ def count(docs: DataFrame, model: str, limit: int = 4096, chunk: int = CHUNK, ov
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs, as the library counts the whole text.
 
     A null text is empty, a null id stays null, equal rows give equal rows, an empty table gives none, and other columns
-    are not looked at. model is a path that every worker can read.
+    are not looked at. model is a path that every worker can read. Long texts are known by two 64-bit hashes, each worked on once.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    whole = d.mapInArrow(_count_whole(model, chunk), "doc_id long, n_bytes long, n_tokens long, rid long")
-    todo = d.filter(F.length("text") > chunk).select("rid", "text")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).select("*", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    whole = d.mapInArrow(_count_whole(model, chunk), "doc_id long, n_bytes long, n_tokens long, h long, g long")
+    todo = d.filter(F.length("text") > chunk).select("h", "g", "text").dropDuplicates(["h", "g"])
     counted = None
     while True:
-        parts = todo.mapInArrow(_split(chunk, overlap), "rid long, k int, part string, left int, last boolean").repartition("rid", "k")
-        each = parts.mapInArrow(_count_chunks(model, chunk, overlap), "rid long, n long")
-        each = each.groupBy("rid").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("failed"))
+        parts = todo.mapInArrow(_split(chunk, overlap), "h long, g long, k int, part string, left int, last boolean").repartition("h", "g", "k")
+        each = parts.mapInArrow(_count_chunks(model, chunk, overlap), "h long, g long, n long")
+        each = each.groupBy("h", "g").agg(F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("failed"))
         each = written(each, "tokens")
-        good = each.filter("not failed").select("rid", "n")
+        good = each.filter("not failed").select("h", "g", "n")
         counted = good if counted is None else counted.unionByName(good)
         if each.filter("failed").isEmpty():
             break
-        todo = todo.join(each.filter("failed").select("rid"), "rid", "left_semi")
+        todo = todo.join(each.filter("failed").select("h", "g"), ["h", "g"], "left_semi")
         chunk, overlap = chunk * 4, overlap * 8
-    out = whole.join(counted, "rid", "left").withColumn("n_tokens", F.coalesce("n_tokens", "n"))
+    out = whole.join(counted, ["h", "g"], "left").withColumn("n_tokens", F.coalesce("n_tokens", "n"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
