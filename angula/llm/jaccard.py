@@ -339,3 +339,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alone = judged.filter(F.col(verdict).isNull() | (chosen & (F.col(verdict)["n"] == 1)))
     tied = judged.filter(chosen & (F.col(verdict)["n"] > 1)).dropDuplicates([k, v])
     return alone.unionByName(tied).drop(k, v, verdict)
+
+
+def oracle(from_table: str = "documents") -> str:
+    """DuckDB SQL for join() on a table without null or repeated ids."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {from_table}
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) END) AS shingle
+    FROM texts WHERE len(w) > 0
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT o.a, o.b FROM common o JOIN sizes x ON x.doc_id = o.a JOIN sizes y ON y.doc_id = o.b WHERE 100 * o.n >= 80 * (x.n + y.n - o.n)
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM {from_table} UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM {from_table} d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
+"""

@@ -345,3 +345,21 @@ def links(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vect
     least = out.filter("label is not null").groupBy("label").agg(F.min("vec_id").alias("component_id"))
     out = out.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast(T.LongType()).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
+
+
+def oracle(from_table: str = "embeddings") -> str:
+    """DuckDB SQL for links() by exact cosines of all pairs, so of recall 1, on a table without null or repeated ids."""
+    return f"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM {from_table}
+    WHERE len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), v AS (
+    SELECT * FROM usable WHERE len(e) = (SELECT len(e) FROM usable GROUP BY len(e) ORDER BY count(*) DESC, len(e) LIMIT 1)
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {LIMIT}
+), reached AS (
+    SELECT vec_id, vec_id AS other FROM {from_table} UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = vec_id) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept, CAST(1 AS DOUBLE) AS recall
+FROM reached GROUP BY vec_id
+"""

@@ -68,5 +68,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_jaccard_join": jaccard.oracle(),
     "op7_source_mix": mix.oracle(),
+    "op8_near_vectors": neighbours.oracle(),
 }
