@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, licences, lines, mix, neighbours, ngram_lm, secrets, tokens, toxicity
+from . import decontaminate, jaccard, licences, lines, merkle, mix, neighbours, ngram_lm, secrets, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_lm_scores": op2_lm_scores,
@@ -65,10 +69,12 @@ QUERIES: dict[str, Query] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_leaks": op10_benchmark_leaks,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op6_jaccard_join": jaccard.oracle(),
     "op7_source_mix": mix.oracle(),
     "op8_near_vectors": neighbours.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
 }
