@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, jaccard, licences, lines, merkle, mix, neighbours, ngram_lm, secrets, tokens, toxicity
+from . import conversations, decontaminate, jaccard, licences, lines, merkle, mix, neighbours, ngram_lm, pii, secrets, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
 
 
+def op12_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.checked(table(spark, sf_dir, "conversations"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_leaks": op10_benchmark_leaks,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pii_scan": op12_pii_scan,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
