@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from angula.functions.columns import finite
 
@@ -49,25 +50,33 @@ def load_entries(spark: SparkSession, path: str) -> DataFrame:
     return t.select(*out)
 
 
+def with_row_index(t: DataFrame) -> DataFrame:
+    """t, read from files, with row_index: each row's place from 0 in order of the files' full paths and of the lines in them.
+
+    Rows are counted by file and split, and a split's rows begin where the counts before it end. The sums run over one row for each
+    split of the input, in one task; nothing is packed, so no count can overflow.
+    """
+    mine = t.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = mine.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    up = W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.select("_path", "_block", (F.coalesce(F.sum("_rows").over(up), F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = mine.join(starts, ["_path", "_block"])
+    return out.select(*[F.col(f"`{c}`") for c in t.columns], (F.col("_id") + F.col("_shift")).alias("row_index"))
+
+
 def load_family(spark: SparkSession, path: str, params: list[str], context: str | None = None, secondary: str | None = None) -> DataFrame:
-    """Typed observations with a long row_index: the file's own, else the order of the lines.
+    """Typed observations with a long row_index: the file's own, else the order of the files and lines.
 
-    That order is packed from the file's place among the table's files (15 bits), the block's MB in the file (17 bits) and
-    the line within the task's part (31 bits).
+    A context or parameter that is named but isn't in the file is empty in every row; a site label is there if the file has it.
     """
     t = read_tsv(spark, path)
     has = set(t.columns)
     edge = next((e for e in ("edge_flag", "is_terminal_any") if e in has), None)
-    if "row_index" not in has:
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        files = spark.createDataFrame(list(enumerate(sorted({f.rsplit("/", 1)[-1] for f in t.inputFiles()}))), "file_nth long, file_name string")
-        t = t.select("*", name.alias("file_name"), F.shiftright("_metadata.file_block_start", 20).alias("block_nth"), F.monotonically_increasing_id().bitwiseAND((1 << 31) - 1).alias("line_nth"))
-        t = t.join(F.broadcast(files), "file_name", "left")
+    t = t.withColumn("row_index", F.col("row_index").cast("long")) if "row_index" in has else with_row_index(t)
     out = [parse_int(F.col("pid")).alias("pid"), (parse_int(F.col(edge)) if edge else F.lit(0)).alias("edge_flag")]
-    out += [F.trim(F.col(f"`{n}`")).alias(n) for n in ("site_label", context, secondary) if n and n in has]
-    out += [parse_number(F.col(f"`{p}`")).cast("float").alias(p) for p in params if p in has]
-    packed = F.shiftleft(F.coalesce("file_nth", F.lit(0)).cast("long"), 48) + F.shiftleft(F.col("block_nth").cast("long"), 31) + F.col("line_nth") if "row_index" not in has else F.col("row_index")
-    return t.select(*out, packed.cast("long").alias("row_index"))
+    out += [F.trim(F.coalesce(F.col(f"`{n}`"), F.lit(""))).alias(n) if n in has else F.lit("").alias(n) for n in ("site_label", context, secondary) if n and (n in has or n != "site_label")]
+    out += [(parse_number(F.col(f"`{p}`")) if p in has else F.lit(None)).cast("float").alias(p) for p in params]
+    return t.select(*out, "row_index")
 
 
 class Families:
@@ -94,23 +103,25 @@ def export_name(param: str, stamp: str) -> str:
     return f"{re.sub(r'[^a-z0-9]+', '_', param.lower()).strip('_') or 'export'}_{stamp}"
 
 
-def _counted(df: DataFrame, parts: int) -> tuple[DataFrame, Observation]:
+def counted_write(df: DataFrame, write) -> int:
+    """The rows that write(df) writes, counted as they pass."""
     rows = Observation()
-    return df.repartitionByRange(parts, "pid").sortWithinPartitions("pid", "row_index").observe(rows, F.count(F.lit(1)).alias("row_count")), rows
+    write(df.observe(rows, F.count(F.lit(1)).alias("row_count")))
+    return rows.get["row_count"]
+
+
+def _ranged(df: DataFrame, parts: int) -> DataFrame:
+    return df.repartitionByRange(parts, "pid").sortWithinPartitions("pid", "row_index")
 
 
 def write_family(df: DataFrame, path: str, parts: int) -> int:
     """A family's .tsv.gz files in order of pid; gives the row count for the manifest, counted while writing."""
-    out, rows = _counted(df, parts)
-    out.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
-    return rows.get["row_count"]
+    return counted_write(_ranged(df, parts), lambda d: d.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path))
 
 
 def write_family_parquet(df: DataFrame, path: str, parts: int) -> int:
     """The same as Parquet."""
-    out, rows = _counted(df, parts)
-    out.write.parquet(path)
-    return rows.get["row_count"]
+    return counted_write(_ranged(df, parts), lambda d: d.write.parquet(path))
 
 
 def row_counts(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
