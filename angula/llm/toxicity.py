@@ -234,14 +234,15 @@ def _mapped(model, what):
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """A model from the labelled rows that are not held out: max_rows of them at most, by hash of doc_id.
 
-    Of repeated ids the greatest label and text count. Without both labels the model gives every text the same low score.
+    Of repeated ids the greatest label and text count; labels of ids that docs lacks don't. Without rows of both labels the
+    model gives every text the same low score.
     """
     spark = docs.sparkSession
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id"))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(ids), "doc_id")
     rows = written(rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"), "labelled")  # a repeated id counts once
-    n = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}  # of the rows fitted: labels may have ids that docs lacks
     toxic, other = n.get(1, 0), n.get(0, 0)
     counts = rows.mapInArrow(_term_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     least = max(3, toxic // 100)
