@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from angula.functions.columns import bin_of, circular_bin, finite, wrap
-from angula.operators.filters import observations
-from angula.operators.histogram import counts, dense, effective_range, fallback, padded, percentile, rotate, scaled, seam, smooth, with_row
+from angula.operators.accumulate import accumulate, distinct_entries, finished, frame, series, summaries
+from angula.operators.filters import allowed_entries, observations
+from angula.operators.histogram import counts, effective_range, with_row
 from angula.spec import EntryFilter, FamilySpec, ObsFilter, ParameterSpec, View, selected_forms
 
 
-def forms_table(df: DataFrame, forms: list[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(f,) for f in forms], "form string")
-
-
 def linear_moments(obs: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, mean and population standard deviation."""
     v = finite(F.col(value).cast("double"))
@@ -35,8 +33,8 @@ def circular_moments(obs: DataFrame, value: str, by: list[str], period: float =
 
 
 def entries_with_value(obs: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Entries that give a value: exact, by way of distinct (key, pid)."""
-    return obs.filter(finite(F.col(value)).isNotNull()).select(*by, "pid").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("entries"))
+    """Entries that give a value: exact, by way of a bit for each pid."""
+    return distinct_entries(obs.filter(finite(F.col(value)).isNotNull()), by)
 
 
 def raw_histogram(obs: DataFrame, family: DataFrame, p: ParameterSpec, bins: int, by: list[str], range_obs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -50,87 +48,40 @@ def raw_histogram(obs: DataFrame, family: DataFrame, p: ParameterSpec, bins: int
 
 
 def distribution(entries: DataFrame, family: DataFrame, spec: FamilySpec, p: ParameterSpec, f: EntryFilter, o: ObsFilter, v: View) -> tuple[DataFrame, DataFrame]:
-    """(series: form, bin, x, y; summary: form, n, entries and the statistics of the kind of parameter) for forms with rows."""
-    from angula.operators.filters import allowed_entries
-
-    forms, bins = selected_forms(f.forms), v.bins(p.circular)
-    every = observations(allowed_entries(entries, f), family, spec, o)
-    obs = every.filter(F.col("form").isin(forms))
-    hist, one = raw_histogram(obs, family, p, bins, ["form"], every)
-    full = dense(hist, hist.select("form").distinct(), bins, ["form"])
-    width = (F.col("hi") - F.col("lo")) / bins
-    if p.circular:
-        pooled = dense(hist.groupBy("bin").agg(F.sum("n").alias("n")), hist.sparkSession.range(1), bins, [])
-        cut = seam(pooled, bins, v.mode, p.period)
-        y = smooth(full, ["form"], bins, v.sigma, True)
-        y = with_row(with_row(y, cut), one)
-        y = rotate(y, F.col("shift"), bins)
-        y = scaled(y, ["form"], v.scale, width)
-        centre = wrap((F.col("bin") + 0.5) * width + F.col("cut"), p.period)
-        series = y.select("form", "bin", centre.alias("x"), "y")
-        peak = series.groupBy("form").agg(F.max_by("x", F.struct(F.round("y", 12), -F.col("bin"))).alias("peak"))
-        summary = circular_moments(obs, p.param_id, ["form"], p.period).join(entries_with_value(obs, p.param_id, ["form"]), "form").join(peak, "form")
-        return series, summary.select("form", "n", "entries", "mean", "resultant", "std", "peak")
-    y = scaled(with_row(smooth(full, ["form"], bins, v.sigma, False), one), ["form"], v.scale, width)
-    centre = F.col("lo") + width * (F.col("bin") + 0.5)
-    series = y.select("form", "bin", centre.alias("x"), "y")
-    raw = with_row(full, one)
-    p05, p95 = (percentile(raw, ["form"], q, centre).withColumnRenamed("p", name) for q, name in ((0.05, "p05"), (0.95, "p95")))
-    summary = linear_moments(obs, p.param_id, ["form"]).join(entries_with_value(obs, p.param_id, ["form"]), "form").join(p05, "form", "left").join(p95, "form", "left")
-    return series, summary.select("form", "n", "entries", "mean", "std", "p05", "p95")
-
-
-def long_values(df: DataFrame, spec: FamilySpec, *keep: str) -> DataFrame:
-    """keep, param_id, value: every finite value of every parameter."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(p.param_id).alias("param_id"), finite(F.col(p.param_id).cast("double")).alias("value")) for p in spec.params]))
-    return df.select(*keep, pairs.alias("v")).select(*keep, "v.*").filter("value is not null")
+    """(series: form, bin, x, y; summary: form, n, entries and the statistics of the kind of parameter) for forms with rows.
+
+    The observations are read for the range of a linear parameter, and once more for all the rest.
+    """
+    forms, one_param = selected_forms(f.forms), replace(spec, params=(p,))
+    allowed = allowed_entries(entries, f)
+    state = accumulate(allowed, family, one_param, o, v, forms, frame(allowed, family, one_param, o))
+    done = finished(state, one_param, v, forms)
+    return series(done, one_param).drop("param_id"), summaries(done, one_param, v, p)
 
 
 def family_overview(entries: DataFrame, family: DataFrame, spec: FamilySpec, f: EntryFilter, o: ObsFilter, v: View) -> tuple[DataFrame, DataFrame]:
     """(series: param_id, form, bin, x, y; panels: param_id, lo, hi, shift, cut, kind, rows) of all parameters of a family.
 
-    What distribution() does for one parameter, for all of them together. Every parameter has a panel, with 0 rows and the
-    fallback range if nothing passes the filters. The observations are read for the ranges and for the histograms; all after that is a
-    few rows a series.
+    What distribution() does for one parameter, for all of them together: the observations are read for the ranges and for
+    the histograms. Every parameter has a panel, with 0 rows and the fallback range if nothing passes the filters.
     """
-    from angula.operators.filters import allowed_entries
-
-    every = long_values(observations(allowed_entries(entries, f), family, spec, o), spec, "form")
-    span = lambda df, lo, hi: df.groupBy("param_id").agg(F.min("value").alias(lo), F.max("value").alias(hi))
-    rows = [(p.param_id, p.circular, float(p.period), *(map(float, p.range_default) if p.range_default else (None, None))) for p in spec.params]
-    kinds = family.sparkSession.createDataFrame(rows, "param_id string, circular boolean, period double, d_lo double, d_hi double")
-    one = kinds.join(span(every, "lo", "hi"), "param_id", "left").join(span(long_values(family, spec), "f_lo", "f_hi"), "param_id", "left")
-    lo, hi = padded(F.col("lo"), F.col("hi"), None)
-    f_lo, f_hi = fallback(F.col("f_lo"), F.col("f_hi"), None)
-    inside = (F.col("lo") >= F.col("d_lo")) & (F.col("hi") <= F.col("d_hi"))
-    low = F.when(F.col("circular"), 0.0).when(inside, F.col("d_lo")).otherwise(F.coalesce(F.when(F.col("lo").isNotNull(), F.least("d_lo", lo)), "d_lo", f_lo))
-    high = F.when(F.col("circular"), F.col("period")).when(inside, F.col("d_hi")).otherwise(F.coalesce(F.when(F.col("lo").isNotNull(), F.greatest("d_hi", hi)), "d_hi", f_hi))
-    linear, turn = v.bins(False), v.bins(True)
-    one = one.select("param_id", "circular", "period", low.alias("lo"), high.alias("hi"), F.when(F.col("circular"), turn).otherwise(linear).alias("bins"))
-    seen = every.filter(F.col("form").isin(selected_forms(f.forms))).join(F.broadcast(one), "param_id")
-    angle = F.floor(F.pmod("value", "period") / (F.col("period") / turn))
-    at = F.when(F.col("circular"), F.when(angle >= turn, 0).otherwise(angle)).otherwise(bin_of(F.col("value"), F.col("lo"), F.col("hi"), linear)).cast("int")
-    hist = counts(seen, at, ["param_id", "form"])
-    grid = hist.select("param_id", "form").distinct().join(one, "param_id").select("*", F.explode(F.expr("sequence(0, bins - 1)")).alias("bin"))
-    full = grid.join(hist, ["param_id", "form", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    pooled = full.filter("circular").groupBy("param_id", "period", "bin").agg(F.sum("n").alias("n"))
-    cuts = seam(pooled, turn, v.mode, "period", ("param_id",))
-    key = ["param_id", "form"]
-    straight = smooth(full.filter("not circular"), key, linear, v.sigma, False)
-    round_ = smooth(full.filter("circular"), key, turn, v.sigma, True).join(cuts.select("param_id", "shift"), "param_id")
-    y = straight.union(rotate(round_, F.col("shift"), turn).select(*key, "bin", "y")).join(one, "param_id").join(cuts, "param_id", "left")
-    width = (F.col("hi") - F.col("lo")) / F.col("bins")
-    centre = F.col("lo") + width * (F.col("bin") + 0.5)
-    y = scaled(y, key, v.scale, width).select(*key, "bin", F.when(F.col("circular"), F.pmod(centre + F.col("cut"), "period")).otherwise(centre).alias("x"), "y")
-    total = hist.groupBy("param_id").agg(F.sum("n").alias("rows"))
-    panels = one.join(cuts, "param_id", "left").join(total, "param_id", "left")
-    return y, panels.select("param_id", "lo", "hi", F.coalesce("shift", F.lit(0)).alias("shift"), F.coalesce("cut", F.lit(0.0)).alias("cut"), F.coalesce("kind", F.lit("linear")).alias("kind"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    forms, allowed = selected_forms(f.forms), allowed_entries(entries, f)
+    one = frame(allowed, family, spec, o)
+    done = finished(accumulate(allowed, family, spec, o, v, forms, one), spec, v, forms)
+    ends = one.select(F.explode(F.array(*[F.struct(F.lit(p.param_id).alias("param_id"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), F.lit(cut_of_none(p, v)).alias("none")) for i, p in enumerate(spec.params)])).alias("e")).select("e.*")
+    rows = F.aggregate("forms", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    panels = ends.join(F.broadcast(done.select("param_id", "width", "turn", rows.alias("rows"))), "param_id", "left")  # a row for each parameter
+    shift, kind = F.coalesce("turn.shift", F.lit(0)), F.coalesce("turn.kind", "none")
+    return series(done, spec), panels.select("param_id", "lo", "hi", shift.alias("shift"), F.coalesce(F.col("turn.shift") * F.col("width"), F.lit(0.0)).alias("cut"), kind.alias("kind"), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def cut_of_none(p: ParameterSpec, v: View) -> str:
+    """The kind of cut of a parameter without values."""
+    return "linear" if not p.circular else {"wrap_360": "wrap", "signed_180": "signed"}.get(v.mode, "sparse")
 
 
 def selection_counts(entries: DataFrame, family: DataFrame, spec: FamilySpec, p: ParameterSpec, f: EntryFilter, o: ObsFilter) -> DataFrame:
     """One row: filtered entries, plotted observations, all rows of the family."""
-    from angula.operators.filters import allowed_entries
-
     allowed = allowed_entries(entries, f)
     obs = observations(allowed, family, spec, o).filter(F.col("form").isin(selected_forms(f.forms)))
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))

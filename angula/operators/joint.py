@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from angula.functions.columns import circular_bin, finite, grid_bin, wrap
+from angula.operators.accumulate import entry_bit, entry_word
 from angula.operators.filters import obs_condition
 from angula.operators.histogram import counts, dense, padded, seam, smooth, with_row
 from angula.spec import LEVELS, FamilySpec, ObsFilter, ParameterSpec, View
@@ -169,6 +170,12 @@ def circular_correlation(pairs: DataFrame, px: float = 360.0, py: float = 360.0)
     return one.select("n", F.when((col("n") >= 3) & (low > 1e-12), top / low).alias("r"))
 
 
+def matched_counts(pairs: DataFrame) -> DataFrame:
+    """One row (n, entries): matched rows and the entries that have any, in one pass, by a bit for each pid."""
+    words = pairs.groupBy(entry_word().alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(entry_bit()).alias("bits"))
+    return words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("long").alias("entries"))
+
+
 def joint_distribution(pairs: DataFrame, p1: ParameterSpec, p2: ParameterSpec, v: View) -> tuple[DataFrame, DataFrame]:
     """(grid: bx, by, x, y, z; stats: n, entries, r, r2, circular_r, max_z).
 
@@ -188,7 +195,7 @@ def joint_distribution(pairs: DataFrame, p1: ParameterSpec, p2: ParameterSpec, v
         return wrap(c + F.col(f"{name}cut"), p.period) if p.circular else c
 
     cells = cells.select("bx", "by", centre("x", p1, "bx", wx).alias("x"), centre("y", p2, "by", wy).alias("y"), "z")
-    stats = points.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pid").alias("entries"), pearson("xv", "yv").alias("r")).withColumn("r2", F.col("r") * F.col("r"))
+    stats = points.agg(pearson("xv", "yv").alias("r")).withColumn("r2", F.col("r") * F.col("r")).crossJoin(matched_counts(pairs)).select("n", "entries", "r", "r2")
     turn = circular_correlation(pairs, p1.period, p2.period).select(F.col("r").alias("circular_r")) if p1.circular and p2.circular else pairs.agg(F.max(F.lit(None).cast("double")).alias("circular_r"))
     return cells, stats.crossJoin(turn).crossJoin(cells.agg(F.max(F.when(F.col("z") > 0, F.col("z"))).alias("max_z")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from angula.functions import columns as C
+from angula.operators import accumulate as A
 from angula.operators import distribution as D
 from angula.operators import filters as E
 from angula.operators import histogram as H
@@ -207,6 +208,17 @@ SUM15 = f"SELECT m.*, d.entries, lo + (hi - lo) / 64 * (a.bin + 0.5) AS p05, lo
 query("o4_finite_summary", "form:s n:i entries:i mean:d std:d p05:d p95:d", f"SELECT_STANDARD FROM ({SUM15})", "allowed", extra={"obs": CLEANED, **{k: CTE[k] for k in DENSE[2:]}})(lambda e, r, p: D.distribution(e, dirty(r), RESIDUE, LIN, ENTRY, OBS, View())[1])
 query("a15_linear_summary", "form:s n:i entries:i mean:d std:d p05:d p95:d", f"SELECT_STANDARD FROM ({SUM15})", *DENSE)(lambda e, r, p: D.distribution(e, r, RESIDUE, LIN, ENTRY, OBS, View())[1])
 query("a15_circular_summary", "form:s n:i entries:i mean:d resultant:d std:d peak:d", f"SELECT_STANDARD FROM ({CM}) m JOIN (SELECT form, count(DISTINCT pid) AS entries FROM obs WHERE ang IS NOT NULL GROUP BY form) d USING (form) JOIN ({PEAK}) USING (form)", *CHIST, "csmoothed", extra=seam_ctes("pooled"))(lambda e, r, p: D.distribution(e, r, RESIDUE, ANG, ENTRY, OBS, AUTO)[1])
+def kept_state(e: DataFrame, r: DataFrame) -> DataFrame:
+    """The states of the rows of either secondary context, in the frame of all of them, merged."""
+    a, forms = allowed(e), selected_forms(ENTRY.forms)
+    one = A.frame(a, r, RESIDUE, OBS)
+    parts = [A.accumulate(a, r, RESIDUE, replace(OBS, secondary=(k,)), AUTO, forms, one) for k in ("F", "O")]
+    return A.finished(A.merged(*parts), RESIDUE, AUTO, forms)
+
+
+query("a13_merged_state", "param_id:s form:s bin:i x:d y:d", f"SELECT_STANDARD FROM ({BOTH})", *OVERVIEW, extra=seam_ctes("pooled"))(lambda e, r, p: A.series(kept_state(e, r), RESIDUE))
+query("a15_merged_linear_summary", "form:s n:i entries:i mean:d std:d p05:d p95:d", f"SELECT_STANDARD FROM ({SUM15})", *DENSE)(lambda e, r, p: A.summaries(kept_state(e, r), RESIDUE, AUTO, LIN))
+query("a15_merged_circular_summary", "form:s n:i entries:i mean:d resultant:d std:d peak:d", f"SELECT_STANDARD FROM ({CM}) m JOIN (SELECT form, count(DISTINCT pid) AS entries FROM obs WHERE ang IS NOT NULL GROUP BY form) d USING (form) JOIN ({PEAK}) USING (form)", *CHIST, "csmoothed", extra=seam_ctes("pooled"))(lambda e, r, p: A.summaries(kept_state(e, r), RESIDUE, AUTO, ANG))
 query("a16_selection_counts", "entries:i plotted:i family_rows:i", "SELECT_STANDARD FROM (SELECT (SELECT count(*) FROM allowed) AS entries, (SELECT count(lin) FROM obs) AS plotted, (SELECT count(*) FROM v_residue) AS family_rows)", "allowed", "obs")(lambda e, r, p: D.selection_counts(e, r, RESIDUE, LIN, ENTRY, OBS))
 query("a17_universe_counts", "kind:s id:s n:i", "SELECT_STANDARD FROM (SELECT 'all' AS kind, 'entries' AS id, count(*) AS n FROM v_entries UNION ALL SELECT 'form', form, count(*) FROM v_entries GROUP BY form UNION ALL SELECT 'method', method, count(*) FROM v_entries GROUP BY method UNION ALL SELECT 'cleanliness', 'conservative', count(*) FROM v_entries WHERE passes_conservative UNION ALL SELECT 'cleanliness', 'relaxed', count(*) FROM v_entries WHERE passes_relaxed UNION ALL SELECT 'cleanliness', 'mw100', count(*) FROM v_entries WHERE passes_mw100 UNION ALL SELECT 'family', 'residue', count(*) FROM v_residue UNION ALL SELECT 'family', 'pair', count(*) FROM v_pair)")(lambda e, r, p: R.universe_counts(e, {"residue": r, "pair": p}))
 query("a18_rows_per_entry", "pid:i residue_rows:i pair_rows:i", "SELECT_STANDARD FROM (SELECT e.pid, coalesce(a.n, 0) AS residue_rows, coalesce(b.n, 0) AS pair_rows FROM v_entries e LEFT JOIN (SELECT pid, count(*) AS n FROM v_residue GROUP BY pid) a USING (pid) LEFT JOIN (SELECT pid, count(*) AS n FROM v_pair GROUP BY pid) b USING (pid))")(lambda e, r, p: R.rows_per_entry(e, {"residue": r, "pair": p}))
@@ -271,7 +283,7 @@ CC = "SELECT count(*) AS n, sum(sin(a - ma) * sin(b - mb)) / sqrt(sum(sin(a - ma
 CJ = "SELECT o.ang AS x, CAST(o.l_partkey * 37 % 360 AS DOUBLE) AS y, o.pid FROM obs o WHERE o.ang IS NOT NULL"
 ang_pairs = lambda e, r: obs_of(e, r).filter("ang is not null").select("pid", F.col("ang").alias("x"), (F.col("l_partkey") * 37 % 360).cast("double").alias("y"))
 query("p10_circular_correlation", "n:i r:d", f"SELECT_STANDARD FROM ({CC})", "allowed", "obs", extra={"cj": CJ})(lambda e, r, p: J.circular_correlation(ang_pairs(e, r)))
-query("p11_matched_counts", "n:i entries:i", "SELECT_STANDARD FROM (SELECT count(*) AS n, count(DISTINCT pid) AS entries FROM j)", "allowed", extra=PR)(lambda e, r, p: pair_join(e, r, p).agg(F.count("*").alias("n"), F.count_distinct("pid").alias("entries")))
+query("p11_matched_counts", "n:i entries:i", "SELECT_STANDARD FROM (SELECT count(*) AS n, count(DISTINCT pid) AS entries FROM j)", "allowed", extra=PR)(lambda e, r, p: J.matched_counts(pair_join(e, r, p)))
 CONTOURS = {
     **GRID,
     "span": "SELECT max(CASE WHEN y > 0 THEN y END) / sum(y) AS hi FROM s2",
