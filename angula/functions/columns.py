@@ -42,17 +42,27 @@ def cleanliness_label() -> Column:
 def fixed_digits(v: Column, digits: int) -> Column:
     """v with so many decimals (6 at most), rounded from its exact binary value, ties away from zero; null for null and not finite.
 
-    The part behind the point is taken in units of 2**-80, in which a tie can be told exactly.
+    Where the value is well away from a tie, formatting rounds it alike; elsewhere the part behind the point is taken in units
+    of 2**-80, in which a tie can be told exactly. Whole numbers have all their digits up to 1e21, an exponent from there on.
     """
     x = finite(v.cast("double"))
-    whole = F.floor(F.abs(x))
-    part = (F.abs(x) - whole) * 2.0**40
+    size = F.abs(x)
+    scaled = size * 10.0**digits
+    plain = (scaled < 1e10) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-4)
+    whole = F.floor(F.least(size, F.lit(2.0**62)))
+    part = (F.least(size, F.lit(2.0**62)) - whole) * 2.0**40
     units = F.floor(part).cast("decimal(20,0)") * F.lit(2**40).cast("decimal(13,0)") + ((part - F.floor(part)) * 2.0**40).cast("long").cast("decimal(20,0)")
     twice = units * F.lit(2 * 10**digits).cast("decimal(8,0)") + F.expr(f"CAST({2**80} AS DECIMAL(25,0))")
     n = F.call_function("div", twice, F.expr(f"CAST({2**81} AS DECIMAL(25,0))"))
     up = n >= 10**digits
-    text = F.concat(F.when(x < 0, "-").otherwise(""), (whole.cast("long") + up.cast("long")).cast("string"))
-    return F.concat(text, F.lit("."), F.lpad((n - F.when(up, 10**digits).otherwise(0)).cast("string"), digits, "0")) if digits else text
+    exact = (whole.cast("long") + up.cast("long")).cast("string")
+    exact = F.concat(exact, F.lit("."), F.lpad((n - F.when(up, 10**digits).otherwise(0)).cast("string"), digits, "0")) if digits else exact
+    high = F.floor(F.least(size, F.lit(1e21)) / 2.0**32)  # from 2**53 on there is nothing behind the point
+    large = (high.cast("decimal(16,0)") * F.lit(2**32).cast("decimal(10,0)") + (F.least(size, F.lit(1e21)) - high * 2.0**32).cast("long").cast("decimal(10,0)")).cast("string")
+    large = F.concat(large, F.lit("." + "0" * digits)) if digits else large
+    huge = F.regexp_replace(F.regexp_replace(size.cast("string"), r"\.0E", "E"), "E", "e+")
+    text = F.when(plain, F.format_string(f"%.{digits}f", size)).when(size < 2.0**53, exact).when(size < 1e21, large).otherwise(huge)
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), text))
 
 
 def fixed(v: Column, digits: int) -> Column:

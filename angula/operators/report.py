@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from angula.functions.columns import cleanliness_label, finite, fixed_digits, form_label, resolution_label
 from angula.operators.filters import allowed_entries, finite_values, obs_condition
-from angula.spec import EntryFilter, FamilySpec, ObsFilter, selected_forms
-
-PAGE = 100
+from angula.operators.order import PAGE, Ordered, in_order
+from angula.spec import FORMS, EntryFilter, FamilySpec, ObsFilter
 
 
 def universe_counts(entries: DataFrame, families: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -35,8 +34,13 @@ def sorted_entries(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.collate("entry_id", "UNICODE"), "pid")
 
 
+def ordered_entries(entries: DataFrame) -> Ordered:
+    """sorted_entries() with row numbers and pages by number: the sort is paid once, not for every page."""
+    return in_order(entries, F.collate("entry_id", "UNICODE"), "pid")
+
+
 def entry_page(entries: DataFrame, page: int, size: int = PAGE) -> DataFrame:
-    """A page of the sorted entries; an index past the end gives the last page."""
+    """A page of the sorted entries; an index past the end gives the last page. For several pages take ordered_entries()."""
     last = max(0, -(-entries.count() // size) - 1)
     return sorted_entries(entries).offset(min(max(page, 0), last) * size).limit(size)
 
@@ -46,16 +50,36 @@ def entry_table(entries: DataFrame) -> DataFrame:
     return entries.select("pid", F.upper("entry_id").alias("entry"), form_label(F.col("form")).alias("form_label"), "method", resolution_label().alias("resolution_label"), cleanliness_label().alias("cleanliness"), *extra)
 
 
-def export_observations(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> DataFrame:
-    """One row for each plotted observation, with its entry's properties; numbers as text of a fixed form."""
+def _export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows, the columns to export, the columns that order them)"""
     extra = [c for c in ("het_names", "residue_count") if c in entries.columns]
-    allowed = allowed_entries(entries, f).filter(F.col("form").isin(selected_forms(f.forms)))
+    forms = [x for x in dict.fromkeys(f.forms or ()) if x in FORMS] or list(FORMS)
+    allowed = allowed_entries(entries, f).filter(F.col("form").isin(forms))
     meta = allowed.select("pid", "form", "entry_id", "method", "resolution", "resolution_known", cleanliness_label().alias("cleanliness"), *extra)
-    seen = finite_values(family, param).filter(obs_condition(spec, o)).filter(F.col(param).isNotNull())
+    seen = finite_values(family, param).filter(obs_condition(spec, o)).filter(F.col(f"`{param}`").isNotNull())
     obs = seen.join(meta, "pid")
     text = lambda c, empty: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(empty)) if c else F.lit("")
     res = F.when(F.col("resolution_known") & finite(F.col("resolution")).isNotNull(), fixed_digits(F.col("resolution"), 2)).otherwise("")
-    return obs.select(
-        fixed_digits(F.col(param), 6).alias("value"), F.upper("entry_id").alias("pdb_id"), (F.col(spec.site) if spec.site else F.lit("")).alias("site_label"), F.col("form").alias("form_nakb"), "method", res.alias("resolution_angstrom"), "cleanliness",
+    shown = [
+        fixed_digits(F.col(f"`{param}`"), 6).alias(param), F.upper("entry_id").alias("pdb_id"), (F.coalesce(F.col(spec.site), F.lit("")) if spec.site else F.lit("")).alias("site_label"), form_label(F.col("form")).alias("form_nakb"), "method", res.alias("resolution_angstrom"), "cleanliness",
         *extra, text(spec.context, spec.context_empty).alias("sequence_context"), text(spec.secondary, spec.secondary_empty).alias("backbone_state"), F.col("edge_flag").alias("terminal_flag"),
-    )
+    ]
+    keys = [F.array_position(F.array(*[F.lit(x) for x in forms]), F.col("form")), F.col("pid"), *[F.col(c) for c in spec.order]]
+    order = [f"_{i}" for i in range(len(keys))]
+    out = obs.select(*shown, *[k.alias(n) for k, n in zip(keys, order)])
+    return out, [c for c in out.columns if c not in order], order
+
+
+def export_observations(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> DataFrame:
+    """One row for each plotted observation, with its entry's properties; numbers as text of a fixed form; in no order.
+
+    The value's column has the parameter's name.
+    """
+    out, shown, _ = _export(entries, family, spec, param, f, o)
+    return out.select(*[F.col(f"`{c}`") for c in shown])
+
+
+def ordered_export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> Ordered:
+    """export_observations() in order of the chosen forms, of the entries' pids, and of the rows in each entry."""
+    out, shown, order = _export(entries, family, spec, param, f, o)
+    return in_order(out, *order, keep=shown)

@@ -58,7 +58,17 @@ def test_row_index_follows_files_and_lines(spark, tmp_path):
 
 
 def test_fixed_digits_round_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
     v = [1.005, 2.675, 0.125, -0.125, -0.001, 9.9999995, 0.0, -0.0, 1e15 + 0.5, None, math.nan, math.inf]
+    wide = [9e18, 1e19, -1e19, 12345678901234567890.0, 2.0**63, 2.0**62, 9.3e20, 2.0**53, 2.0**53 - 1, 4503599627370496.5, 1e9 + 0.0000005, 99999.9999995, 0.4999995, 1e-7, 5e-7, 12345.6789, 1e10 / 3]
+    w = spark.createDataFrame([(x,) for x in wide], "v double")
+    for digits in (0, 2, 6):
+        want = [str(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, None) if abs(x) < 1e20 else Decimal(x)) for x in wide]
+        want = [t if abs(x) < 1e20 else t + ("." + "0" * digits if digits else "") for t, x in zip(want, wide)]
+        assert values(w.select(C.fixed(F.col("v"), digits).alias("t")), "t") == want
+    far = spark.createDataFrame([(1e21,), (-1.5e300,), (1.7976931348623157e308,)], "v double")
+    assert values(far.select(C.fixed(F.col("v"), 2).alias("t")), "t") == ["1e+21", "-1.5e+300", "1.7976931348623157e+308"]
     d = spark.createDataFrame([(x,) for x in v], "v double")
     assert values(d.select(C.fixed(F.col("v"), 2).alias("t")), "t") == ["1.00", "2.67", "0.13", "-0.13", "-0.00", "10.00", "0.00", "0.00", "1000000000000000.50", "-", "-", "-"]
     assert values(d.select(C.fixed(F.col("v"), 0).alias("t")), "t")[:6] == ["1", "3", "0", "-0", "-0", "10"]
