@@ -1,11 +1,14 @@
-"""Line dedup by a log-template tree of fixed depth: token count, then leading tokens, then the template.
+"""Line dedup by a log-template tree of fixed depth: token count, then leading tokens, then places that tell templates apart.
 
 Main path: DataFrame operations only. Words with a digit are variable fields. A leaf holds the lines of one token count and
-the same leading words. In a leaf with enough different lines, words in places where no word prevails become fields, too.
+the same leading words; lines whose leading words lead to no such leaf go to those with a wildcard for one of them. In a leaf
+with enough different lines, words in places where no word prevails become fields, too. A leaf may hold several templates: it is
+split at the place with the fewest words, a line following its own word there, and split again.
 
 A template recurs if it stands in enough different documents, where copies and near copies of a document count once; lines of
 a document that was copied are for document dedup to find. How often a line stands within a document doesn't matter. Near
-copies share most of a sketch: the smallest hashes of three words in a row. Lines of recurring templates go wherever they stand.
+copies share most of a sketch, the smallest hashes of three words in a row, and have no line of their own: pages that share
+much but say something else each are different documents. Lines of recurring templates go wherever they stand.
 
 Texts and templates are known by two 64-bit hashes each.
 """
@@ -24,7 +27,11 @@ MIN_DOCUMENTS = 5
 #: Leading words on the tree's path.
 DEPTH = 3
 #: Share of a leaf's lines in which a word must stand at a place to be part of the template, and share of such places.
-PREVAIL, CONSTANT = 0.5, 0.7
+PREVAIL, CONSTANT = 0.5, 0.6
+#: How often leaves are split.
+SPLITS = 2
+#: A line is a text's own if less than this share of its runs of three words stands elsewhere in its class of near copies.
+OWN = 0.2
 #: Hashes in a document's sketch, those of them that near copies are looked for by, and the share that near copies have in common.
 SKETCH, PROBES, NEAR = 32, 8, 0.6
 #: One in so many runs of words may be in a sketch.
@@ -76,37 +83,94 @@ def near_copies(sketches: DataFrame) -> DataFrame:
     return components(pairs.filter(alike).select(F.col("k").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("k"), F.col("label").alias("class"))
 
 
-def generalised(lines: DataFrame, min_documents: int, prevail: float, constant: float) -> DataFrame:
-    """t, u, p, q: lines of the larger leaves, and their template after words that do not prevail in the leaf became fields."""
-    large = lines.select("leaf", *TEMPLATE).distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= min_documents)
+def with_own_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """k of the texts in classes of near copies that have a line of their own: no other has it, nor most of its runs of words.
+
+    A line that an edit made different shares the rest of its runs with the others' version of it.
+    """
+    mine = lines.join(classes, "k").groupBy("class", *TEMPLATE, "k").agg(F.min("line").alias("line"))
+    mine = mine.groupBy("class", *TEMPLATE).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("line").alias("line"))
+    w = F.split("line", " ", -1)
+    runs = F.array_distinct(F.transform(F.slice(w, F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
+    runs = written(mine.select("class", *TEMPLATE, "n", "k", F.explode(runs).alias("run")), "runs")
+    shared = runs.groupBy("class", "run").agg(F.sum("n").alias("all")).filter(F.col("all") > 1)
+    lone = runs.filter("n = 1").join(shared, ["class", "run"], "left").groupBy("class", *TEMPLATE, "k").agg(F.count(F.lit(1)).alias("runs"), F.count("all").alias("shared"))
+    out = written(lone.filter(F.col("shared") < OWN * F.col("runs")).select("k").distinct(), "own")
+    remove(lines.sparkSession, runs)
+    return out
+
+
+def leaf_lines(lines: DataFrame, min_documents: int, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaf, t, u, line, tokens, kinds; the tables that it reads): different lines of the leaves with kinds of them, min_documents or more.
+
+    A line whose own leaf is smaller is in those with a wildcard for one of its leading words.
+    """
+    head = F.split("line", " ", depth + 1)
+    wild = F.array(*[F.xxhash64("tokens", F.array(*[F.lit("<?>") if i == j else F.get(head, i) for i in range(depth)])) for j in range(depth)])
+    large = lines.select(F.explode(F.concat(F.array("leaf"), wild)).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("leaf")
     large = written(large, "leaves")
-    if large.count() <= BROADCAST_LEAVES:  # else a join by shuffle
-        large = F.broadcast(large)
-    kinds = lines.join(large, "leaf").groupBy("leaf", *TEMPLATE, "kinds").agg(F.first("line").alias("line"), F.first("tokens").alias("tokens"))
-    words = written(kinds.select("leaf", *TEMPLATE, "kinds", "tokens", F.posexplode(F.split("line", " ", -1)).alias("at", "word")), "words")
-    shares = words.groupBy("leaf", "kinds", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("kinds") * prevail).select("leaf", "at", "word")
-    out = words.join(shares, ["leaf", "at", "word"], "left_semi").groupBy("leaf", *TEMPLATE, "tokens").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
-    return out.filter(F.size("words") >= F.col("tokens") * constant).select(*TEMPLATE, *hashes(PATTERN, "leaf", F.col("words").cast("string")))
+    few = F.broadcast if large.count() <= BROADCAST_LEAVES else lambda df: df  # else a join by shuffle
+    row = ["leaf", *TEMPLATE, "line", "tokens"]
+    kinds = lambda df: df.groupBy("leaf", *TEMPLATE).agg(F.first("line").alias("line"), F.first("tokens").alias("tokens"))
+    plain = written(_counted(kinds(lines.join(few(large), "leaf").select(*row)), min_documents), "plain")
+    held = plain.select(*TEMPLATE).distinct()
+    rest = lines.join(held, TEMPLATE, "left_anti").select(F.explode(wild).alias("leaf"), *row[1:]).join(few(large), "leaf")
+    return plain.unionByName(_counted(kinds(rest.select(*row)), min_documents)), [large, plain]
+
+
+def _counted(kinds: DataFrame, least: int) -> DataFrame:
+    """kinds of leaves with as many rows as least, with their number."""
+    sizes = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= least)
+    return kinds.join(sizes, "leaf")
+
+
+def generalised(lines: DataFrame, min_documents: int, prevail: float, constant: float, splits: int = SPLITS) -> DataFrame:
+    """Written table t, u, p, q: lines of the larger leaves, and their templates after words that do not prevail in their leaf became fields.
+
+    A line has one for its leaf, and one for each part of it that it follows when the leaf is split at the place with the
+    fewest different words, the first of those, into parts of min_documents lines or more.
+    """
+    own, used = leaf_lines(lines, min_documents)
+    words, out = written(own.select("leaf", *TEMPLATE, "kinds", "tokens", F.posexplode(F.split("line", " ", -1)).alias("at", "word")), "words"), None
+    for level in range(splits + 1):
+        counts = written(words.groupBy("leaf", "kinds", "at", "word").agg(F.count(F.lit(1)).alias("n")), "shares")
+        used += [words, counts]
+        kept = words.join(counts.filter(F.col("n") >= F.col("kinds") * prevail).select("leaf", "at", "word"), ["leaf", "at", "word"], "left_semi")
+        kept = kept.groupBy("leaf", *TEMPLATE, "tokens").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
+        kept = kept.filter(F.size("words") >= F.col("tokens") * constant).select(*TEMPLATE, *hashes(PATTERN, "leaf", F.col("words").cast("string")))
+        out = kept if out is None else out.unionByName(kept)
+        if level < splits:
+            place = counts.groupBy("leaf", "at").agg(F.count(F.lit(1)).alias("d"), F.max("n").alias("top")).filter((F.col("d") > 1) & (F.col("top") >= min_documents))
+            place = place.groupBy("leaf").agg(F.min(F.struct("d", "at"))["at"].alias("at"))
+            part = counts.filter(F.col("n") >= min_documents).join(place, ["leaf", "at"]).select("leaf", "at", "word", F.xxhash64("leaf", "at", "word").alias("part"), F.col("n").alias("size"))
+            follows = words.join(part, ["leaf", "at", "word"]).select("leaf", *TEMPLATE, "part", "size")
+            words = written(words.join(follows, ["leaf", *TEMPLATE]).select(F.col("part").alias("leaf"), *TEMPLATE, F.col("size").alias("kinds"), "tokens", "at", "word"), "words")
+    out = written(out.distinct(), "general")
+    remove(lines.sparkSession, *used)
+    return out
 
 
 def recurring(lines: DataFrame, sketches: DataFrame, min_documents: int = MIN_DOCUMENTS, prevail: float = PREVAIL, constant: float = CONSTANT) -> DataFrame:
     """t, u of the templates of lines_of() that recur; sketches are sketches_of() of the same documents.
 
-    A template is counted by itself and by its generalised form. Classes of near copies are only looked for among texts
-    that hold what stands in enough different texts.
+    A template is counted by itself and by its generalised forms. Classes of near copies are only looked for among texts
+    that hold what stands in enough different texts; texts with lines of their own count by themselves.
     """
     spark = lines.sparkSession
     held = written(lines.select(*TEMPLATE, "k").distinct(), "held")
     often = lambda by, of: by.groupBy(*PATTERN).agg(F.count_distinct(of).alias("n")).filter(F.col("n") >= min_documents).select(*PATTERN)
     plain = often(held.toDF(*PATTERN, "k"), "k")
-    general = written(generalised(lines, min_documents, prevail, constant), "general")
+    general = generalised(lines, min_documents, prevail, constant)
     wide = general.join(often(held.join(general, TEMPLATE), "k"), PATTERN, "left_semi")
     members = written(plain.select(*PATTERN, *[F.col(p).alias(t) for p, t in zip(PATTERN, TEMPLATE)]).union(wide.select(*PATTERN, *TEMPLATE)), "members")
     within = written(held.join(members, TEMPLATE).select(*PATTERN, "k").distinct(), "within")
     texts = written(sketches.join(within.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "sketches")
-    classes = within.join(near_copies(texts), "k", "left").select(*PATTERN, F.coalesce("class", "k").alias("class"))
+    near = near_copies(texts)
+    own = with_own_lines(lines, near)
+    near = near.join(own, "k", "left_anti")
+    classes = within.join(near, "k", "left").select(*PATTERN, F.coalesce("class", "k").alias("class"))
     out = written(members.join(often(classes, "class"), PATTERN, "left_semi").select(*TEMPLATE).distinct(), "recurring")
-    remove(spark, held, general, members, within, texts)
+    remove(spark, held, general, members, within, texts, own)
     return out
 
 

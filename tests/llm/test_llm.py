@@ -179,11 +179,9 @@ def test_licences_of_whole_wrapped_texts(spark):
     assert {got[i].sentence_ids for i in want if want[i] == "Apache-2.0"} == {"apache-2.0-header,apache-compliance,apache-copy,apache-as-is"}
 
 
-def test_licence_rules_need_order_and_nearness(spark):
-    ids = lambda *x: [(n, s) for n, s in x]
-    d = spark.createDataFrame([(1, ids((0, "a"), (1, "b"))), (2, ids((0, "b"), (1, "a"))), (3, ids((0, "a"), (9, "b"))), (4, ids((0, "a"), (8, "a"), (9, "b")))], "i int, ids array<struct<nth:int,sentence_id:string>>")
-    got = {r.i: r.h for r in d.select("i", licences.rule_hit(F.col("ids"), ["a", "b"]).alias("h")).collect()}
-    assert got == {1: 1, 2: None, 3: None, 4: 9}
+def test_licence_rules_need_order_and_nearness():
+    hit = lambda *ids: licences.matched(list(ids), [("X", ["a", "b"])])
+    assert hit((0, "a"), (1, "b")) == hit((0, "a"), (8, "a"), (9, "b")) == ["X"] and hit((0, "b"), (1, "a")) == hit((0, "a"), (9, "b")) == []
 
 
 def brute_lm(docs):
@@ -369,79 +367,6 @@ def test_lines_at_edges_beside_blanks_and_in_passages(spark):
     assert all(got[i].text == t for i, t, _ in rows if i >= 200)
 
 
-def brute_lines(docs, classes):
-    """Places of recurring lines by text: templates, leaves and generalised templates counted one by one, over classes of texts."""
-    def template(line):
-        return " ".join("<*>" if re.search("[0-9]", w) else w for w in re.findall("[^ \t\r\x0b\x0c]+", line))
-
-    at, leaves = collections.defaultdict(set), collections.defaultdict(set)
-    for text in {t or "" for _, t, _ in docs}:
-        for n, line in enumerate(text.split("\n")):
-            t = template(line)
-            w = t.split(" ")
-            if t and len(w) >= lines.MIN_TOKENS:
-                at[t].add((text, n))
-                leaves[len(w), *w[: lines.DEPTH]].add(t)
-    pattern = {}
-    for leaf, own in leaves.items():
-        if len(own) >= lines.MIN_DOCUMENTS:
-            often = [{w for w, n in collections.Counter(t.split(" ")[i] for t in own).items() if n >= lines.PREVAIL * len(own)} for i in range(leaf[0])]
-            for t in own:
-                kept = tuple(w if w in often[i] else None for i, w in enumerate(t.split(" ")))
-                if sum(w is not None for w in kept) >= lines.CONSTANT * leaf[0]:
-                    pattern[t] = (leaf, kept)
-    places = collections.defaultdict(set)
-    for t, where in at.items():
-        for p in (t, pattern.get(t)):
-            places[p] |= {classes.get(text, text) for text, _ in where} if p else set()
-    enough = {p for p, of in places.items() if len(of) >= lines.MIN_DOCUMENTS}
-    out = collections.defaultdict(set)
-    for t, where in at.items():
-        if t in enough or pattern.get(t) in enough:
-            for text, n in where:
-                out[text].add(n)
-    return out
-
-
-def test_lines_against_brute_force(spark):
-    random.seed(21)
-    prose = lambda k: " ".join("".join(random.choices("abcdefghijklm", k=5)) for _ in range(k))
-    notice, footer, header, middle, often = [prose(9) for _ in range(3)], prose(8), prose(7), prose(6), prose(10)
-    rows = []
-    for i in range(120):
-        own = [prose(random.randrange(2, 30)) for _ in range(random.randrange(3, 9))]
-        if i % 4 == 0:
-            own[1:1] = notice
-        if i % 4 == 1:
-            own.append(footer)
-        if i % 4 == 2:
-            own.insert(0, header)
-        if i % 5 == 0:
-            own.insert(2, middle)
-        if i == 7:
-            own += [often, prose(5)] * 6  # six times in one document, and in no other
-        if i % 6 == 1:
-            own.insert(1, f"at {i}:30 the user u{i * 7} went\taway from {prose(1)} for good today")
-        if i % 30 == 3:
-            own.insert(1, f"only four hold {prose(3)} such a line")
-        rows.append((i, "\n".join(own), "s"))
-    copied = "\n".join(prose(12) for _ in range(6))
-    rows += [(200 + i, copied, "s") for i in range(9)] + [(None, rows[0][1], "s"), (5, None, None), (5, "", "s"), (6, " \n\n\t", "s")]
-    real = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
-    d = docs_of(spark, rows + real).withColumn("key_", F.lit(1)).withColumn("drop_", F.lit(2)).withColumn("K", F.lit(3))
-    near = {r.k: r["class"] for r in lines.near_copies(lines.sketches_of(d, "text").distinct()).collect()}
-    key = {r.text: r.k for r in d.select(common.text_of().alias("text"), F.xxhash64(common.text_of()).alias("k")).distinct().collect()}
-    want = brute_lines(rows + real, {t: near[k] for t, k in key.items() if k in near})
-    cut = lambda t: t and "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[t])
-    got = lines.dedup(d).collect()
-    assert got[0].key_ == 1 and got[0].drop_ == 2 and got[0].K == 3
-    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((i, cut(t)) for i, t, _ in rows + real), key=repr)
-    by = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id < 200}
-    kept = "\n".join(r.text or "" for r in got)
-    assert not any(x in kept for x in (*notice, footer, header, middle, "went")) and kept.count(often) == 6 and "only four hold" in kept and copied in kept
-    assert sum(r.n_dropped for r in got) == sum(len(want[t]) for _, t, _ in rows + real if t) and by[5].n_dropped >= 0
-
-
 def brute_components(docs):
     sets = {}
     for i, t in docs:
