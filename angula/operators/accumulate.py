@@ -103,32 +103,27 @@ def finished(state: DataFrame, spec: FamilySpec, v: View, forms: Sequence[str])
     forms: array<struct<form, n, a, b, entries, counts, y>> of the forms with values, in order; counts are those of the bins, y is
     smoothed, cut open and scaled. All of it is worked out within the row.
     """
-    d = state.filter(F.col("form").isin(list(forms)))
-    of = lambda j, entries, c: F.when((F.col("form") == forms[j]) & (F.col("entries") == entries), c)
-    made = []
-    for j in range(len(forms)):
-        made += [F.sum(of(j, False, F.col(c))).alias(f"{c}{j}") for c in ("n", "a", "b")]
-        made += [F.sum(of(j, True, F.bit_count("bits"))).cast("long").alias(f"e{j}"), F.collect_list(of(j, False, F.struct("key", "n"))).alias(f"h{j}")]
-    d = d.groupBy("param_id").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), *made)
-    round_ = F.col("param_id").isin([p.param_id for p in spec.params if p.circular])
-    linear, turn = v.bins(False), v.bins(True)
-    d = d.withColumn("circular", round_).withColumn("width", (F.col("hi") - F.col("lo")) / F.when(round_, turn).otherwise(linear))
-    counts = lambda j: F.when(F.col("circular"), S.dense(F.col(f"h{j}"), turn)).otherwise(S.dense(F.col(f"h{j}"), linear))
-    each = [F.when(F.col(f"n{j}") > 0, F.struct(F.lit(f).alias("form"), *[F.col(f"{c}{j}").alias(c) for c in ("n", "a", "b")], F.col(f"e{j}").alias("entries"), counts(j).alias("counts"))) for j, f in enumerate(forms)]
-    none = F.struct(F.lit(0).alias("shift"), F.lit("linear").alias("kind"))
-    width = F.col("width") if v.scale == "density" else None
-
-    def all_of(given: Column) -> Column:
-        cut = F.when(F.col("circular"), S.cut(S.pooled(F.transform(given, lambda f: f["counts"]), turn), turn, v.mode)).otherwise(none)
-
-        def with_y(f: Column, c: Column) -> Column:
-            y = F.when(F.col("circular"), S.rotated(S.smoothed(f["counts"], turn, v.sigma, True), c["shift"], turn)).otherwise(S.smoothed(f["counts"], linear, v.sigma, False))
-            return F.struct(*[f[n].alias(n) for n in ("form", "n", "a", "b", "entries", "counts")], S.scaled(y, width).alias("y"))
-
-        return S.let(cut, lambda c: F.struct(c.alias("turn"), F.transform(given, lambda f: with_y(f, c)).alias("forms")))
-
-    d = d.select("param_id", "circular", "lo", "hi", "width", S.let(F.array_compact(F.array(*each)), all_of).alias("made"))
-    return d.select("param_id", "circular", "lo", "hi", "width", "made.turn", "made.forms")
+    bins, turn = v.bins(False), v.bins(True)
+    known = "(" + ", ".join(f"'{f}'" for f in forms) + ")"
+    of = lambda f, entries, c: f"CASE WHEN form = '{f}' AND {'entries' if entries else 'NOT entries'} THEN {c} END"
+    made = [f"sum({of(f, False, c)}) AS {c}{j}" for j, f in enumerate(forms) for c in "nab"]
+    made += [f"CAST(sum({of(f, True, 'bit_count(bits)')}) AS BIGINT) AS e{j}" for j, f in enumerate(forms)]
+    made += [f"collect_list({of(f, False, 'struct(key, n)')}) AS h{j}" for j, f in enumerate(forms)]
+    d = state.filter(f"form IN {known}").groupBy("param_id").agg(*map(F.expr, ["first(lo) AS lo", "first(hi) AS hi", *made]))
+    round_ = "param_id IN (" + ", ".join([f"'{p.param_id}'" for p in spec.params if p.circular] or ["NULL"]) + ")"
+    d = d.selectExpr("*", f"coalesce({round_}, false) AS circular").selectExpr("*", f"(hi - lo) / IF(circular, {turn}, {bins}) AS width")
+    counts = lambda j: f"IF(circular, {S.dense(f'h{j}', turn)}, {S.dense(f'h{j}', bins)})"
+    rows = [f"IF(n{j} > 0, named_struct('form', '{f}', 'n', n{j}, 'a', a{j}, 'b', b{j}, 'entries', e{j}, 'counts', {counts(j)}), NULL)" for j, f in enumerate(forms)]
+    keep = ("form", "n", "a", "b", "entries", "counts")
+
+    def all_of(given: str) -> str:
+        seam = f"IF(circular, {S.cut(S.pooled(f'{given}.counts', turn), turn, v.mode)}, named_struct('shift', 0, 'kind', 'linear'))"
+        y = lambda f, c: f"IF(circular, {S.rotated(S.smoothed(f'{f}.counts', turn, v.sigma, True), f'{c}.shift', turn)}, {S.smoothed(f'{f}.counts', bins, v.sigma, False)})"
+        one = lambda f, c: f"named_struct({', '.join(f'{n!r}, {f}.{n}' for n in keep)}, 'y', {S.scaled(y(f, c), 'width' if v.scale == 'density' else None)})"
+        return S.let(seam, lambda c: f"named_struct('turn', {c}, 'forms', {S.each(given, lambda f: one(f, c))})")
+
+    d = d.selectExpr("param_id", "circular", "lo", "hi", "width", f"{S.let('array_compact(array(' + ', '.join(rows) + '))', all_of)} AS made")
+    return d.selectExpr("param_id", "circular", "lo", "hi", "width", "made.turn", "made.forms")
 
 
 def series(done: DataFrame, spec: FamilySpec) -> DataFrame:
@@ -147,8 +142,8 @@ def summaries(done: DataFrame, spec: FamilySpec, v: View, p: ParameterSpec) -> D
         unit = p.period / (2 * math.pi)
         d = d.withColumn("resultant", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.hypot("a", "b") / n)))
         std = F.when(F.col("resultant") > 0, F.sqrt(F.greatest(F.lit(0.0), -2 * F.log("resultant"))) * unit)
-        top = wrap((S.peak(F.col("y")) + 0.5 + F.col("turn.shift")) * F.col("width"), p.period)
+        top = wrap((F.expr(S.peak("y")) + 0.5 + F.col("turn.shift")) * F.col("width"), p.period)
         return d.select("form", "n", "entries", wrap(F.atan2("b", "a") * unit, p.period).alias("mean"), "resultant", std.alias("std"), top.alias("peak"))
     mean = F.col("a") / n
-    centre = lambda q: F.col("lo") + F.col("width") * (S.percentile(F.col("counts"), v.bins(False), q) + 0.5)
+    centre = lambda q: F.col("lo") + F.col("width") * (F.expr(S.percentile("counts", v.bins(False), q)) + 0.5)
     return d.select("form", "n", "entries", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("b") / n - mean * mean)).alias("std"), centre(0.05).alias("p05"), centre(0.95).alias("p95"))

@@ -62,7 +62,7 @@ def test_cut_within_a_row(spark, kind):
     rng = random.Random(2)
     n = {"across zero": [0, 0, 0] + [4] * 64 + [0] * 5, "quiet": [9 + (i % 3) if i < 50 else 1 for i in range(72)], "flat": [5 + i % 2 for i in range(72)], "sparse": [1] * 5 + [0] * 67, "ties": ([3] * 30 + [0] * 6) * 2, "random": [rng.choice([0, 1, 5, 9]) if i % 11 else 20 for i in range(72)]}[kind]
     d = spark.createDataFrame([(n,)], "n array<long>").repartition(1)
-    got = d.select(S.cut(F.col("n"), 72, "auto").alias("c")).first().c
+    got = d.select(F.expr(S.cut("n", 72, "auto")).alias("c")).first().c
     assert (got.kind, got.shift) == brute_seam(n)
 
 
@@ -71,13 +71,13 @@ def test_arrays_say_what_tables_say(spark):
     d, t = spark.createDataFrame([(n,)], "n array<long>").repartition(1), spark.createDataFrame(list(enumerate(n)), "bin int, n long")
     for circular in (False, True):
         for sigma in (0.0, 1.0, 2.5):
-            got = d.select(S.smoothed(F.col("n"), 12, sigma, circular).alias("y")).first().y
+            got = d.select(F.expr(S.smoothed("n", 12, sigma, circular)).alias("y")).first().y
             want = [r.y for r in H.smooth(t, [], 12, sigma, circular).orderBy("bin").collect()]
             assert all(abs(a - b) < 1e-12 for a, b in zip(got, want, strict=True))
-    got = d.select(*[S.percentile(F.col("n"), 12, q).alias(f"q{i}") for i, q in enumerate((0.05, 0.5, 0.95))], S.peak(F.col("n").cast("array<double>")).alias("peak"), S.rotated(F.col("n"), F.lit(3), 12).alias("turned")).first()
+    got = d.select(*[F.expr(S.percentile("n", 12, q)).alias(f"q{i}") for i, q in enumerate((0.05, 0.5, 0.95))], F.expr(S.peak("CAST(n AS array<double>)")).alias("peak"), F.expr(S.rotated("n", "3", 12)).alias("turned")).first()
     want = [H.percentile(t, [], q, F.col("bin")).first().p for q in (0.05, 0.5, 0.95)]
     assert [got.q0, got.q1, got.q2] == want and got.peak == 4 and got.turned == n[3:] + n[:3]
-    none = spark.createDataFrame([([0] * 12,)], "n array<long>").select(S.percentile(F.col("n"), 12, 0.5).alias("p"), S.scaled(F.col("n").cast("array<double>")).alias("y")).first()
+    none = spark.createDataFrame([([0] * 12,)], "n array<long>").select(F.expr(S.percentile("n", 12, 0.5)).alias("p"), F.expr(S.scaled("CAST(n AS array<double>)")).alias("y")).first()
     assert none.p is None and none.y == [0.0] * 12
 
 
