@@ -6,14 +6,17 @@ An item of m words is in a document if some stretch of it is within e = floor((1
 2. CGK: a random walk copies a window symbol by symbol into an embedding of 3 m places, so that edit distance becomes
    Hamming distance; an item and a window walk by the same random bits.
 3. Bit sampling: in each of several walks, some samples of a few places; a window that equals the item in all places of any
-   sample is a candidate. A window that no sample catches is one, too, if it and e words on each side have m - e words in common
-   with the item, as every match has; so no recall hangs on the samples, whatever the item's length.
+   sample is a candidate. How many walks an item gets follows from its length: MARGIN times as many as find TARGET of the copies
+   with all edits that the budget allows, in a trial run on random items of that length. An item for which MAX_WALKS fall short of
+   it has candidates by words in common instead: a match and e words on each side hold m - e words of the item.
 4. Exact edit distance of the item against the stretch around a candidate decides.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,11 @@ from .common import Arrays, by_place, new_folder, put_array, text_of
 from .grams import grams, mix, sliced, words
 
 SIMILARITY = 0.8
-WALKS, SAMPLES, PLACES = 4, 10, 2
+SAMPLES, PLACES = 10, 2
+#: Share of the trial's copies of each kind that the walks of an item must find, copies in the trial, the most walks, and how
+#: many times as many as the trial asks for an item gets.
+TARGET, TRIALS, MAX_WALKS, MARGIN = 0.995, 480, 48, 2
+KINDS = (None, "insert", "delete", "replace")
 RUN = 4
 _BITS = 22
 
@@ -85,10 +92,75 @@ def edit_distances(items: list[np.ndarray], stretches: list[np.ndarray]) -> tupl
     return best[np.arange(n), end], end
 
 
+def edited(rng: np.random.Generator, item: np.ndarray, edits: int, kind: str | None = None) -> np.ndarray:
+    """The item after so many random word edits; kind: insert, delete or replace alone."""
+    out = list(item)
+    for _ in range(edits):
+        what = kind or ("insert", "delete", "replace")[rng.integers(3)]
+        at = int(rng.integers(len(out) + (what == "insert")))
+        if what == "insert":
+            out.insert(at, rng.integers(1, 1 << 63))
+        elif what == "delete":
+            del out[at]
+        else:
+            out[at] = rng.integers(1, 1 << 63)
+    return np.array(out, np.uint64)
+
+
+def first_walks(m: int, similarity: float, trials: int = TRIALS, walks: int = MAX_WALKS, kind: str | None = None, seed: int = 0) -> np.ndarray:
+    """For random copies, with all edits of the budget, of random items of m words: the first walk that finds each, or walks."""
+    rng = np.random.default_rng([m, seed])
+    e, r = (int(f(np.array([m]), similarity)[0]) for f in (budget, run_length))
+    items = rng.integers(1, 1 << 63, (trials, m)).astype(np.uint64)
+    docs, begin, of, limit, at = [], [], [], [], 0
+    for t, item in enumerate(items):
+        around = rng.integers(1, 1 << 63, (2, 2 * e + m)).astype(np.uint64)
+        d = np.concatenate([around[0], edited(rng, item, e, kind), around[1]])
+        place = {tuple(item[i : i + r]): i for i in range(m - r + 1)}
+        starts = {j - place[run] for j in range(len(d) - r + 1) if (run := tuple(d[j : j + r])) in place}
+        begin += [at + b for b in starts]
+        of += [t] * len(starts)
+        limit += [at + len(d)] * len(starts)
+        docs.append(d)
+        at += len(d)
+    symbols, begin, of, limit = np.concatenate(docs), np.array(begin, np.int64), np.array(of, np.int64), np.array(limit, np.int64)
+    size = np.full(trials, m)
+    first = np.full(trials, walks)
+    for w in range(walks):
+        todo = np.flatnonzero(first[of] == walks)
+        if not len(todo):
+            break
+        places = sample_places(m, w)
+        mine = embed(symbols, begin[todo], np.full(len(todo), m), limit[todo], w)[:, places]
+        theirs = embed(items.ravel(), np.arange(trials) * m, size, (np.arange(trials) + 1) * m, w)[:, places]
+        hit = (mine == theirs[of[todo]]).reshape(-1, SAMPLES, PLACES).all(2).any(1)
+        first[of[todo][hit]] = w
+    return first
+
+
+@lru_cache(1 << 12)
+def _walks(m: int, similarity: float, target: float) -> int:
+    """MARGIN times the walks that find the target's share of the trial's copies of every kind of edits; 0 if MAX_WALKS don't."""
+    trials = (TRIALS if m <= 128 else TRIALS // 4) // len(KINDS)
+    last = max(np.sort(first_walks(m, similarity, trials, kind=k))[int(np.ceil(target * trials)) - 1] for k in KINDS)
+    return 0 if last >= MAX_WALKS else MARGIN * (int(last) + 1)
+
+
+def walks_of(sizes: list[int], similarity: float, target: float = TARGET) -> dict[int, int]:
+    """Walks for items of each size, 0 where MAX_WALKS don't reach the target.
+
+    Above 32 words, sizes share the trial of the next of a grid with steps of a quarter.
+    """
+    grid = [*range(33)]
+    while grid[-1] < max(sizes, default=0):
+        grid.append(grid[-1] * 5 // 4)
+    return {m: _walks(grid[bisect_left(grid, m)], similarity, target) for m in sizes}
+
+
 class Items:
-    """One part of the benchmark: items as word hashes, their runs sorted by hash."""
+    """One part of the benchmark: items as word hashes, their runs sorted by hash. walks: by size, how many an item gets."""
 
-    def __init__(self, ids: np.ndarray, ends: np.ndarray, symbols: np.ndarray, similarity: float):
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, symbols: np.ndarray, similarity: float, walks: dict[int, int] | None = None):
         self.ids, self.ends, self.symbols = ids, ends, symbols
         self.m = np.diff(np.concatenate([[0], ends]))
         self.e = budget(self.m, similarity)
@@ -106,10 +178,12 @@ class Items:
                 seen[(g >> np.uint64(64 - _BITS)).astype(np.int64)] = True
                 self.runs[r] = (g[order], item[order], pos[order], seen)
         self.bag, self.bag_n = np.unique(self.bag_keys(symbols, of), return_counts=True)
-        self.walked = np.zeros((WALKS, len(ids), SAMPLES * PLACES), np.uint64)
+        walks = walks_of(np.unique(self.m).tolist(), similarity) if walks is None else walks
+        self.walks = np.array([walks[int(x)] for x in self.m], np.int64)
+        self.walked = np.zeros((self.walks.max(initial=0), len(ids), SAMPLES * PLACES), np.uint64)
         for size in np.unique(self.m):
             own = np.flatnonzero(self.m == size)
-            for w in range(WALKS):
+            for w in range(walks[int(size)]):
                 self.walked[w, own] = embed(symbols, ends[own] - size, self.m[own], ends[own], w)[:, sample_places(int(size), w)]
 
     def hits(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +220,12 @@ class Items:
         return common >= self.m[item] - self.e[item]
 
     def candidates(self, h: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Which windows equal their item in all places of a sample of any walk, or have enough words in common with it."""
+        """Which windows equal their item in all places of a sample of any of its walks; for items without walks, which have enough words in common with it."""
         lo, hi = np.searchsorted(doc, of, "left"), np.searchsorted(doc, of, "right")
         start, m = np.maximum(begin, lo), self.m[item]
         ok = np.zeros(len(item), bool)
-        for w in range(WALKS):
-            todo = np.flatnonzero(~ok)
+        for w in range(len(self.walked)):
+            todo = np.flatnonzero(~ok & (self.walks[item] > w))
             if not len(todo):
                 break
             for size in np.unique(m[todo]):
@@ -159,7 +233,7 @@ class Items:
                 mine = embed(h, start[rows], m[rows], hi[rows], w)[:, sample_places(int(size), w)]
                 same = (mine == self.walked[w, item[rows]]).reshape(-1, SAMPLES, PLACES)
                 ok[rows[same.all(2).any(1)]] = True
-        rest = np.flatnonzero(~ok)
+        rest = np.flatnonzero(self.walks[item] == 0)
         ok[rest] = self.in_common(h, item[rest], begin[rest], lo[rest], hi[rest])
         return ok
 
@@ -196,6 +270,8 @@ class Items:
 
 
 def _put(folder: str):
+    """Writes a part of the items, gives their different sizes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -211,19 +287,19 @@ def _put(folder: str):
             put_array(folder, "id", part, np.concatenate(ids).astype(np.int64))
             put_array(folder, "end", part, np.cumsum(np.concatenate(sizes)).astype(np.int64))
             put_array(folder, "word", part, np.concatenate(symbols))
-        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(map(len, ids))], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"m": pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *sizes])), pa.int64())})
 
     return run
 
 
-def _opened(folder: str, similarity: float) -> list[Items]:
+def _opened(folder: str, similarity: float, walks: dict[int, int]) -> list[Items]:
     held = {k: Arrays(folder, k) for k in ("id", "end", "word")}
-    return [Items(*(np.asarray(held[k][p]) for k in ("id", "end", "word")), similarity) for p in held["id"]]
+    return [Items(*(np.asarray(held[k][p]) for k in ("id", "end", "word")), similarity, walks) for p in held["id"]]
 
 
-def _scan(folder: str, similarity: float):
+def _scan(folder: str, similarity: float, walks: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = _opened(folder, similarity)
+        parts = _opened(folder, similarity, walks)
         for b in batches:
             rid, found = b.column(0).to_numpy(), []
             for i, _, data, at in sliced(b.column(1)):
@@ -235,9 +311,9 @@ def _scan(folder: str, similarity: float):
     return run
 
 
-def _without(folder: str, similarity: float, text: int):
+def _without(folder: str, similarity: float, walks: dict[int, int], text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = _opened(folder, similarity)
+        parts = _opened(folder, similarity, walks)
         for b in batches:
             clean = np.ones(b.num_rows, bool)
             for i, _, data, at in sliced(pa.compute.fill_null(b.column(text), "")):
@@ -248,11 +324,12 @@ def _without(folder: str, similarity: float, text: int):
     return run
 
 
-def _put_items(items: DataFrame) -> str:
+def _put_items(items: DataFrame, similarity: float) -> tuple[str, float, dict[int, int]]:
+    """(folder of the items, similarity, walks by size): what tasks need. The driver sees the items' different sizes alone."""
     folder = new_folder(items.sparkSession, "items")
     i = items.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text")).filter("item_id is not null")
-    i.mapInArrow(_put(folder), "n long").agg(F.sum("n")).collect()
-    return folder
+    sizes = sorted(r.m for r in i.mapInArrow(_put(folder), "m long").distinct().collect())
+    return folder, similarity, walks_of(sizes, similarity)
 
 
 def find_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,11 +339,11 @@ def find_items(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     rows: each of their partitions is a part that tasks map and hold against their documents in turn.
     """
     d = docs.select(F.col(id_col).cast("long").alias("rid"), text_of(text_col).alias("text")).filter("rid is not null")
-    return d.mapInArrow(_scan(_put_items(items), similarity), "rid long, item_id long, end_word long, edits long")
+    return d.mapInArrow(_scan(*_put_items(items, similarity)), "rid long, item_id long, end_word long, edits long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, edits, end_word: one row for each item found in each document.
+    """doc_id, item_id, edits, end_word: one row for each item found in each document, once, at its nearest stretch.
 
     Null or empty texts and null ids match nothing; equal rows give equal rows; empty tables give none; other columns are
     not looked at.
@@ -280,4 +357,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     Rows with a null id are held to the same rule. Null and empty texts stay, equal rows are treated alike, without items
     all rows stay, an empty table gives none.
     """
-    return by_place(docs, _without(_put_items(items), similarity, docs.columns.index(text_col)))
+    return by_place(docs, _without(*_put_items(items, similarity), docs.columns.index(text_col)))
