@@ -36,8 +36,10 @@ OWN = 0.2
 SKETCH, PROBES, NEAR = 32, 8, 0.6
 #: One in so many runs of words may be in a sketch.
 STRIDE = 4
-#: Leaves (8 bytes each) that are broadcast at most, so that lines of other leaves are not shuffled.
-BROADCAST_LEAVES = 1_000_000
+#: Runs of three words of a line that are compared, about.
+RUNS = 16
+#: Keys (16 bytes each) that are broadcast at most, so that lines without them are not shuffled.
+BROADCAST_KEYS = 1_000_000
 BLANK = " \t\r\x0b\x0c"
 FIELD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*[0-9])[^\x20\x09-\x0D]+"
 TEXT, TEMPLATE, PATTERN = ["k", "v"], ["t", "u"], ["p", "q"]
@@ -83,45 +85,58 @@ def near_copies(sketches: DataFrame) -> DataFrame:
     return components(pairs.filter(alike).select(F.col("k").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("k"), F.col("label").alias("class"))
 
 
-def with_own_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it has BROADCAST_KEYS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def text_of_templates(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """t, u, line of the templates of a written table."""
+    return lines.select(*TEMPLATE, "line").join(few(wanted), TEMPLATE, "left_semi").groupBy(*TEMPLATE).agg(F.first("line").alias("line"))
+
+
+def with_own_lines(lines: DataFrame, held: DataFrame, classes: DataFrame) -> DataFrame:
     """k of the texts in classes of near copies that have a line of their own: no other has it, nor most of its runs of words.
 
-    A line that an edit made different shares the rest of its runs with the others' version of it.
+    held: t, u, k of all texts. A line that an edit made different shares the rest of its runs with the others' version of it.
+    Of long lines the runs whose hash is a multiple of a power of two stand for all, so that some RUNS of them are compared.
     """
-    mine = lines.join(classes, "k").groupBy("class", *TEMPLATE, "k").agg(F.min("line").alias("line"))
-    mine = mine.groupBy("class", *TEMPLATE).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("line").alias("line"))
-    w = F.split("line", " ", -1)
-    runs = F.array_distinct(F.transform(F.slice(w, F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
-    runs = written(mine.select("class", *TEMPLATE, "n", "k", F.explode(runs).alias("run")), "runs")
-    shared = runs.groupBy("class", "run").agg(F.sum("n").alias("all")).filter(F.col("all") > 1)
-    lone = runs.filter("n = 1").join(shared, ["class", "run"], "left").groupBy("class", *TEMPLATE, "k").agg(F.count(F.lit(1)).alias("runs"), F.count("all").alias("shared"))
-    out = written(lone.filter(F.col("shared") < OWN * F.col("runs")).select("k").distinct(), "own")
-    remove(lines.sparkSession, runs)
+    classes = written(classes, "classes")
+    mine = written(held.join(few(classes), "k").groupBy("class", *TEMPLATE).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")), "mine")
+    kinds = written(mine.select(*TEMPLATE).distinct(), "kinds")
+    step = F.expr(f"shiftleft(1, CAST(floor(log2(greatest(1, size(w) div {RUNS}))) AS INT))")
+    runs = "filter(transform(sequence(0, greatest(0, size(w) - 3)), i -> xxhash64(w[i], get(w, i + 1), get(w, i + 2))), h -> pmod(h, step) = 0)"
+    # Generating one row keeps the words behind it, so that they are split once.
+    each = text_of_templates(lines, kinds).select(*TEMPLATE, F.inline(F.array(F.struct(F.split("line", " ", -1).alias("w"))))).withColumn("step", step)
+    each = each.select(*TEMPLATE, F.array_distinct(F.expr(runs)).alias("runs"))
+    id_ = F.xxhash64("class", *TEMPLATE)
+    each = written(mine.join(each, TEMPLATE).select(F.when(F.col("n") == 1, id_).alias("id"), "n", "class", F.explode("runs").alias("run")).select("id", "n", F.xxhash64("class", "run").alias("run")), "runs")
+    shared = each.groupBy("run").agg(F.sum("n").alias("all")).filter(F.col("all") > 1)
+    lone = each.filter("id is not null").join(shared, "run", "left").groupBy("id").agg(F.count(F.lit(1)).alias("runs"), F.count("all").alias("shared"))
+    lone = lone.filter(F.col("shared") < OWN * F.col("runs")).select("id")
+    out = written(mine.filter("n = 1").select(id_.alias("id"), "k").join(lone, "id").select("k").distinct(), "own")
+    remove(lines.sparkSession, classes, mine, kinds, each)
     return out
 
 
-def leaf_lines(lines: DataFrame, min_documents: int, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
-    """(leaf, t, u, line, tokens, kinds; the tables that it reads): different lines of the leaves with kinds of them, min_documents or more.
+def leaf_lines(lines: DataFrame, min_documents: int, depth: int = DEPTH) -> DataFrame:
+    """Written table leaf, t, u, kinds: different lines of the leaves with kinds of them, min_documents or more.
 
-    A line whose own leaf is smaller is in those with a wildcard for one of its leading words.
+    A line whose own leaf is smaller is in those with a wildcard among its leading words, of which there is one more, so
+    that as many are given.
     """
-    head = F.split("line", " ", depth + 1)
-    wild = F.array(*[F.xxhash64("tokens", F.array(*[F.lit("<?>") if i == j else F.get(head, i) for i in range(depth)])) for j in range(depth)])
-    large = lines.select(F.explode(F.concat(F.array("leaf"), wild)).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).select("leaf")
-    large = written(large, "leaves")
-    few = F.broadcast if large.count() <= BROADCAST_LEAVES else lambda df: df  # else a join by shuffle
-    row = ["leaf", *TEMPLATE, "line", "tokens"]
-    kinds = lambda df: df.groupBy("leaf", *TEMPLATE).agg(F.first("line").alias("line"), F.first("tokens").alias("tokens"))
-    plain = written(_counted(kinds(lines.join(few(large), "leaf").select(*row)), min_documents), "plain")
-    held = plain.select(*TEMPLATE).distinct()
-    rest = lines.join(held, TEMPLATE, "left_anti").select(F.explode(wild).alias("leaf"), *row[1:]).join(few(large), "leaf")
-    return plain.unionByName(_counted(kinds(rest.select(*row)), min_documents)), [large, plain]
-
-
-def _counted(kinds: DataFrame, least: int) -> DataFrame:
-    """kinds of leaves with as many rows as least, with their number."""
-    sizes = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= least)
-    return kinds.join(sizes, "leaf")
+    head = F.split("line", " ", depth + 2)
+    wild = [F.xxhash64("tokens", *[F.lit("<?>") if i == j else F.get(head, i) for i in range(depth + 1)]).alias(f"w{j}") for j in range(depth)]
+    names = ["leaf", *[f"w{j}" for j in range(depth)]]
+    kinds = written(lines.select(*TEMPLATE, "leaf", *wild).groupBy(*TEMPLATE).agg(*[F.min(c).alias(c) for c in names]), "templates")
+    large = lambda df: df.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") >= min_documents)
+    own = written(large(kinds), "leaves")
+    plain = written(kinds.select(*TEMPLATE, "leaf").join(few(own), "leaf"), "plain")
+    rest = kinds.join(few(plain).select(*TEMPLATE), TEMPLATE, "left_anti").select(*TEMPLATE, F.explode(F.array(*names[1:])).alias("leaf"))
+    others = written(large(rest), "leaves")
+    out = written(plain.unionByName(rest.join(few(others), "leaf")), "members")
+    remove(lines.sparkSession, kinds, own, plain, others)
+    return out
 
 
 def generalised(lines: DataFrame, min_documents: int, prevail: float, constant: float, splits: int = SPLITS) -> DataFrame:
@@ -130,8 +145,11 @@ def generalised(lines: DataFrame, min_documents: int, prevail: float, constant:
     A line has one for its leaf, and one for each part of it that it follows when the leaf is split at the place with the
     fewest different words, the first of those, into parts of min_documents lines or more.
     """
-    own, used = leaf_lines(lines, min_documents)
-    words, out = written(own.select("leaf", *TEMPLATE, "kinds", "tokens", F.posexplode(F.split("line", " ", -1)).alias("at", "word")), "words"), None
+    own = leaf_lines(lines, min_documents)
+    kinds = written(own.select(*TEMPLATE).distinct(), "kinds")
+    full = text_of_templates(lines, kinds).withColumn("words", F.split("line", " ", -1))
+    full = own.join(full, TEMPLATE).select("leaf", *TEMPLATE, "kinds", F.size("words").alias("tokens"), F.posexplode("words").alias("at", "word"))
+    words, out, used = written(full, "words"), None, [own, kinds]
     for level in range(splits + 1):
         counts = written(words.groupBy("leaf", "kinds", "at", "word").agg(F.count(F.lit(1)).alias("n")), "shares")
         used += [words, counts]
@@ -166,7 +184,7 @@ def recurring(lines: DataFrame, sketches: DataFrame, min_documents: int = MIN_DO
     within = written(held.join(members, TEMPLATE).select(*PATTERN, "k").distinct(), "within")
     texts = written(sketches.join(within.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "sketches")
     near = near_copies(texts)
-    own = with_own_lines(lines, near)
+    own = with_own_lines(lines, held, near)
     near = near.join(own, "k", "left_anti")
     classes = within.join(near, "k", "left").select(*PATTERN, F.coalesce("class", "k").alias("class"))
     out = written(members.join(often(classes, "class"), PATTERN, "left_semi").select(*TEMPLATE).distinct(), "recurring")

@@ -121,13 +121,7 @@ def brute(docs):
     for t in small:
         w = t.split(" ")
         for j in range(3):
-            wild[(len(w), *[None if i == j else w[i] for i in range(3)])].add(t)
-    occurrences = collections.Counter()
-    for t in at:
-        w, n = t.split(" "), len(at[t])
-        for j in (None, 0, 1, 2):
-            occurrences[(len(w), *[None if i == j else w[i] for i in range(3)])] += n
-
+            wild[(len(w), *[None if i == j else w[i] for i in range(4)])].add(t)
     def learn(name, own, left):
         n = len(own)
         columns = list(zip(*[t.split(" ") for t in own]))
@@ -145,7 +139,7 @@ def brute(docs):
 
     for group in (leaf, wild):
         for name, own in group.items():
-            if len(own) >= 5 and occurrences[name] >= 5:
+            if len(own) >= 5:
                 learn(name, own, 2)
     for t in at:
         patterns["", t].add(t)
