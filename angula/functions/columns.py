@@ -39,9 +39,10 @@ def cleanliness_label() -> Column:
     return F.when(F.col("passes_conservative"), "Conservative").when(F.col("passes_mw100"), "No large het").when(F.col("passes_relaxed"), "Relaxed").otherwise("All")
 
 
-def fixed_digits(v: Column, digits: int) -> Column:
+def fixed_digits(v: Column, digits: int, even: bool = False) -> Column:
     """v with so many decimals (6 at most), rounded from its exact binary value, ties away from zero; null for null and not finite.
 
+    even: ties to the even digit, as C's and SQL's printf rounds; a browser's toFixed rounds away from zero.
     Where the value is well away from a tie, formatting rounds it alike; elsewhere the part behind the point is taken in units
     of 2**-80, in which a tie can be told exactly. Whole numbers have all their digits up to 1e21, an exponent from there on.
     """
@@ -54,6 +55,9 @@ def fixed_digits(v: Column, digits: int) -> Column:
     units = F.floor(part).cast("decimal(20,0)") * F.lit(2**40).cast("decimal(13,0)") + ((part - F.floor(part)) * 2.0**40).cast("long").cast("decimal(20,0)")
     twice = units * F.lit(2 * 10**digits).cast("decimal(8,0)") + F.expr(f"CAST({2**80} AS DECIMAL(25,0))")
     n = F.call_function("div", twice, F.expr(f"CAST({2**81} AS DECIMAL(25,0))"))
+    if even:
+        odd = (n if digits else whole.cast("long") + n) % 2 == 1
+        n = n - F.when((twice % F.expr(f"CAST({2**81} AS DECIMAL(25,0))") == 0) & odd, 1).otherwise(0)
     up = n >= 10**digits
     exact = (whole.cast("long") + up.cast("long")).cast("string")
     exact = F.concat(exact, F.lit("."), F.lpad((n - F.when(up, 10**digits).otherwise(0)).cast("string"), digits, "0")) if digits else exact
@@ -65,13 +69,13 @@ def fixed_digits(v: Column, digits: int) -> Column:
     return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise(""), text))
 
 
-def fixed(v: Column, digits: int) -> Column:
+def fixed(v: Column, digits: int, even: bool = False) -> Column:
     """fixed_digits(), and '-' for null and not finite."""
-    return F.coalesce(fixed_digits(v, digits), F.lit("-"))
+    return F.coalesce(fixed_digits(v, digits, even), F.lit("-"))
 
 
-def resolution_label() -> Column:
-    return F.when(F.col("resolution_known") & finite(F.col("resolution")).isNotNull(), F.concat(fixed(F.col("resolution"), 2), F.lit(" Å"))).otherwise("-")
+def resolution_label(even: bool = False) -> Column:
+    return F.when(F.col("resolution_known") & finite(F.col("resolution")).isNotNull(), F.concat(fixed(F.col("resolution"), 2, even), F.lit(" Å"))).otherwise("-")
 
 
 def form_label(form: Column) -> Column:

@@ -303,10 +303,10 @@ query("f3_display_value", "pid:i a:d b:d c:d", f"SELECT_STANDARD FROM (SELECT pi
 CLEAN = "CASE WHEN passes_conservative THEN 'Conservative' WHEN passes_mw100 THEN 'No large het' WHEN passes_relaxed THEN 'Relaxed' ELSE 'All' END"
 RESL = "CASE WHEN resolution_known AND resolution IS NOT NULL THEN printf('%.2f Å', resolution) ELSE '-' END"
 query("f4_cleanliness_label", "pid:i v:s", f"SELECT_STANDARD FROM (SELECT pid, {CLEAN} AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.cleanliness_label().alias("v")))
-query("f5_resolution_label", "pid:i v:s", f"SELECT_STANDARD FROM (SELECT pid, {RESL} AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.resolution_label().alias("v")))
+query("f5_resolution_label", "pid:i v:s", f"SELECT_STANDARD FROM (SELECT pid, {RESL} AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.resolution_label(even=True).alias("v")))
 FORML = "CASE form WHEN 'adna' THEN 'A-DNA' WHEN 'bdna' THEN 'B-DNA' WHEN 'zdna' THEN 'Z-DNA' WHEN 'quadruplex' THEN 'Quadruplex' ELSE form END"
 query("f6_form_label", "pid:i v:s", f"SELECT_STANDARD FROM (SELECT pid, {FORML} AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.form_label(F.col("form")).alias("v")))
-query("f7_fixed_digits", "pid:i v:s", "SELECT_STANDARD FROM (SELECT pid, CASE WHEN lin IS NULL THEN '-' ELSE printf('%.3f', lin * ang / 7) END AS v FROM v_residue)")(lambda e, r, p: r.select("pid", C.fixed(F.col("lin") * F.col("ang") / 7, 3).alias("v")))
+query("f7_fixed_digits", "pid:i v:s", "SELECT_STANDARD FROM (SELECT pid, CASE WHEN lin IS NULL THEN '-' ELSE printf('%.3f', lin * ang / 7) END AS v FROM v_residue)")(lambda e, r, p: r.select("pid", C.fixed(F.col("lin") * F.col("ang") / 7, 3, even=True).alias("v")))
 query("f8_entry_url", "pid:i v:s", "SELECT_STANDARD FROM (SELECT pid, 'https://example.org/entry/' || upper(entry_id) AS v FROM v_entries)")(lambda e, r, p: e.select("pid", C.entry_url(F.col("entry_id")).alias("v")))
 
 # --- tables and exports ------------------------------------------------------------------------------------------
