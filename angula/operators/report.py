@@ -45,9 +45,10 @@ def entry_page(entries: DataFrame, page: int, size: int = PAGE) -> DataFrame:
     return sorted_entries(entries).offset(min(max(page, 0), last) * size).limit(size)
 
 
-def entry_table(entries: DataFrame) -> DataFrame:
+def entry_table(entries: DataFrame, even: bool = False) -> DataFrame:
+    """even: how fixed_digits() rounds ties of the resolution."""
     extra = [c for c in ("het_names", "residue_count") if c in entries.columns]
-    return entries.select("pid", F.upper("entry_id").alias("entry"), form_label(F.col("form")).alias("form_label"), "method", resolution_label().alias("resolution_label"), cleanliness_label().alias("cleanliness"), *extra)
+    return entries.select("pid", F.upper("entry_id").alias("entry"), form_label(F.col("form")).alias("form_label"), "method", resolution_label(even).alias("resolution_label"), cleanliness_label().alias("cleanliness"), *extra)
 
 
 def _export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> tuple[DataFrame, list[str], list[str]]:

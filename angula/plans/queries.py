@@ -313,7 +313,7 @@ query("f8_entry_url", "pid:i v:s", "SELECT_STANDARD FROM (SELECT pid, 'https://e
 query("l1_sorted_entries", "pid:i entry_id:s", "SELECT_STANDARD FROM v_entries ORDER BY entry_id, pid")(lambda e, r, p: R.sorted_entries(e))
 query("l2_filtered_entries", "pid:i entry_id:s form:s", "SELECT_STANDARD FROM allowed ORDER BY entry_id, pid", "allowed")(lambda e, r, p: R.sorted_entries(allowed(e)))
 query("l3_page", "pid:i entry_id:s", "SELECT_STANDARD FROM (SELECT * FROM allowed ORDER BY entry_id, pid LIMIT 100 OFFSET 100)", "allowed")(lambda e, r, p: R.entry_page(allowed(e), 1))
-query("l4_entry_table", "pid:i entry:s form_label:s method:s resolution_label:s cleanliness:s het_names:s residue_count:i", f"SELECT_STANDARD FROM (SELECT pid, upper(entry_id) AS entry, {FORML} AS form_label, method, {RESL} AS resolution_label, {CLEAN} AS cleanliness, het_names, residue_count FROM v_entries)")(lambda e, r, p: R.entry_table(e))
+query("l4_entry_table", "pid:i entry:s form_label:s method:s resolution_label:s cleanliness:s het_names:s residue_count:i", f"SELECT_STANDARD FROM (SELECT pid, upper(entry_id) AS entry, {FORML} AS form_label, method, {RESL} AS resolution_label, {CLEAN} AS cleanliness, het_names, residue_count FROM v_entries)")(lambda e, r, p: R.entry_table(e, even=True))
 EXPORT = f"SELECT o.pid, o.form, {LAST}, printf('%.6f', o.lin) AS lin, upper(entry_id) AS pdb_id, site_label, {FORML.replace('form', 'o.form')} AS form_nakb, method, CASE WHEN resolution_known AND resolution IS NOT NULL THEN printf('%.2f', resolution) ELSE '' END AS resolution_angstrom, {CLEAN} AS cleanliness, het_names, residue_count, coalesce(nullif(context, ''), 'Missing') AS sequence_context, secondary_context AS backbone_state, edge_flag AS terminal_flag FROM obs o JOIN allowed a ON a.pid = o.pid WHERE lin IS NOT NULL"
 query("l1_row_numbers", "row:i pid:i entry_id:s", "SELECT_STANDARD FROM (SELECT row_number() OVER (ORDER BY entry_id, pid) - 1 AS row, pid, entry_id FROM v_entries)")(lambda e, r, p: R.ordered_entries(e).rows())
 query("l3_page_by_number", "pid:i entry_id:s", "SELECT_STANDARD FROM (SELECT * FROM allowed ORDER BY entry_id, pid LIMIT 100 OFFSET 200)", "allowed")(lambda e, r, p: R.ordered_entries(allowed(e)).page(2))
