@@ -51,7 +51,7 @@ def entry_table(entries: DataFrame, even: bool = False) -> DataFrame:
     return entries.select("pid", F.upper("entry_id").alias("entry"), form_label(F.col("form")).alias("form_label"), "method", resolution_label(even).alias("resolution_label"), cleanliness_label().alias("cleanliness"), *extra)
 
 
-def _export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> tuple[DataFrame, list[str], list[str]]:
+def _export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter, even: bool) -> tuple[DataFrame, list[str], list[str]]:
     """(rows, the columns to export, the columns that order them)"""
     extra = [c for c in ("het_names", "residue_count") if c in entries.columns]
     forms = [x for x in dict.fromkeys(f.forms or ()) if x in FORMS] or list(FORMS)
@@ -60,9 +60,9 @@ def _export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str,
     seen = finite_values(family, param).filter(obs_condition(spec, o)).filter(F.col(f"`{param}`").isNotNull())
     obs = seen.join(meta, "pid")
     text = lambda c, empty: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(empty)) if c else F.lit("")
-    res = F.when(F.col("resolution_known") & finite(F.col("resolution")).isNotNull(), fixed_digits(F.col("resolution"), 2)).otherwise("")
+    res = F.when(F.col("resolution_known") & finite(F.col("resolution")).isNotNull(), fixed_digits(F.col("resolution"), 2, even)).otherwise("")
     shown = [
-        fixed_digits(F.col(f"`{param}`"), 6).alias(param), F.upper("entry_id").alias("pdb_id"), (F.coalesce(F.col(spec.site), F.lit("")) if spec.site else F.lit("")).alias("site_label"), form_label(F.col("form")).alias("form_nakb"), "method", res.alias("resolution_angstrom"), "cleanliness",
+        fixed_digits(F.col(f"`{param}`"), 6, even).alias(param), F.upper("entry_id").alias("pdb_id"), (F.coalesce(F.col(spec.site), F.lit("")) if spec.site else F.lit("")).alias("site_label"), form_label(F.col("form")).alias("form_nakb"), "method", res.alias("resolution_angstrom"), "cleanliness",
         *extra, text(spec.context, spec.context_empty).alias("sequence_context"), text(spec.secondary, spec.secondary_empty).alias("backbone_state"), F.col("edge_flag").alias("terminal_flag"),
     ]
     keys = [F.array_position(F.array(*[F.lit(x) for x in forms]), F.col("form")), F.col("pid"), *[F.col(c) for c in spec.order]]
@@ -71,16 +71,16 @@ def _export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str,
     return out, [c for c in out.columns if c not in order], order
 
 
-def export_observations(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> DataFrame:
+def export_observations(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter, even: bool = False) -> DataFrame:
     """One row for each plotted observation, with its entry's properties; numbers as text of a fixed form; in no order.
 
-    The value's column has the parameter's name.
+    The value's column has the parameter's name. even: how fixed_digits() rounds ties.
     """
-    out, shown, _ = _export(entries, family, spec, param, f, o)
+    out, shown, _ = _export(entries, family, spec, param, f, o, even)
     return out.select(*[F.col(f"`{c}`") for c in shown])
 
 
-def ordered_export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter) -> Ordered:
+def ordered_export(entries: DataFrame, family: DataFrame, spec: FamilySpec, param: str, f: EntryFilter, o: ObsFilter, even: bool = False) -> Ordered:
     """export_observations() in order of the chosen forms, of the entries' pids, and of the rows in each entry."""
-    out, shown, order = _export(entries, family, spec, param, f, o)
+    out, shown, order = _export(entries, family, spec, param, f, o, even)
     return in_order(out, *order, keep=shown)

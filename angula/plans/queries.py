@@ -317,11 +317,11 @@ query("l4_entry_table", "pid:i entry:s form_label:s method:s resolution_label:s
 EXPORT = f"SELECT o.pid, o.form, {LAST}, printf('%.6f', o.lin) AS lin, upper(entry_id) AS pdb_id, site_label, {FORML.replace('form', 'o.form')} AS form_nakb, method, CASE WHEN resolution_known AND resolution IS NOT NULL THEN printf('%.2f', resolution) ELSE '' END AS resolution_angstrom, {CLEAN} AS cleanliness, het_names, residue_count, coalesce(nullif(context, ''), 'Missing') AS sequence_context, secondary_context AS backbone_state, edge_flag AS terminal_flag FROM obs o JOIN allowed a ON a.pid = o.pid WHERE lin IS NOT NULL"
 query("l1_row_numbers", "row:i pid:i entry_id:s", "SELECT_STANDARD FROM (SELECT row_number() OVER (ORDER BY entry_id, pid) - 1 AS row, pid, entry_id FROM v_entries)")(lambda e, r, p: R.ordered_entries(e).rows())
 query("l3_page_by_number", "pid:i entry_id:s", "SELECT_STANDARD FROM (SELECT * FROM allowed ORDER BY entry_id, pid LIMIT 100 OFFSET 200)", "allowed")(lambda e, r, p: R.ordered_entries(allowed(e)).page(2))
-query("k1_ordered_export", "row:i lin:s pdb_id:s site_label:s form_nakb:s terminal_flag:i", f"SELECT_STANDARD FROM (SELECT *, row_number() OVER (ORDER BY list_position(['zdna', 'adna', 'bdna', 'quadruplex'], form), pid, {LAST}) - 1 AS row FROM ({EXPORT}))", "allowed", "obs")(lambda e, r, p: R.ordered_export(e, r, RESIDUE, "lin", replace(ENTRY, forms=("zdna", "adna", "bdna", "quadruplex")), OBS).rows())
+query("k1_ordered_export", "row:i lin:s pdb_id:s site_label:s form_nakb:s terminal_flag:i", f"SELECT_STANDARD FROM (SELECT *, row_number() OVER (ORDER BY list_position(['zdna', 'adna', 'bdna', 'quadruplex'], form), pid, {LAST}) - 1 AS row FROM ({EXPORT}))", "allowed", "obs")(lambda e, r, p: R.ordered_export(e, r, RESIDUE, "lin", replace(ENTRY, forms=("zdna", "adna", "bdna", "quadruplex")), OBS, even=True).rows())
 query(
     "k1_observation_export", "lin:s pdb_id:s site_label:s form_nakb:s method:s resolution_angstrom:s cleanliness:s het_names:s residue_count:i sequence_context:s backbone_state:s terminal_flag:i",
     f"SELECT_STANDARD FROM ({EXPORT})", "allowed", "obs",
-)(lambda e, r, p: R.export_observations(e, r, RESIDUE, "lin", ENTRY, OBS))
+)(lambda e, r, p: R.export_observations(e, r, RESIDUE, "lin", ENTRY, OBS, even=True))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

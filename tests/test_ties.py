@@ -24,7 +24,7 @@ def tied(spark, tmp_path_factory):
     return str(path), con
 
 
-@pytest.mark.parametrize("name", ["f5_resolution_label", "l4_entry_table"])
+@pytest.mark.parametrize("name", ["f5_resolution_label", "l4_entry_table", "k1_observation_export"])
 def test_queries_with_ties(spark, tied, name):
     path, con = tied
     mine, theirs = same_rows(QUERIES[name](spark, path), con, ORACLE[name])
