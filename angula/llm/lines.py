@@ -41,7 +41,7 @@ RUNS = 16
 #: Keys (16 bytes each) that are broadcast at most, so that lines without them are not shuffled.
 BROADCAST_KEYS = 1_000_000
 BLANK = " \t\r\x0b\x0c"
-FIELD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*[0-9])[^\x20\x09-\x0D]+"
+FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 TEXT, TEMPLATE, PATTERN = ["k", "v"], ["t", "u"], ["p", "q"]
 
 
@@ -49,20 +49,27 @@ def hashes(names: list[str], *of: str | Column) -> list[Column]:
     return [F.xxhash64(*of).alias(names[0]), F.xxhash64(F.lit(1), *of).alias(names[1])]
 
 
+def parts_by(text: str | Column, mark: str) -> Column:
+    """How many parts split() by a mark of one byte gives, without making them."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit(""))) + 1
+
+
 def lines_of(docs: DataFrame, text_col: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """A row for each line of min_tokens words or more: k, v (the text), nth, t, u (the template), leaf, tokens, line (masked).
 
     Words are parted by white space, however much of it.
     """
     d = docs.select(text_of(text_col).alias("text")).select(*hashes(TEXT, "text"), F.split("text", "\n", -1).alias("rows"))
-    d = d.select(*TEXT, F.posexplode("rows").alias("nth", "line")).withColumn("line", F.trim("line"))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("line", f"[{BLANK}]+", " "), FIELD, "<*>"))
-    d = d.withColumn("line", F.when(F.col("line").rlike("[0-9\t\r\x0b\x0c]|  "), masked).otherwise(F.col("line")))
-    d = d.withColumn("words", F.split("line", " ", -1)).withColumn("tokens", F.size("words"))
-    one = F.struct(*hashes(TEMPLATE, "line"), F.xxhash64("tokens", F.slice("words", 1, depth)).alias("leaf"), "tokens", "line")
-    # Generating one row keeps the filter behind the columns, so that words are split once.
-    d = d.select(*TEXT, "nth", F.inline(F.array(one)))
-    return d.filter((F.col("tokens") >= min_tokens) & (F.col("line") != ""))
+    d = d.select(*TEXT, F.posexplode("rows").alias("nth", "line"))
+    # Generating one row keeps a filter and what comes next behind the columns, so that they are worked out once.
+    then = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))
+    d = d.select(*TEXT, "nth", then(F.trim("line"), "line")).filter(F.col("line") != "")
+    wide = F.contains("line", F.lit("  "))
+    narrow = F.when(wide | F.col("line").rlike(f"[{BLANK[1:]}]"), F.regexp_replace("line", f"[{BLANK}]+", " ")).otherwise(F.col("line"))
+    masked = F.trim(F.regexp_replace(narrow, FIELD, "<*>"))
+    d = d.select(*TEXT, "nth", then(F.when(wide | F.col("line").rlike(f"[0-9{BLANK[1:]}]"), masked).otherwise(F.col("line")), "line"))
+    d = d.select(*TEXT, "nth", "line", then(parts_by("line", " "), "tokens")).filter((F.col("tokens") >= min_tokens) & (F.col("line") != ""))
+    return d.select(*TEXT, "nth", *hashes(TEMPLATE, "line"), F.xxhash64("tokens", F.substring_index("line", " ", depth)).alias("leaf"), "tokens", "line")
 
 
 def sketches_of(docs: DataFrame, text_col: str) -> DataFrame:
